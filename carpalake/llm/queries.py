@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_groups
+from .packing import pack
 from .url_rules import judge_urls
 
 #: Fixed values of the url rules: verdict, host, path.
@@ -20,7 +21,17 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op7_url_filter)}
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op7_url_filter, op9_packing)}
 
 ORACLES = {
     "op2_exact_dedup": """

@@ -1,0 +1,47 @@
+import zlib
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from carpalake.llm.packing import pack
+from carpalake.llm.queries import word_tokenizer
+
+SCHEMA = "doc_id long, text string, start string, ids int"
+ROWS = [
+    (1, "a small text", "x", 1),
+    (2, None, "x", 2),
+    (3, "", None, None),
+    (None, "no id", "x", 4),
+    (5, "one \x01 mark and\ttab  two<|endoftext|>three " * 40, "x", 5),
+    (6, "Ünïcode Ωmega don't 123 " * 300, "x", 6),
+    (7, "same", "x", 7),
+    (7, "same", "x", 7),
+]
+
+
+def expected(size):
+    t = Tokenizer.from_file(word_tokenizer())
+    return {r[0]: np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4") for r in ROWS}
+
+
+@pytest.mark.parametrize("size,windows,merge", [(64, 2, 2), (4096, 32, 32), (48, 1, 1)])
+def test_round_trip(spark, size, windows, merge):
+    docs = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+    got = pack(docs, word_tokenizer(), size=size, windows=windows, merge=merge, with_ids=True).collect()
+    want = expected(size)
+    pieces, sequences = {}, {}
+    for r in got:
+        ids = np.frombuffer(r.ids, "<u4")
+        assert len(ids) == r.length > 0 and zlib.crc32(r.ids) == r.ids_crc32
+        assert (want[r.doc_id][r.start : r.start + r.length] == ids).all() and r.doc_tokens == len(want[r.doc_id])
+        pieces.setdefault(r.doc_id, []).extend(range(r.start, r.start + r.length))
+        sequences.setdefault(r.sequence_id, []).extend(range(r.offset, r.offset + r.length))
+    for doc, ids in want.items():
+        assert sorted(pieces[doc]) == sorted([*range(len(ids))] * (2 if doc == 7 else 1))
+    for places in sequences.values():
+        assert sorted(places) == list(range(len(places))) and len(places) <= size
+
+
+def test_empty_table(spark):
+    assert pack(spark.createDataFrame([], SCHEMA), word_tokenizer()).count() == 0
