@@ -160,7 +160,7 @@ def _merge(key: tuple, left: pd.DataFrame, size: int, with_ids: bool) -> pd.Data
     return pd.DataFrame(out, columns=[c.split()[0] for c in COLUMNS.split(", ")]).astype({"doc_id": "Int64"})
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, windows: int = 32, merge: int = 32, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, windows: int = 32, merge: int = 8, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds the piece's ids (uint32, little-endian).
 
     Cases: a null text is empty; every document has at least its end_id; null ids and repeated

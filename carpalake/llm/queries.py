@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_groups
 from .packing import pack
+from .simhash import near_groups
 from .url_rules import judge_urls
 
 #: Fixed values of the url rules: verdict, host, path.
@@ -17,6 +18,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents")).drop("tag")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -31,7 +36,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op7_url_filter, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_simhash, op7_url_filter, op9_packing)}
 
 ORACLES = {
     "op2_exact_dedup": """
