@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_groups
+from .importance import resample
 from .packing import pack
 from .simhash import near_groups
 from .url_rules import judge_urls
@@ -22,6 +23,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).drop("tag")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -36,7 +41,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_simhash, op7_url_filter, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_simhash, op4_quality, op7_url_filter, op9_packing)}
 
 ORACLES = {
     "op2_exact_dedup": """
