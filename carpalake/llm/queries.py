@@ -9,6 +9,7 @@ from .exact_dedup import exact_groups
 from .importance import resample
 from .packing import pack
 from .simhash import near_groups
+from .toxicity import judge_toxicity
 from .url_rules import judge_urls
 
 #: Fixed values of the url rules: verdict, host, path.
@@ -31,6 +32,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -41,7 +46,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_simhash, op4_quality, op7_url_filter, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_simhash, op4_quality, op7_url_filter, op8_toxicity, op9_packing)}
 
 ORACLES = {
     "op2_exact_dedup": """
