@@ -47,7 +47,7 @@ class WordCache(dict):
         self.chars += sum(map(len, words)) + sum(map(len, odd))
         for i in range(0, len(words), 2000):
             some = words[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(f" {self.MARK} ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
             raw, at = ids.tobytes(), 0
             for w, end in zip(some, (4 * ends).tolist(), strict=True):
@@ -57,11 +57,14 @@ class WordCache(dict):
             self[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text; the cache is emptied first once it holds CACHE_CHARS."""
+        """The ids of each text; the cache is emptied first once it holds CACHE_CHARS.
+
+        The tokenizer lower-cases, so A-Z may be lower-cased before (where no special token may be written out).
+        """
         if self.chars > CACHE_CHARS:
             self.clear()
             self.chars = 0
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [(t if "<|" in t else t.encode().lower().decode()).replace("\n", " ").split(" ") for t in texts]
         out, again, get = [], [], self.__getitem__
         for i, words in enumerate(split):
             before = len(self.new)
