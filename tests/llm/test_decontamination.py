@@ -1,0 +1,89 @@
+import random
+
+import numpy as np
+
+from carpalake.llm.decontamination import align, drop_leaking, edits, find_leaks, rarest, size_of, words_of
+
+SCHEMA = "doc_id long, text string, item_id string, start int"
+ITEMS = "item_id long, text string, doc_id string"
+
+
+def plain_score(item, words):
+    rows = [[0] * (len(words) + 1) for _ in range(len(item) + 1)]
+    for i, a in enumerate(item, 1):
+        for j, b in enumerate(words, 1):
+            rows[i][j] = max(0, rows[i - 1][j - 1] + (4 if a == b else -1), rows[i - 1][j] - 1, rows[i][j - 1] - 5)
+    return max(map(max, rows))
+
+
+def test_align_against_plain_dynamic_programme():
+    rng = random.Random(2)
+    for _ in range(60):
+        a, b = [rng.randrange(6) for _ in range(rng.randrange(1, 15))], [rng.randrange(6) for _ in range(rng.randrange(0, 30))]
+        assert align(np.array(a, np.uint64), np.array(b, np.uint64))[0] == plain_score(a, b)
+
+
+def test_rarest_is_least_of_all_disjoint_choices():
+    rng = random.Random(4)
+    for _ in range(40):
+        m, n, k = rng.randrange(6, 12), rng.randrange(1, 4), rng.randrange(1, 3)
+        costs = np.array([float(rng.randrange(9)) for _ in range(m)])
+        got = rarest(costs, n, k)
+        assert len(got) == k and all(b - a >= n for a, b in zip(got, got[1:]))
+        least = min(costs[i] if k == 1 else min((costs[i] + costs[j] for j in range(i + n, m)), default=np.inf) for i in range(m))
+        assert costs[got].sum() == least
+
+
+def test_seeds_fit_the_edits():
+    for length in range(5, 400):
+        assert 1 <= size_of(length, 0.8, 5) * (edits(length, 0.8) + 1) <= length
+
+
+def data():
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(150)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([5, 9, 14, 19, 30, 60]))), "x") for i in range(25)]
+    docs = []
+    for i in range(120):
+        text = [rng.choice(vocabulary) for _ in range(rng.choice([0, 30, 200]))]
+        if i % 2:
+            part = items[i % 25][1].split()
+            for _ in range(rng.randrange(0, 1 + len(part) // 5)):
+                at, kind = rng.randrange(len(part)), rng.randrange(3)
+                part[at : at + (kind != 1)] = ["new"] * (kind != 2)
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = part
+        docs.append((i, " ".join(w.upper() + "," if rng.random() < 0.1 else w for w in text), "x", 1))
+    docs += [(None, items[3][1], None, None), (500, None, "x", 1), (501, "", "x", 1), (502, "w1 " * 40_000 + items[5][1], "x", 1), (502, "w1 " * 40_000 + items[5][1], "x", 1)]
+    items += [(90, None, "x"), (91, "one two", "x"), (3, items[3][1], "y")]
+    return docs, items
+
+
+def test_against_brute_force(spark):
+    docs, items = data()
+    d, t = spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(items, ITEMS)
+    want = set()
+    for i, text, *_ in docs:
+        words = words_of(text)
+        words = words[-400:] if i == 502 else words
+        for j, item, _ in items:
+            w = words_of(item)
+            if len(w) >= 5 and (s := plain_score(w, words) / (4 * len(w))) >= 0.8:
+                want.add((i, j, round(s, 6)))
+    for block in (16_000_000, 400):
+        got = find_leaks(d, t, block_bytes=block).collect()
+        assert {(r.doc_id, r.item_id, round(r.similarity, 6)) for r in got} == want
+        assert len(got) == len(want) + 1  # the repeated row
+    texts = {r[0]: r[1] for r in docs}
+    for r in got:
+        w, item = words_of(texts[r.doc_id][r.start : r.end]), words_of(dict((a, b) for a, b, _ in items)[r.item_id])
+        assert plain_score(item, w) == round(r.similarity * 4 * len(item))
+    kept = drop_leaking(d, t)
+    assert kept.schema == d.schema
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, *_ in docs if i not in {x[0] for x in want})
+
+
+def test_empty_tables(spark):
+    docs, items = data()
+    assert find_leaks(spark.createDataFrame([], SCHEMA), spark.createDataFrame(items, ITEMS)).count() == 0
+    assert find_leaks(spark.createDataFrame(docs[:5], SCHEMA), spark.createDataFrame([], ITEMS)).count() == 0
