@@ -8,6 +8,7 @@ from .common import table
 from .decontamination import find_leaks
 from .exact_dedup import exact_groups
 from .importance import resample
+from .langid import held_out, identify
 from .packing import pack
 from .simhash import near_groups
 from .toxicity import judge_toxicity
@@ -51,7 +52,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_simhash, op4_quality, op7_url_filter, op8_toxicity, op9_packing)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), held_out())
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_simhash, op4_quality, op7_url_filter, op8_toxicity, op9_packing, op10_language)}
 
 ORACLES = {
     "op2_exact_dedup": """
