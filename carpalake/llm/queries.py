@@ -9,6 +9,7 @@ from .decontamination import find_leaks
 from .exact_dedup import exact_groups
 from .importance import resample
 from .langid import held_out, identify
+from .lm_scoring import score_documents
 from .packing import pack
 from .simhash import near_groups
 from .toxicity import judge_toxicity
@@ -34,6 +35,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -56,7 +61,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), held_out())
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_simhash, op4_quality, op7_url_filter, op8_toxicity, op9_packing, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_simhash, op4_quality, op6_lm_score, op7_url_filter, op8_toxicity, op9_packing, op10_language)}
 
 ORACLES = {
     "op2_exact_dedup": """
