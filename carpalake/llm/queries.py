@@ -12,6 +12,7 @@ from .langid import held_out, identify
 from .lm_scoring import score_documents
 from .packing import pack
 from .simhash import near_groups
+from .substring_dedup import remove_repeats
 from .toxicity import judge_toxicity
 from .url_rules import judge_urls
 
@@ -35,6 +36,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), held_out())
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_simhash, op4_quality, op6_lm_score, op7_url_filter, op8_toxicity, op9_packing, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_simhash, op4_quality, op5_substring_dedup, op6_lm_score, op7_url_filter, op8_toxicity, op9_packing, op10_language)}
 
 ORACLES = {
     "op2_exact_dedup": """
