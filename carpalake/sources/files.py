@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +30,6 @@ def read_images(spark: SparkSession, path: str, by_name: bool = True) -> DataFra
 
 
 def bgr_to_rgb(images: DataFrame) -> DataFrame:
-    import pandas as pd
-
     from ..operators.images import decode
 
     @F.pandas_udf("binary")

@@ -1,0 +1,63 @@
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from carpalake.operators import history, progress
+from carpalake.streaming.history import accepted
+
+LOG = "session_id long, ts timestamp, event_id long, months_total double, male int, is_clear boolean"
+START = datetime(2024, 1, 1)
+
+
+def log(spark, totals, session=1):
+    return spark.createDataFrame([(session, START + timedelta(minutes=i), i, t, i % 2, t is None) for i, t in enumerate(totals)], LOG)
+
+
+def kept(df):
+    return [r.months_total for r in df.orderBy("rn").collect()]
+
+
+def test_history(spark):
+    assert kept(history.history(log(spark, [5.0, 5.0, 7.0, 5.0]))) == [5.0, 7.0, 5.0]
+    assert kept(history.history(log(spark, [float(i) for i in range(21)]))) == [float(i) for i in range(20, 0, -1)]
+    assert kept(history.history(history.since_clear(log(spark, [1.0, 2.0, None, 2.0, 2.0])))) == [2.0]
+
+
+def plain_stop(values, patience):
+    best, waited, out = float("inf"), 0, []
+    for e, v in enumerate(values, 1):
+        better = v < best
+        best, waited = (v, 0) if better else (best, waited + 1)
+        out.append((e, better, best, waited))
+        if waited >= patience:
+            break
+    return out
+
+
+def test_early_stop_against_loop(spark):
+    import random
+
+    rng = random.Random(1)
+    runs = {i: [round(rng.random(), 1 + i % 3) for _ in range(30)] for i in range(20)}
+    runs |= {100: [9.0 - i for i in range(12)], 101: [1.0] * 12, 102: [1.0] + [2.0] * 6 + [0.5] + [3.0] * 9}
+    df = spark.createDataFrame([(i, e, v) for i, vs in runs.items() for e, v in enumerate(vs, 1)], "run_id long, epoch int, val_mae double")
+    got = {}
+    for r in progress.early_stop(df).orderBy("run_id", "epoch").collect():
+        got.setdefault(r.run_id, []).append((r.epoch, r.improved, r.best_mae, r.waited))
+    assert got == {i: plain_stop(vs, 7) for i, vs in runs.items()}
+
+
+def test_stream_takes_what_the_batch_takes(spark, tmp_path):
+    totals = [5.0, 5.0, 7.0, None, 7.0, 7.0, 8.0]
+    for session in (1, 2):
+        log(spark, totals[session - 1 :], session).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = accepted(stream).writeStream.format("memory").queryName("history_stream").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = spark.table("history_stream")
+    for session in (1, 2):
+        rows = [(r.months_total, r.place) for r in got.filter(F.col("session_id") == session).orderBy("ts").collect()]
+        assert rows == ([(5.0, 1), (7.0, 2), (7.0, 1), (8.0, 2)])
