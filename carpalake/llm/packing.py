@@ -23,7 +23,7 @@ from xxhash import xxh64_intdigest
 
 from .common import cut
 
-CACHE_WORDS = 4_000_000
+CACHE_WORDS = 2_000_000
 _tokenizers: dict = {}
 
 
