@@ -43,14 +43,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_linear(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, features: int = 4096, least: int = 4, l2: float = 0.02, steps: int = 300) -> Linear:
-    """Logistic regression on the features whose presence differs most between the classes, among those in least rows or more."""
+def fit_linear(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, features: int = 4096, least: int = 4, l2: float = 0.3, steps: int = 300) -> Linear:
+    """Logistic regression on the words most typical of the class, among those in least rows or more.
+
+    Words only speak for a category, never against it (weights are 0 or more), so that no amount of harmless text
+    around it makes a toxic passage pass.
+    """
     n, flat = len(rows), np.concatenate([*rows, np.empty(0, np.int64)])
     row = np.repeat(np.arange(n), [len(r) for r in rows])
     base = min(max(y.mean() if n else 0.0, 1e-3), 1 - 1e-3)
     seen = np.bincount(flat, minlength=SLOTS)
     z = (np.bincount(flat, weights=y[row], minlength=SLOTS) - seen * base) / np.sqrt(np.maximum(seen, 1) * base * (1 - base))
-    z = np.where(seen >= least, np.abs(z), 0)
+    z = np.where(seen >= least, z, 0)
     slots = np.sort(np.argsort(-z, kind="stable")[:features])
     slots = slots[z[slots] > 0]
     place = np.full(SLOTS, -1)
@@ -66,7 +70,7 @@ def fit_linear(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, featu
         for m, g in zip(moments, grads, strict=True):
             m[0], m[1] = 0.9 * m[0] + 0.1 * g, 0.99 * m[1] + 0.01 * g * g
             out.append(0.1 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8))
-        w, v, b = w - out[0], v - out[1], b - out[2]
+        w, v, b = np.maximum(w - out[0], 0), v - out[1], b - out[2]
     return Linear(slots, w, v, float(b))
 
 
@@ -123,7 +127,7 @@ def _judge(batches: Iterator[pa.RecordBatch], chain: list[Linear], names: list[s
 CATEGORIES = {"p_low_quality": "quality = 0", "p_toxic": "toxic = 1"}
 
 
-def judge_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, threshold: float = 0.5, most: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, threshold: float = 0.4, most: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, a probability per category, and toxic (the last one reaches threshold).
 
     Cases: a null text is empty and gets the base rate; null ids and repeated rows are rows like others (null ids
@@ -136,7 +140,7 @@ def judge_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str
     return out.select(F.col("id").alias(id_col), *names, (F.col(names[-1]) >= threshold).alias("toxic"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, threshold: float = 0.5, most: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, threshold: float = 0.4, most: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that aren't toxic, with all their columns, in one pass without a shuffle."""
     chain, at = train(docs, labels, categories, most, id_col, text_col), docs.columns.index(text_col)
 
