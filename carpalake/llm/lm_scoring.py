@@ -2,10 +2,11 @@
 
 Documents are dealt to blocks of bounded size. A block's task counts its distinct words and byte
 strings; these tables, not the texts, are summed over the blocks. The strings' model is worked
-out in subtrees of two bytes of context, the two topmost levels (at most 65,280 and 255
-nodes) on the driver. Each block then gets the counts and log probabilities of just the words and
-strings that it holds, so a task's share of the model is never larger than its texts, however
-large the model is. Texts travel compressed.
+out context by context of three bytes, in pieces; the level of two bytes is summed as a table and
+joined to them, and the two levels above (at most 65,280 and 255 nodes) are on the driver. Each
+block then gets the counts and log probabilities of just the words and strings that it holds, so
+a task's share of the model is never larger than its texts, however large the model is. Texts
+travel compressed.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from . import context_tree as tree
 from .common import cut, parallelism, shared_checkpoints
 
-CHUNK = 4_000_000
-TOP = 2  # depths below this are worked out on the driver
+CHUNK = 1_000_000  # bytes of text that are worked on at once
+PIECE = 300_000  # strings that are worked out at once, up to the end of a context
+INNER = 3  # contexts of so many bytes are worked out by themselves; the levels above are joined to them
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 1) -> Column:
@@ -92,63 +94,89 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.update(t.split())
                 seen[b""] += len(texts)  # the end
                 words.update(dict.fromkeys(seen, 0) if held else seen)
-            if len(found) > 8:
+            if sum(len(k) for k, _ in found[1:]) > 2_000_000:
                 found = [tree.grouped(*map(np.concatenate, zip(*found, strict=True)))]
     if block is not None:
         yield from emit(block, words, found)
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Strings and counts, in pieces that end where a context of TOP bytes ends."""
-    shift, held = 8 * (tree.DEPTH - TOP + 1), [np.empty(0, np.int64)] * 2
-    for batch in batches:
-        held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-        if len(held[0]) >= 300_000:
-            cut_at = int(np.searchsorted(held[0], held[0][-1] >> shift << shift))
-            if cut_at:
-                yield held[0][:cut_at], held[1][:cut_at]
-                held = [h[cut_at:] for h in held]
-    if len(held[0]):
-        yield held[0], held[1]
-
-
-def _crowns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the level below TOP needs: per node one byte of context up, sums over its children."""
-    for keys, n in _subtrees(batches):
-        keys, n = keys[n > 0], n[n > 0]
+def _whole(held: list[np.ndarray], last: bool, piece: int) -> int:
+    """How many of the sorted strings held[0] to take now: up to the last context of INNER bytes, which may go on."""
+    if last or len(held[0]) < piece:
+        return len(held[0]) * last
+    shift = 8 * (tree.DEPTH - INNER + 1)
+    return int(np.searchsorted(held[0], held[0][-1] >> shift << shift))
+
+
+def _crowns(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
+    """batches: string, n, by string. The sums over their children, as far as seen here, of the nodes one level over INNER."""
+    held = [np.empty(0, np.int64)] * 2
+    for batch in _and_none(batches):
+        if batch is not None:
+            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+        take = _whole(held, batch is None, piece)
+        keys, n = (h[:take][held[1][:take] > 0] for h in held)
+        held = [h[take:] for h in held]
         if len(keys):
-            nodes = tree.levels(keys, n, TOP)[TOP]
-            up, zeros, ones, weighted = tree.grouped(nodes.up(), nodes.zeros, nodes.ones, nodes.weighted)
-            yield pa.record_batch([pa.array(up), pa.array(zeros), pa.array(ones), pa.array(weighted)], ["node", "zeros", "ones", "below"])
+            nodes = tree.levels(keys, n, INNER)[INNER]
+            yield _sums(nodes)
+
+
+def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _sums(nodes: tree.Nodes) -> pa.RecordBatch:
+    """What the level above needs of nodes: per parent, the sums over its children."""
+    up, zeros, ones, weighted = tree.grouped(nodes.up(), nodes.zeros, nodes.ones, nodes.weighted)
+    return pa.record_batch([pa.array(up), pa.array(zeros), pa.array(ones), pa.array(weighted)], ["node", "zeros", "ones", "below"])
+
+
+def _nodes(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tree.Nodes:
+    """Nodes from the sums over their children, in any order."""
+    order, node = np.argsort(keys), tree.Nodes.__new__(tree.Nodes)
+    node.keys, node.zeros, node.ones = keys[order], zeros[order], ones[order]
+    node.own = tree.log_kt(node.zeros, node.ones)
+    node.weighted = tree.HALF + np.logaddexp(node.own, below[order])
+    return node
+
+
+def _raise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches: whole sums of _sums. Those of the level above."""
+    for batch in batches:
+        if batch.num_rows:
+            yield _sums(_nodes(*(batch.column(i).to_numpy() for i in range(4))))
 
 
 def _top(rows: list) -> dict[int, tree.Nodes]:
-    """The nodes of the depths under TOP, from the sums of _crowns."""
-    rows = sorted((r.node, r.zeros, r.ones, r.below) for r in rows)
-    keys, zeros, ones, below = (np.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 4, (np.int64, np.float64, np.float64, np.float64), strict=True))
-    out = {}
-    for d in range(TOP - 1, -1, -1):
-        node = tree.Nodes.__new__(tree.Nodes)
-        node.keys, node.zeros, node.ones = keys, zeros, ones
-        node.own = tree.log_kt(zeros, ones)
-        node.weighted = tree.HALF + np.logaddexp(node.own, below)
-        out[d] = node
-        if d:
-            keys, zeros, ones, below = tree.grouped(node.up(), zeros, ones, node.weighted)
-    return out
-
-
-def _model(batches: Iterator[pa.RecordBatch], top: dict[int, tree.Nodes]) -> Iterator[pa.RecordBatch]:
-    for keys, n in _subtrees(batches):
-        nodes = tree.levels(keys[n > 0], n[n > 0], TOP)
-        yield pa.record_batch([pa.array(keys), pa.array(tree.log_probabilities(keys, nodes | top) / np.log(10))], ["string", "log10"])
+    """The nodes of depths 1 and 0, from the sums of depth 1."""
+    one = _nodes(*(np.array([r[i] for r in rows], t) for i, t in enumerate((np.int64, np.float64, np.float64, np.float64))))
+    return {1: one, 0: _nodes(*tree.grouped(one.up(), one.zeros, one.ones, one.weighted))}
+
+
+def _model(batches: Iterator[pa.RecordBatch], top: dict[int, tree.Nodes], piece: int) -> Iterator[pa.RecordBatch]:
+    """batches: prefix, kind, key, n, ones, below by prefix, kind, key: of each context of two bytes its nodes (n: zeros), then its strings."""
+    held, nodes = [np.empty(0, np.int64)] * 2, [np.empty(0, t) for t in (np.int64, np.float64, np.float64, np.float64)]
+    for batch in _and_none(batches):
+        if batch is not None:
+            kind, key, n, ones, below = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
+            is_node = kind == 0
+            nodes = [np.concatenate([h, c[is_node]]) for h, c in zip(nodes, (key, n.astype(np.float64), ones, below), strict=True)]
+            held = [np.concatenate([h, c[~is_node]]) for h, c in zip(held, (key, n), strict=True)]
+        if take := _whole(held, batch is None, piece):
+            keys, n = (h[:take] for h in held)
+            levels = tree.levels(keys[n > 0], n[n > 0], INNER) | {INNER - 1: _nodes(*nodes)} | top
+            yield pa.record_batch([pa.array(keys), pa.array(tree.log_probabilities(keys, levels) / np.log(10))], ["string", "log10"])
+            context = keys[-1] >> (8 * (tree.DEPTH - INNER + 2))
+            held, nodes = [h[take:] for h in held], [c[nodes[0] >> 8 >= context] for c in nodes]
 
 
 class Lookup:
     """Values by key: a table of one slot a key, and a sorted rest for keys whose slot is taken."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.bits = max(4, int(2 * len(keys)).bit_length())
         at = self._slots(keys)
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
         self.keys[at], self.values[at] = keys, values
@@ -186,7 +214,9 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 block, words, strings, lookup = blocks[start], {}, [], None
             if kinds[start] == 0:
                 c, first = part.column(2).to_numpy(), part.column(3).to_numpy() == 1
-                words.update(zip(part.column(4).to_pylist(), np.log10(c + 0.5).tolist(), strict=True))
+                counts, at = np.unique(c, return_inverse=True)
+                logs = np.log10(counts + 0.5).tolist()  # one object a count
+                words.update(zip(part.column(4).to_pylist(), map(logs.__getitem__, at.tolist()), strict=True))
                 vocabulary += int((first & (c > 0)).sum())
                 tokens += int(c[first].sum())
                 continue
@@ -211,7 +241,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.nulls(1, t) for t in types[:-2]] + [pa.array([vocabulary]), pa.array([tokens])], names)
 
 
-def score_documents(docs: DataFrame, held: Column | None = None, block_bytes: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, held: Column | None = None, block_bytes: int = 32_000_000, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Both models learn from the rows where held is false. score is the context-tree model's log10 probability of the
@@ -236,11 +266,16 @@ def score_documents(docs: DataFrame, held: Column | None = None, block_bytes: in
     words = tables.filter("word IS NOT NULL").select("block", F.lit(0).alias("kind"), F.sum("n").over(by_word).alias("id"), (F.min("block").over(by_word) == F.col("block")).cast("double").alias("num"), F.col("word").alias("bytes"))
 
     strings = tables.filter("word IS NULL")
-    subtree = F.shiftright("string", 8 * (tree.DEPTH - TOP + 1))
-    totals = cut(strings.groupBy("string").agg(F.sum("n").alias("n")).repartition(parallelism(spark), subtree).sortWithinPartitions("string"))
-    crowns = totals.mapInArrow(_crowns, "node long, zeros double, ones double, below double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
-    top = _top(crowns.collect())  # 65,280 rows at most
-    model = totals.mapInArrow(lambda b: _model(b, top), "string long, log10 double")
+    context = lambda d: F.shiftright("string", 8 * (tree.DEPTH - d + 1))
+    totals = cut(strings.groupBy("string").agg(F.sum("n").alias("n")).repartition(parallelism(spark), context(INNER)).sortWithinPartitions("string"))
+    whole = lambda df: df.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
+    sums = "node long, zeros double, ones double, below double"
+    inner = cut(whole(totals.mapInArrow(lambda b: _crowns(b, piece), sums)))
+    top = _top(whole(inner.mapInArrow(_raise, sums)).collect())  # 65,280 rows at most
+    none = F.lit(None).cast("double")
+    nodes = inner.select(F.shiftright("node", 8).alias("prefix"), F.lit(0).alias("kind"), F.col("node").alias("key"), F.col("zeros").cast("long").alias("n"), "ones", "below")
+    keyed = totals.select(context(INNER - 1).alias("prefix"), F.lit(1).alias("kind"), F.col("string").alias("key"), "n", none.alias("ones"), none.alias("below"))
+    model = nodes.unionByName(keyed).repartition(parallelism(spark), "prefix").sortWithinPartitions("prefix", "kind", "key").mapInArrow(lambda b: _model(b, top, piece), "string long, log10 double")
     logs = strings.select("string", "block").join(model, "string").select("block", F.lit(1).alias("kind"), F.col("string").alias("id"), F.col("log10").alias("num"), F.lit(None).cast("binary").alias("bytes"))
 
     texts = packed.select("block", F.lit(2).alias("kind"), "id", F.col("held").cast("double").alias("num"), F.col("packed").alias("bytes"))

@@ -73,8 +73,8 @@ def rows():
     return out + [(100, None, "x", 1), (101, "", "x", 1), (102, "\n\t ", None, None), (None, "no id", "x", 1), (103, "zebra", "x", 1), (103, "zebra", "x", 1)]
 
 
-@pytest.mark.parametrize("block_bytes", [32_000_000, 150])
-def test_against_plain_models(spark, block_bytes):
+@pytest.mark.parametrize("block_bytes,piece", [(32_000_000, 300_000), (150, 20)])
+def test_against_plain_models(spark, block_bytes, piece):
     data = [(i, (t or "").encode().lower()) for i, t, *_ in rows()]
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in data}
     assert 3 < sum(held.values()) < 30
@@ -82,7 +82,7 @@ def test_against_plain_models(spark, block_bytes):
     roots, c = plain_model(learned), Counter(w for t in learned for w in (*t.split(), b""))
     n, v = sum(c.values()), len(c)
     want = sorted((-1 if i is None else i, held[i], len(t.split()) + 1, sum(c[w] > 0 for w in (*t.split(), b"")), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in (*t.split(), b"")), 5), round(plain_score(roots, t), 5)) for i, t in data)
-    got = score_documents(spark.createDataFrame(rows(), SCHEMA).repartition(3), block_bytes=block_bytes).collect()
+    got = score_documents(spark.createDataFrame(rows(), SCHEMA).repartition(3), block_bytes=block_bytes, piece=piece).collect()
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want, strict=True):
