@@ -73,6 +73,16 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op5_substring_dedup": """
+        WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        bytes AS (SELECT doc_id, n, h, unnest(range(n)) AS pos FROM docs),
+        keyed AS (SELECT doc_id, pos, substr(h, 2 * pos + 1, 2) AS pair, CASE WHEN pos <= n - 100 THEN md5(substr(h, 2 * pos + 1, 200)) END AS piece FROM bytes),
+        seen AS (SELECT doc_id, pos, pair, piece IS NOT NULL AND row_number() OVER (PARTITION BY piece ORDER BY doc_id, pos) > 1 AS again FROM keyed),
+        gone AS (SELECT doc_id, pos, pair, coalesce(max(CASE WHEN again THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) >= pos - 99, false) AS covered FROM seen),
+        runs AS (SELECT *, covered AND NOT coalesce(lag(covered) OVER (PARTITION BY doc_id ORDER BY pos), false) AS starts FROM gone),
+        found AS (SELECT doc_id, count(*) FILTER (covered) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(pair, '' ORDER BY pos) FILTER (NOT covered) AS kept FROM runs GROUP BY doc_id)
+        SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM docs d LEFT JOIN found f ON f.doc_id = d.doc_id""",
     "op7_url_filter": r"""
         WITH rules(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
                  ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
