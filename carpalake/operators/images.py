@@ -31,7 +31,7 @@ def legacy_box(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
     A background is dark if at least three corners are below 100; the mask is then v > 20, else v < 235. The padded
     box of the mask is taken if it has less than 90 % of the image; its far edges are exclusive.
     """
-    p = pixels.join(F.broadcast(sizes) if sizes.isLocal() else sizes, "id")
+    p = pixels.join(sizes, "id")
     corner = F.col("x").isin(0) | (F.col("x") == F.col("w") - 1)
     corner &= F.col("y").isin(0) | (F.col("y") == F.col("h") - 1)
     masked = lambda m: [f(F.when(m, F.col(c))).alias(f"{n}{c}_{k}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))]
