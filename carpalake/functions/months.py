@@ -46,6 +46,11 @@ def age_from_form(years: Column, months: Column) -> Column:
     return F.nullif(total_months(years, months), F.lit(0))
 
 
+def valid_form(years: Column, months: Column) -> Column:
+    """Whether an entered age is within what the form takes."""
+    return years.between(0, 20) & months.between(0, 11)
+
+
 def age_or_default(ic: Column) -> Column:
     return F.coalesce(ic, F.lit(120.0))
 

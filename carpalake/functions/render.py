@@ -87,3 +87,7 @@ def stats_path(model_path: Column) -> Column:
 
 def percent(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.floor(done / total * 100).cast("int"))
+
+
+def mae_line(name: Column, mae: Column, n: Column) -> Column:
+    return F.concat(F.rpad(name, 10, " "), fixed(mae, 2), F.lit(" months (n="), n.cast("string"), F.lit(")"))

@@ -286,3 +286,14 @@ def map_images(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) ->
             yield pd.DataFrame(out, columns=["id", "height", "width", "channels", "data"]).astype({"height": "Int32", "width": "Int32", "channels": "Int32"})
 
     return images.select("id", "height", "width", "channels", "data").mapInPandas(run, IMAGE)
+
+
+def crop_boxes(images: DataFrame, box: Callable[[np.ndarray], tuple[int, int, int, int]] = crop_box) -> DataFrame:
+    """id and the box of each image: x0, y0, x1, y1 (far edges exclusive)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(r.id, *box(to_rgb(decode(r.height, r.width, r.channels, r.data)))) for r in batch.itertuples()]
+            yield pd.DataFrame(found, columns=["id", "x0", "y0", "x1", "y1"])
+
+    return images.select("id", "height", "width", "channels", "data").mapInPandas(run, "id BIGINT, x0 INT, y0 INT, x1 INT, y1 INT")

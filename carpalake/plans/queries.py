@@ -172,6 +172,13 @@ def mae_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.mae_report(study(spark, sf_dir).withColumnRenamed("boneage", "target"))
 
 
+@register(f"""WITH {STUDY_SQL}, e AS (SELECT abs(pred - boneage) AS err, {BAND} AS band FROM study)
+    SELECT rpad(band, 10, ' ') || printf('%.2f', avg(err)) || ' months (n=' || count(*) || ')' AS line FROM e WHERE band IS NOT NULL GROUP BY band""")
+def mae_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluate.mae_report(study(spark, sf_dir).withColumnRenamed("boneage", "target")).filter("grouping = 'band'")
+    return out.select(r.mae_line(F.col("value"), F.col("mae"), F.col("n")).alias("line"))
+
+
 @register(f"WITH {STUDY_SQL} SELECT male, avg(abs(pred - boneage)) AS mae, count(*) AS n FROM study GROUP BY 1")
 def mae_by_sex(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluate.mae_report(study(spark, sf_dir).withColumnRenamed("boneage", "target"))
@@ -337,6 +344,17 @@ def legacy_crop_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.legacy_box(p, sizes)
 
 
+@register(ORACLES["legacy_crop_box"].replace(", ok AS cropped", ""))
+def legacy_crop_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same boxes from the numpy kernel."""
+    return images.crop_boxes(synthetic_images(spark, sf_dir), lambda img: images.crop_legacy_box(img[:, :, 0]))
+
+
+@register()
+def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.crop_boxes(synthetic_images(spark, sf_dir))
+
+
 LABELLED_SQL = f"WITH {PIXELS_SQL}, l AS (SELECT *, CASE WHEN v = 120 THEN 1 + x // 32 ELSE 0 END AS label FROM pixels), st AS (SELECT id, label, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, avg(x) AS cx, avg(y) AS cy FROM l WHERE label <> 0 GROUP BY ALL)"
 
 

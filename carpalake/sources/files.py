@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import COHORT_CSV, STATS
@@ -43,6 +43,11 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg}").load(path).select("path", "length", "content")
 
 
+def preferred(pasted: Column, uploaded: Column) -> Column:
+    """A pasted image goes before an uploaded one."""
+    return F.coalesce(pasted, uploaded)
+
+
 def missing_images(cohort: DataFrame, images: DataFrame) -> DataFrame:
     """Rows of the cohort without an image of their id."""
     return cohort.join(images.select("id"), "id", "left_anti")
@@ -66,4 +71,4 @@ def write_stats(stats: DataFrame, path: str) -> None:
     out.close()
 
 
-__all__ = ["COHORT_CSV", "bgr_to_rgb", "missing_images", "read_cohort", "read_images", "read_stats", "read_uploads", "with_images", "write_stats"]
+__all__ = ["COHORT_CSV", "bgr_to_rgb", "missing_images", "preferred", "read_cohort", "read_images", "read_stats", "read_uploads", "with_images", "write_stats"]
