@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import context_tree as tree
-from .common import cut, parallelism, shared_checkpoints
+from .common import cut, parallelism, shared_checkpoints, tidy
 
 CHUNK = 1_000_000  # bytes of text that are worked on at once
 PIECE = 300_000  # strings that are worked out at once, up to the end of a context
@@ -61,9 +62,8 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """batches: block, held, packed, sorted by block. The words and strings of each block with their counts in training texts."""
 
     def emit(block: int, words: Counter, found: list) -> Iterator[pa.RecordBatch]:
-        items = list(words.items())
-        for i in range(0, len(items), 50_000):
-            part = items[i : i + 50_000]
+        items = iter(words.items())
+        while part := list(islice(items, 50_000)):
             yield pa.record_batch([pa.array(np.full(len(part), block, np.int32)), pa.array([w for w, _ in part], pa.binary()), pa.nulls(len(part), pa.int64()), pa.array([n for _, n in part], pa.int64())], schema=STRING_SCHEMA)
         keys, n = tree.grouped(*map(np.concatenate, zip(*found, strict=True)))
         for i in range(0, len(keys), 200_000):
@@ -256,8 +256,8 @@ def score_documents(docs: DataFrame, held: Column | None = None, block_bytes: in
     text = F.coalesce(F.col(text_col), F.lit(""))
     n = max(1, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // block_bytes))
     deal = F.pmod(F.xxhash64(id_col, text), F.lit(n)).cast("int")
-    packed = docs.select(deal.alias("block"), F.col(id_col).cast("long").alias("id"), held.alias("held"), text.cast("binary").alias("text")).mapInArrow(_compress, "block int, id long, held boolean, packed binary")
-    tables = packed.select("block", "held", "packed").repartition(4 * n, "block").sortWithinPartitions("block").mapInArrow(_tables, "block int, word binary, string long, n long")
+    packed = docs.select(deal.alias("block"), F.col(id_col).cast("long").alias("id"), held.alias("held"), text.cast("binary").alias("text")).mapInArrow(lambda b: tidy(_compress(b)), "block int, id long, held boolean, packed binary")
+    tables = packed.select("block", "held", "packed").repartition(4 * n, "block").sortWithinPartitions("block").mapInArrow(lambda b: tidy(_tables(b)), "block int, word binary, string long, n long")
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables-{uuid.uuid4().hex}"
     tables.write.parquet(folder)
     tables = spark.read.schema(tables.schema).parquet(folder)
@@ -270,16 +270,16 @@ def score_documents(docs: DataFrame, held: Column | None = None, block_bytes: in
     totals = cut(strings.groupBy("string").agg(F.sum("n").alias("n")).repartition(parallelism(spark), context(INNER)).sortWithinPartitions("string"))
     whole = lambda df: df.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
     sums = "node long, zeros double, ones double, below double"
-    inner = cut(whole(totals.mapInArrow(lambda b: _crowns(b, piece), sums)))
+    inner = cut(whole(totals.mapInArrow(lambda b: tidy(_crowns(b, piece)), sums)))
     top = _top(whole(inner.mapInArrow(_raise, sums)).collect())  # 65,280 rows at most
     none = F.lit(None).cast("double")
     nodes = inner.select(F.shiftright("node", 8).alias("prefix"), F.lit(0).alias("kind"), F.col("node").alias("key"), F.col("zeros").cast("long").alias("n"), "ones", "below")
     keyed = totals.select(context(INNER - 1).alias("prefix"), F.lit(1).alias("kind"), F.col("string").alias("key"), "n", none.alias("ones"), none.alias("below"))
-    model = nodes.unionByName(keyed).repartition(parallelism(spark), "prefix").sortWithinPartitions("prefix", "kind", "key").mapInArrow(lambda b: _model(b, top, piece), "string long, log10 double")
+    model = nodes.unionByName(keyed).repartition(parallelism(spark), "prefix").sortWithinPartitions("prefix", "kind", "key").mapInArrow(lambda b: tidy(_model(b, top, piece)), "string long, log10 double")
     logs = strings.select("string", "block").join(model, "string").select("block", F.lit(1).alias("kind"), F.col("string").alias("id"), F.col("log10").alias("num"), F.lit(None).cast("binary").alias("bytes"))
 
     texts = packed.select("block", F.lit(2).alias("kind"), "id", F.col("held").cast("double").alias("num"), F.col("packed").alias("bytes"))
-    scored = cut(words.unionByName(logs).unionByName(texts).repartition(4 * n, "block").sortWithinPartitions("block", "kind").mapInArrow(_score, SCORES))
+    scored = cut(words.unionByName(logs).unionByName(texts).repartition(4 * n, "block").sortWithinPartitions("block", "kind").mapInArrow(lambda b: tidy(_score(b)), SCORES))
     v, total = scored.agg(F.sum("words"), F.sum("tokens")).first()
     per_token = F.lit(float(np.log10((total or 0) + 0.5 * ((v or 0) + 1))))
     return scored.filter("n_tokens IS NOT NULL").select(
