@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 WORD = re.compile(r"[^\W_]+")
 #: Scores of a word that is equal, of one that differs or is missing, and of an extra one: each edit costs 5 against a whole match, a word cut off at an end 4.
 MATCH, OTHER, EXTRA = 4, -1, -5
@@ -182,7 +184,7 @@ def _indexes(docs: DataFrame, items: DataFrame, similarity: float, gram: int, it
         sizes = [size_of(len(h), similarity, gram) for _, h in block]
         every = Index.build(block, [(n, list(range(len(h) - n + 1))) for n, (_, h) in zip(sizes, block, strict=True)])
         costs = [np.zeros(len(h) - n + 1) for n, (_, h) in zip(sizes, block, strict=True)]
-        counted = texts.mapInArrow(lambda b, every=every: _count(b, every), "n long, at long, times long").groupBy("n", "at").agg(F.sum("times").alias("times"))
+        counted = texts.mapInArrow(lambda b, every=every: tidy(_count(b, every)), "n long, at long, times long").groupBy("n", "at").agg(F.sum("times").alias("times"))
         for r in counted.collect():  # one row per n-gram of the block at most
             _, _, item, place = every.sizes[r.n]
             costs[item[r.at]][place[r.at]] = r.times
@@ -215,7 +217,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, gram:
                 cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
                 yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(cols[0], item_type), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names)
 
-        found = source.mapInArrow(search, ids)
+        found = source.mapInArrow(lambda b, search=search: tidy(search(b)), ids)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], ids)
@@ -229,7 +231,9 @@ def drop_leaking(docs: DataFrame, items: DataFrame, similarity: float = 0.8, gra
 
         def keep(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not leaks(t.as_py(), index, similarity) for t in batch.column(at)], pa.bool_()))
+                for i in range(0, batch.num_rows, 1000):
+                    part = batch.slice(i, 1000)
+                    yield part.filter(pa.array([not leaks(t.as_py(), index, similarity) for t in part.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(lambda b, keep=keep: tidy(keep(b)), docs.schema)
     return docs

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut
+from .common import cut, tidy
 
 CACHE_WORDS = 2_000_000
 _tokenizers: dict = {}
@@ -223,7 +223,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, windows: int =
     flagged = COLUMNS + ", left boolean"
     schema = to_arrow_schema(spark.createDataFrame([], flagged).schema)
     placed = cut(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: _pack(batches, tokenizer_path, size, windows, end_id, with_ids, schema), flagged)
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: tidy(_pack(batches, tokenizer_path, size, windows, end_id, with_ids, schema)), flagged)
     )
     columns = [c.split()[0] for c in COLUMNS.split(", ")][: 8 if with_ids else 7]
     left = placed.filter("left").withColumn("part", F.expr(f"sequence_id div {FULL_IDS * merge}"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, parallelism
+from .common import cut, parallelism, tidy
 from .components import components
 
 BITS = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], np.float64)
@@ -55,7 +55,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, tag (a hash of the whole text, to tell rows with one id apart), fp (signed)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("text")).mapInArrow(_fingerprints, "id long, tag long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("text")).mapInArrow(lambda b: tidy(_fingerprints(b)), "id long, tag long, fp long")
 
 
 def _tree(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -135,7 +135,7 @@ def _scan(batches: Iterator[pa.RecordBatch], bucket: int | None) -> Iterator[pa.
 
 def _level(rows: DataFrame, bucket: int | None) -> DataFrame:
     parts = parallelism(rows.sparkSession)
-    return cut(rows.repartition(parts, "k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(lambda b: _scan(b, bucket), "k1 long, k2 long, a long, b long"))
+    return cut(rows.repartition(parts, "k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(lambda b: tidy(_scan(b, bucket)), "k1 long, k2 long, a long, b long"))
 
 
 def near_links(fps: DataFrame, bucket: int = 4096) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism, shared_checkpoints
+from .common import cut, parallelism, shared_checkpoints, tidy
 from .suffix_sort import BASE, SPREAD, sort_groups
 
 PIECE = 1 << 20  # bytes that are hashed at once; places fit 20 bits
@@ -403,29 +403,29 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, most: int =
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text).bitwiseOR(F.lit(-(1 << 63)).cast("long")))
     base = docs.select(key.alias("doc"), F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("text"))
 
-    counts = base.filter(F.pmod(F.xxhash64("doc"), F.lit(sample)) == 0).select("doc", "text").mapInArrow(lambda b: _find(b, length, k, np.empty(0, np.uint64), True), "h long").groupBy("h").count()
+    counts = base.filter(F.pmod(F.xxhash64("doc"), F.lit(sample)) == 0).select("doc", "text").mapInArrow(lambda b: tidy(_find(b, length, k, np.empty(0, np.uint64), True)), "h long").groupBy("h").count()
     counts = cut(counts)
     often = max(hot_least, (counts.agg(F.sum("count")).first()[0] or 0) // hot_parts)  # at most hot_parts hashes; which ones changes the work, not the result
     hot = np.array([r.h for r in counts.filter(F.col("count") >= often).collect()], np.int64).view(np.uint64)
 
     def meet(rows: DataFrame) -> DataFrame:
-        return rows.repartition(parts, "h").sortWithinPartitions("h", "c", "doc", "place").mapInArrow(lambda b: _meet(b, length, k), FOUND)
+        return rows.repartition(parts, "h").sortWithinPartitions("h", "c", "doc", "place").mapInArrow(lambda b: tidy(_meet(b, length, k)), FOUND)
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(folder)
         return spark.read.schema(df.schema).parquet(folder)
 
-    found = kept(meet(base.select("doc", "text").mapInArrow(lambda b: _find(b, length, k, hot, False), ROWS)), "anchors")
-    packed = base.mapInArrow(_pack, "doc long, id long, packed binary")
+    found = kept(meet(base.select("doc", "text").mapInArrow(lambda b: tidy(_find(b, length, k, hot, False)), ROWS)), "anchors")
+    packed = base.mapInArrow(lambda b: tidy(_pack(b)), "doc long, id long, packed binary")
     texts = packed.select("doc", "packed", "id", *[F.lit(None).cast("long").alias(c) for c in ("start", "end", "h")])
     rows = lambda df: df.select("doc", F.lit(None).cast("binary").alias("packed"), F.lit(None).cast("long").alias("id"), "start", "end", "h")
     by_doc = lambda df: texts.unionByName(rows(df)).repartition(parts, "doc").sortWithinPartitions("doc")
 
-    contexts = by_doc(found.filter("h IS NOT NULL")).mapInArrow(lambda b: _contexts(b, length, k), CONTEXTS)
-    resolved = kept(contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(lambda b: _resolve(b, length, k, most), ROWS), "resolved")
+    contexts = by_doc(found.filter("h IS NOT NULL")).mapInArrow(lambda b: tidy(_contexts(b, length, k)), CONTEXTS)
+    resolved = kept(contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(lambda b: tidy(_resolve(b, length, k, most)), ROWS), "resolved")
     covers = found.filter("h IS NULL").unionByName(resolved.filter(F.col("kind") == COVER).select("doc", F.col("place").alias("start"), F.col("c").alias("end"), F.lit(None).cast("long").alias("h")))
     if not resolved.filter(F.col("kind") == STRETCH).isEmpty():
         covers = covers.unionByName(meet(resolved.filter(F.col("kind") == STRETCH)).filter("h IS NULL"))
-    out = by_doc(covers).mapInArrow(lambda b: _remove(b, with_text), OUT)
+    out = by_doc(covers).mapInArrow(lambda b: tidy(_remove(b, with_text)), OUT)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .features import mix
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -106,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most:
     marks = F.array(*[F.max(F.coalesce(F.expr(c).cast("int"), F.lit(0))) for c in categories.values()])
     some = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(marks.alias("marks")).withColumn("at", F.xxhash64("__id")).orderBy("at", "__id").limit(most)
     held = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("__doc") == F.col("__id"))
-    got = held.select("at", "marks", "text").mapInArrow(_slots, "at long, marks array<int>, slots array<long>").orderBy("at").limit(most).toArrow()
+    got = held.select("at", "marks", "text").mapInArrow(lambda b: tidy(_slots(b)), "at long, marks array<int>, slots array<long>").orderBy("at").limit(most).toArrow()
     rows = [np.asarray(x.values, np.int64) for x in got.column("slots")]
     return fit_chain(rows, np.array(got.column("marks").to_pylist(), np.int64).reshape(len(rows), len(categories)))
 
@@ -136,7 +137,7 @@ def judge_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str
     """
     chain = train(docs, labels, categories, most, id_col, text_col)
     names = list(categories)
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda b: _judge(b, chain, names), f"id {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{n} double" for n in names))
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda b: tidy(_judge(b, chain, names)), f"id {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{n} double" for n in names))
     return out.select(F.col("id").alias(id_col), *names, (F.col(names[-1]) >= threshold).alias("toxic"))
 
 
@@ -146,7 +147,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, categories: dict[str, str] =
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (judged,) = _judge(iter([pa.record_batch([batch.column(at)], ["text"])]), chain, list(categories))
-            yield batch.filter(pa.array(judged.column(judged.num_columns - 1).to_numpy() < threshold))
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                (judged,) = _judge(iter([pa.record_batch([part.column(at)], ["text"])]), chain, list(categories))
+                yield part.filter(pa.array(judged.column(judged.num_columns - 1).to_numpy() < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lambda b: tidy(keep(b)), docs.schema)
