@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import cut, parallelism, shared_checkpoints, tidy
 from .suffix_sort import BASE, SPREAD, sort_groups
 
-PIECE = 1 << 20  # bytes that are hashed at once; places fit 20 bits
-FLUSH = 1_000_000  # anchors that a map task combines at once
+PIECE = 1 << 19  # bytes that are hashed at once; places fit 20 bits
+FLUSH = 250_000  # anchors that a map task combines at once
 WHOLE, STRETCH, COVER = 0, 1, 2  # kinds of rows: an anchor, a stretch by itself, a covered interval
 
 
