@@ -38,10 +38,15 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """batches; at their end the memory that Arrow and the C library have kept back goes to the system, for the worker may idle or do other work next."""
-    yield from batches
+def release() -> None:
+    """Hand the memory that Arrow and the C library have kept back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
+
+
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches, and release() at their end, for the worker may idle or do other work next."""
+    yield from batches
+    release()

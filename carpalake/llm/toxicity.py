@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import release, tidy
 from .features import mix
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -27,7 +27,7 @@ SLOTS = 1 << 18
 def word_slots(text: str | None) -> np.ndarray:
     """The slots of the distinct words (runs of letters, in lower case)."""
     words = set(WORD.findall((text or "").lower()))
-    return np.unique(mix(np.fromiter((crc32(w.encode()) for w in words), np.uint64, len(words)), SLOTS))
+    return np.unique(mix(np.fromiter((crc32(w.encode()) for w in words), np.uint64, len(words)), SLOTS)).astype(np.int32)
 
 
 @dataclass
@@ -50,8 +50,8 @@ def fit_linear(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, featu
     Words only speak for a category, never against it (weights are 0 or more), so that no amount of harmless text
     around it makes a toxic passage pass.
     """
-    n, flat = len(rows), np.concatenate([*rows, np.empty(0, np.int64)])
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
+    n, flat = len(rows), np.concatenate([*rows, np.empty(0, np.int32)])
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     base = min(max(y.mean() if n else 0.0, 1e-3), 1 - 1e-3)
     seen = np.bincount(flat, minlength=SLOTS)
     z = (np.bincount(flat, weights=y[row], minlength=SLOTS) - seen * base) / np.sqrt(np.maximum(seen, 1) * base * (1 - base))
@@ -99,7 +99,7 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: int = 3) -> lis
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([word_slots(t.as_py()) for t in batch.column(2)], pa.list_(pa.int64()))], ["at", "marks", "slots"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([word_slots(t.as_py()) for t in batch.column(2)], pa.list_(pa.int32()))], ["at", "marks", "slots"])
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> list[Linear]:
@@ -107,9 +107,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most:
     marks = F.array(*[F.max(F.coalesce(F.expr(c).cast("int"), F.lit(0))) for c in categories.values()])
     some = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(marks.alias("marks")).withColumn("at", F.xxhash64("__id")).orderBy("at", "__id").limit(most)
     held = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("__doc") == F.col("__id"))
-    got = held.select("at", "marks", "text").mapInArrow(lambda b: tidy(_slots(b)), "at long, marks array<int>, slots array<long>").orderBy("at").limit(most).toArrow()
-    rows = [np.asarray(x.values, np.int64) for x in got.column("slots")]
-    return fit_chain(rows, np.array(got.column("marks").to_pylist(), np.int64).reshape(len(rows), len(categories)))
+    got = held.select("at", "marks", "text").mapInArrow(lambda b: tidy(_slots(b)), "at long, marks array<int>, slots array<int>").orderBy("at").limit(most).toArrow()
+    marks = np.array(got.column("marks").to_pylist(), np.int64).reshape(got.num_rows, len(categories))
+    rows = [np.asarray(x.values, np.int32) for x in got.column("slots")]
+    del got
+    chain = fit_chain(rows, marks)
+    del rows
+    release()
+    return chain
 
 
 def _judge(batches: Iterator[pa.RecordBatch], chain: list[Linear], names: list[str]) -> Iterator[pa.RecordBatch]:
