@@ -27,6 +27,7 @@ from .common import cut, parallelism, shared_checkpoints, tidy
 
 CHUNK = 1_000_000  # bytes of text that are worked on at once
 PIECE = 300_000  # strings that are worked out at once, up to the end of a context
+SHARES = 8
 INNER = 3  # contexts of so many bytes are worked out by themselves; the levels above are joined to them
 
 
@@ -156,21 +157,34 @@ def _top(rows: list) -> dict[int, tree.Nodes]:
 
 
 def _model(batches: Iterator[pa.RecordBatch], top: dict[int, tree.Nodes], piece: int) -> Iterator[pa.RecordBatch]:
-    """batches: prefix, kind, key, n, ones, below by prefix, kind, key: of each context of two bytes its nodes (n: zeros), then its strings."""
-    held, nodes = [np.empty(0, np.int64)] * 2, [np.empty(0, t) for t in (np.int64, np.float64, np.float64, np.float64)]
-    for batch in _and_none(batches):
-        if batch is not None:
-            kind, key, n, ones, below = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
-            is_node = kind == 0
-            nodes = [np.concatenate([h, c[is_node]]) for h, c in zip(nodes, (key, n.astype(np.float64), ones, below), strict=True)]
-            held = [np.concatenate([h, c[~is_node]]) for h, c in zip(held, (key, n), strict=True)]
-        if take := _whole(held, batch is None, piece):
+    """batches: share, prefix, kind, key, n, ones, below in this order: in each share, of each context of two bytes its nodes (n: zeros), then its strings."""
+    empty = [np.empty(0, t) for t in (np.int64, np.float64, np.float64, np.float64)]
+    held, nodes, now = [empty[0]] * 2, empty, None
+
+    def work(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, nodes
+        if take := _whole(held, last, piece):
             keys, n = (h[:take] for h in held)
             levels = tree.levels(keys[n > 0], n[n > 0], INNER) | {INNER - 1: _nodes(*nodes)} | top
             yield pa.record_batch([pa.array(keys), pa.array(tree.log_probabilities(keys, levels) / np.log(10))], ["string", "log10"])
             context = keys[-1] >> (8 * (tree.DEPTH - INNER + 2))
             held, nodes = [h[take:] for h in held], [c[nodes[0] >> 8 >= context] for c in nodes]
 
+    for batch in batches:
+        share = batch.column(0).to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], share[1:] != share[:-1]])).tolist() if len(share) else []
+        for start, end in zip(edges, [*edges[1:], len(share)], strict=True):
+            if share[start] != now:
+                yield from work(True)
+                nodes, now = empty, share[start]
+            part = batch.slice(start, end - start)
+            kind, key, n, ones, below = (part.column(i).to_numpy(zero_copy_only=False) for i in range(2, 7))
+            is_node = kind == 0
+            nodes = [np.concatenate([h, c[is_node]]) for h, c in zip(nodes, (key, n.astype(np.float64), ones, below), strict=True)]
+            held = [np.concatenate([h, c[~is_node]]) for h, c in zip(held, (key, n), strict=True)]
+            yield from work(False)
+    yield from work(True)
+
 
 class Lookup:
     """Values by key: a table of one slot a key, and a sorted rest for keys whose slot is taken."""
@@ -273,9 +287,10 @@ def score_documents(docs: DataFrame, held: Column | None = None, block_bytes: in
     inner = cut(whole(totals.mapInArrow(lambda b: tidy(_crowns(b, piece)), sums)))
     top = _top(whole(inner.mapInArrow(_raise, sums)).collect())  # 65,280 rows at most
     none = F.lit(None).cast("double")
-    nodes = inner.select(F.shiftright("node", 8).alias("prefix"), F.lit(0).alias("kind"), F.col("node").alias("key"), F.col("zeros").cast("long").alias("n"), "ones", "below")
-    keyed = totals.select(context(INNER - 1).alias("prefix"), F.lit(1).alias("kind"), F.col("string").alias("key"), "n", none.alias("ones"), none.alias("below"))
-    model = nodes.unionByName(keyed).repartition(parallelism(spark), "prefix").sortWithinPartitions("prefix", "kind", "key").mapInArrow(lambda b: tidy(_model(b, top, piece)), "string long, log10 double")
+    share = F.pmod(F.xxhash64(context(INNER)), F.lit(SHARES)).cast("int")  # a context of two bytes is dealt to so many tasks, its nodes to each
+    nodes = inner.select(F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"), F.shiftright("node", 8).alias("prefix"), F.lit(0).alias("kind"), F.col("node").alias("key"), F.col("zeros").cast("long").alias("n"), "ones", "below")
+    keyed = totals.select(share.alias("share"), context(INNER - 1).alias("prefix"), F.lit(1).alias("kind"), F.col("string").alias("key"), "n", none.alias("ones"), none.alias("below"))
+    model = nodes.unionByName(keyed).repartition(parallelism(spark), "share", "prefix").sortWithinPartitions("share", "prefix", "kind", "key").mapInArrow(lambda b: tidy(_model(b, top, piece)), "string long, log10 double")
     logs = strings.select("string", "block").join(model, "string").select("block", F.lit(1).alias("kind"), F.col("string").alias("id"), F.col("log10").alias("num"), F.lit(None).cast("binary").alias("bytes"))
 
     texts = packed.select("block", F.lit(2).alias("kind"), "id", F.col("held").cast("double").alias("num"), F.col("packed").alias("bytes"))
