@@ -1,0 +1,61 @@
+"""The model-file scorer on a tiny graph, written out by hand: the mean pixel plus the meta value."""
+
+import numpy as np
+import pytest
+
+pytest.importorskip("onnxruntime")
+
+from carpalake.operators import images, score  # noqa: E402
+
+
+def number(field, value):
+    out, rest = bytes([field << 3]) if field < 16 else bytes([field << 3 & 127 | 128, field >> 4]), value
+    while True:
+        out += bytes([rest & 127 | (128 if rest > 127 else 0)])
+        rest >>= 7
+        if not rest:
+            return out
+
+
+def block(field, data):
+    data = data.encode() if isinstance(data, str) else data
+    head = number(field, len(data))
+    return bytes([head[0] | 2]) + head[1:] + data
+
+
+def tensor_info(name, shape):
+    dims = b"".join(block(1, block(2, d) if isinstance(d, str) else number(1, d)) for d in shape)
+    return block(1, name) + block(2, block(1, number(1, 1) + block(2, dims)))
+
+
+def mean(source, target, axes):
+    kept = block(1, "keepdims") + number(3, 0) + number(20, 2)
+    along = block(1, "axes") + b"".join(number(8, a) for a in axes) + number(20, 7)
+    return block(1, source) + block(2, target) + block(4, "ReduceMean") + block(5, along) + block(5, kept)
+
+
+@pytest.fixture
+def model(tmp_path):
+    add = block(1, "a") + block(1, "b") + block(2, "bone_age_norm") + block(4, "Add")
+    graph = block(1, mean("image", "a", (1, 2, 3))) + block(1, mean("meta", "b", (1,))) + block(1, add) + block(2, "g")
+    graph += block(11, tensor_info("image", ("n", 3, "h", "w"))) + block(11, tensor_info("meta", ("n", 1))) + block(12, tensor_info("bone_age_norm", ("n",)))
+    path = tmp_path / "tiny.onnx"
+    path.write_bytes(number(1, 8) + block(7, graph) + block(8, block(1, "") + number(2, 13)))
+    return str(path)
+
+
+def test_scores_a_batch(model):
+    x = np.random.default_rng(0).random((5, 3, 8, 8)).astype(np.float32)
+    meta = np.array([[0], [1], [0], [1], [1]], np.float32)
+    scorer = score.OnnxScorer(model)
+    assert scorer.meta_width == 1
+    assert scorer(x, meta) == pytest.approx(x.mean(axis=(1, 2, 3)) + meta[:, 0], abs=1e-6)
+
+
+def test_in_spark(spark, model):
+    img = np.random.default_rng(1).integers(0, 256, (24, 20, 3)).astype(np.uint8)
+    requests = spark.createDataFrame([(1, 1, 60.0, 24, 20, 3, img.tobytes()), (2, 0, 90.0, 24, 20, 3, img.tobytes())], "id long, male int, ic_months double, height int, width int, channels int, data binary")
+    stats = spark.createDataFrame([(100.0, 10.0)], "boneage_mean double, boneage_std double")
+    got = {r.id: r.bone_age_meses for r in score.predict(requests, stats, lambda: score.OnnxScorer(model), size=16).collect()}
+    z = images.tensor(img, 16).mean()
+    assert got[1] == pytest.approx((z + 1) * 10 + 100, abs=1e-3) and got[2] == pytest.approx(z * 10 + 100, abs=1e-3)
