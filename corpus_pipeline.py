@@ -17,7 +17,7 @@ from carpalake.llm.decontamination import drop_leaking
 from carpalake.llm.exact_dedup import drop_exact
 from carpalake.llm.packing import pack
 from carpalake.llm.queries import word_tokenizer
-from carpalake.llm.simhash import drop_near
+from carpalake.llm.similar import drop_similar
 from carpalake.llm.toxicity import drop_toxic
 
 
@@ -32,8 +32,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document with the smallest doc_id stays."""
-    return drop_near(docs)
+    """Of each group linked by 5-word Jaccard similarities of at least 0.8, the document with the smallest doc_id stays."""
+    return drop_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
