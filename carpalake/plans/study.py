@@ -34,8 +34,8 @@ STUDY_SQL = """
 
 
 def synthetic_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, x, y, v: 200 gray images of 64 by 64. The pixels of an id are generated, not joined."""
-    ids = table(spark, sf_dir, "embeddings").filter("vec_id < 200").select(F.col("vec_id").alias("id"))
+    """id, x, y, v: a gray image of 64 by 64 for each row of embeddings. The pixels of an id are generated, not joined."""
+    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
     at = ids.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(63))))
     wide = (F.col("id") % 10 == 9) & F.col("x").between(2, 61) & F.col("y").between(2, 61)
     x0, y0 = 4 + F.col("id") % 23, 3 + F.col("id") % 19
