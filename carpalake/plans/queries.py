@@ -420,9 +420,9 @@ def fixed_stats(spark: SparkSession) -> DataFrame:
 
 @register()
 def score_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.predict(requests(spark, sf_dir), fixed_stats(spark), score.MeanPixelScorer, size=64)
+    return score.predict(requests(spark, sf_dir), fixed_stats(spark), score.MeanPixelScorer)
 
 
 @register()
 def analysis_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.analyze(requests(spark, sf_dir), fixed_stats(spark), score.MeanPixelScorer, size=64)
+    return score.analyze(requests(spark, sf_dir), fixed_stats(spark), score.MeanPixelScorer)

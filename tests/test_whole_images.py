@@ -45,3 +45,11 @@ def test_crop_boxes(spark, folder):
 @pytest.mark.parametrize("name", ["score_pipeline", "analysis_pipeline"])
 def test_scores_cover_all_images(spark, folder, name):
     assert sorted(r.id for r in queries.QUERIES[name](spark, folder).collect()) == IDS
+
+
+@pytest.mark.parametrize(("name", "flow"), [("score_pipeline", score.predict), ("analysis_pipeline", score.analyze)])
+def test_flows_run_at_the_full_size(spark, folder, name, flow):
+    got = sorted(queries.QUERIES[name](spark, folder).collect())
+    want = flow(queries.requests(spark, folder), queries.fixed_stats(spark), score.MeanPixelScorer, size=512).collect()
+    other = flow(queries.requests(spark, folder), queries.fixed_stats(spark), score.MeanPixelScorer, size=64).collect()
+    assert got == sorted(want) != sorted(other)
