@@ -178,7 +178,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> I
 def _indexes(docs: DataFrame, items: DataFrame, similarity: float, gram: int, item_id: str, text_col: str, block_bytes: int) -> Iterator[Index]:
     texts = docs.select(F.col(text_col).alias("text"))
     for block in _blocks(items, item_id, "text", block_bytes):
-        block = [x for x in block if len(x[1]) >= gram]
+        block = [x for x in block if len(x[1])]
         if not block:
             continue
         sizes = [size_of(len(h), similarity, gram) for _, h in block]
@@ -197,7 +197,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, gram:
     similarity is the alignment's score over that of the whole item (4 for an equal word, -1 for one that
     differs or is missing, -5 for an extra one); words are runs of letters and digits, in lower case. With e
     edits among L words, it is 1 - 1.25 e / L; with e words cut off at the ends, 1 - e / L.
-    Cases: items of fewer than `gram` words never match; null texts have no words; null ids and repeated rows of docs are
+    Cases: items of fewer than `gram` words are sought whole; items without words never match; null texts have no words; null ids and repeated rows of docs are
     rows like others; repeated items count once; empty tables give no rows; other columns are not read.
     """
     out = None

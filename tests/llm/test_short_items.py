@@ -1,0 +1,9 @@
+from carpalake.llm.decontamination import drop_leaking, find_leaks
+
+
+def test_items_of_one_to_four_words(spark):
+    items = spark.createDataFrame([(1, "Zebra"), (2, "red fox"), (3, "one two three"), (4, "a b c d"), (5, ""), (6, None), (7, "p q r s t")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the zebra ran"), (2, "red, FOX"), (3, "so one two three four"), (4, "a b c d"), (5, "fox red two one a b c"), (6, "p q r s t"), (7, "")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.similarity) for r in find_leaks(docs, items).collect()}
+    assert got == {(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (4, 4, 1.0), (6, 7, 1.0)}
+    assert sorted(r.doc_id for r in drop_leaking(docs, items).collect()) == [5, 7]
