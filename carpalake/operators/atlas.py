@@ -1,4 +1,8 @@
-"""A reference table of skeletal maturation by age band, and its range lookup."""
+"""A reference table of skeletal maturation by age band, and its range lookup.
+
+The bands' edges are fixed; what a band says comes from the caller's table. Without one, each band has
+a few numbered placeholders.
+"""
 
 from __future__ import annotations
 
@@ -11,25 +15,15 @@ from ..schemas import ATLAS
 EDGES = (0, 12, 24, 36, 54, 72, 96, 120, 144, 168, 192, 216)
 LAST = 999
 
-BANDS: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
-    ("first year", ("carpus mostly cartilage", "capitate and hamate may show first centres"), ("radius and ulna without distal epiphyses", "no phalangeal epiphyses")),
-    ("1 to 2 years", ("capitate and hamate present", "triquetrum may start"), ("distal radius is a thin disc", "proximal phalanges show centres", "metacarpals II to V start")),
-    ("2 to 3 years", ("triquetrum present", "lunate may start", "capitate and hamate well defined"), ("distal radius is oval", "middle and distal phalanges show centres", "first metacarpal shows its centre")),
-    ("3 to 4.5 years", ("lunate present", "scaphoid may start", "trapezium and trapezoid may start"), ("distal radius widens", "phalangeal centres well defined", "distal ulna may start")),
-    ("4.5 to 6 years", ("scaphoid present", "trapezium and trapezoid present", "all but the pisiform present"), ("distal radius has sharp borders", "distal ulna is a disc", "phalangeal centres regular")),
-    ("6 to 8 years", ("all but the pisiform ossified", "scaphoid, lunate and triquetrum outlined", "pisiform may start"), ("distal radius nears the width of its shaft end", "distal ulna is domed", "proximal phalanges squarer", "sesamoid of the thumb may start")),
-    ("8 to 10 years", ("pisiform ossified", "carpus takes its adult shape"), ("distal radius as wide as its shaft end", "distal ulna stable", "sesamoid of the thumb present", "phalangeal centres robust")),
-    ("10 to 12 years", ("carpus fully ossified", "pisiform in final shape", "joint spaces clear"), ("distal radius wider than its shaft end", "ulnar styloid visible", "phalangeal centres start to cap", "first signs of fusion in girls")),
-    ("12 to 14 years", ("carpus adult", "bones of final size"), ("fusion of distal phalanges in girls", "capping in boys", "distal radius caps", "distal ulna close to its shaft")),
-    ("14 to 16 years", ("carpus adult",), ("fusion of phalanges advanced", "metacarpals fuse", "distal ulna starts to fuse", "distal radius starts to fuse")),
-    ("16 to 18 years", ("carpus adult",), ("phalanges and metacarpals fused", "distal ulna fused or nearly so", "distal radius nearly fused")),
-    ("over 18 years", ("carpus adult",), ("all phalanges fused", "distal radius and ulna fused", "growth complete")),
-)
-
 
 def rows() -> list[tuple[int, float, float, str, list[str], list[str], str]]:
-    ends = (*EDGES[1:], LAST)
-    return [(i, float(lo), float(hi), t, list(c), list(e), f"atlas standard, {t}") for i, (lo, hi, (t, c, e)) in enumerate(zip(EDGES, ends, BANDS, strict=True))]
+    """The bands with placeholder texts: one to three for the wrist, two or three for the growth plates."""
+    out = []
+    for i, (lo, hi) in enumerate(zip(EDGES, (*EDGES[1:], LAST), strict=True)):
+        wrist = [f"wrist note {j + 1} of band {i + 1}" for j in range(1 + i % 3)]
+        plates = [f"growth plate note {j + 1} of band {i + 1}" for j in range(3 - i % 2)]
+        out.append((i, float(lo), float(hi), f"months {lo} to {hi}", wrist, plates, f"band {i + 1}"))
+    return out
 
 
 def atlas(spark: SparkSession) -> DataFrame:
@@ -44,6 +38,10 @@ def band(age: Column) -> Column:
     return out.otherwise(len(EDGES) - 1)
 
 
-def lookup(df: DataFrame, age: str) -> DataFrame:
-    """df with the atlas columns of its ages: a band code in the projection and a hash join to the twelve bands."""
-    return df.withColumn("band", band(F.col(age))).join(F.broadcast(atlas(df.sparkSession)), "band")
+def lookup(df: DataFrame, age: str, texts: DataFrame | None = None) -> DataFrame:
+    """df with the atlas columns of its ages: a band code in the projection and a hash join to the twelve bands.
+
+    texts: columns as in ATLAS, a row for each band 0 to 11; rows of other bands are not read.
+    """
+    texts = atlas(df.sparkSession) if texts is None else texts.filter(F.col("band").between(0, len(EDGES) - 1)).dropDuplicates(["band"])  # twelve rows at most
+    return df.withColumn("band", band(F.col(age))).join(F.broadcast(texts), "band")

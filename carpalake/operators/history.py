@@ -10,7 +10,7 @@ CAP, SHOWN = 20, 8
 
 def since_clear(log: DataFrame) -> DataFrame:
     """The entries after a session's last clear event."""
-    later = Window.partitionBy("session_id").orderBy("ts", "event_id").rowsBetween(0, Window.unboundedFollowing)
+    later = Window.partitionBy("session_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)  # newest first: a running maximum
     return log.withColumn("__clear", F.max(F.col("is_clear").cast("int")).over(later)).filter("__clear = 0").drop("__clear")
 
 

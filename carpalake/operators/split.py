@@ -19,8 +19,8 @@ def order_hash(id_: Column) -> Column:
     return F.pmod(F.pmod(id_, F.lit(PRIME)) * FACTOR, F.lit(PRIME))
 
 
-def folds(df: DataFrame, stratum: str, k: int = 5, id_col: str = "id") -> DataFrame:
-    """df with the column fold, 0 to k - 1; counts per stratum differ by at most one between folds."""
+def _ranked(df: DataFrame, stratum: str, id_col: str) -> DataFrame:
+    """df with __place, each row's place from 0 on."""
     placed = df.withColumn("__hash", order_hash(F.col(id_col))).withColumn("__bucket", F.floor(F.col("__hash") / BUCKET))
     sizes = placed.groupBy(F.col(stratum).alias("__stratum"), "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__stratum", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -28,12 +28,19 @@ def folds(df: DataFrame, stratum: str, k: int = 5, id_col: str = "id") -> DataFr
     inside = Window.partitionBy(stratum, "__bucket").orderBy("__hash", id_col)
     ranked = placed.withColumn("__rank", F.row_number().over(inside) - 1).withColumnRenamed("__bucket", "__b")
     joined = ranked.join(offsets, F.col(stratum).eqNullSafe(F.col("__stratum")) & (F.col("__b") == F.col("__bucket")))
-    return joined.withColumn("fold", ((F.col("__before") + F.col("__rank")) % k).cast("int")).drop("__hash", "__b", "__bucket", "__stratum", "__rank", "__before")
+    return joined.withColumn("__place", F.col("__before") + F.col("__rank")).drop("__hash", "__b", "__bucket", "__stratum", "__rank", "__before")
+
+
+def folds(df: DataFrame, stratum: str, k: int = 5, id_col: str = "id") -> DataFrame:
+    """df with the column fold, 0 to k - 1; counts per stratum differ by at most one between folds."""
+    return _ranked(df, stratum, id_col).withColumn("fold", (F.col("__place") % k).cast("int")).drop("__place")
 
 
 def split(df: DataFrame, stratum: str, k: int = 5, id_col: str = "id") -> DataFrame:
-    """df with the column split: fold 0 is test; fold 0 of the rest, dealt anew, is val; the rest is train."""
-    first = folds(df, stratum, k, id_col)
-    test = first.filter("fold = 0").drop("fold").withColumn("split", F.lit("test"))
-    rest = folds(first.filter("fold <> 0").drop("fold"), stratum, k, id_col)
-    return test.unionByName(rest.withColumn("split", F.when(F.col("fold") == 0, "val").otherwise("train")).drop("fold"))
+    """df with the column split: fold 0 is test; fold 0 of the rest, dealt anew, is val; the rest is train.
+
+    The rest keeps its order, and of the places up to p, p div k + 1 are in fold 0. So one ranking gives both deals.
+    """
+    p = F.col("__place")
+    again = (p - F.floor(p / k) - 1) % k
+    return _ranked(df, stratum, id_col).withColumn("split", F.when(p % k == 0, "test").when(again == 0, "val").otherwise("train")).drop("__place")

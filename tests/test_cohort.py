@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from carpalake.operators import atlas, cohort, evaluate, split
+from carpalake.schemas import ATLAS
 from carpalake.sources import files
 
 
@@ -42,7 +43,12 @@ def test_atlas_edges(spark):
     xs = [*[(float(e), i) for i, e in enumerate(atlas.EDGES)], (998.9, 11), (999.0, 11), (-1.0, 11), (float("nan"), 11), (11.9, 0)]
     got = atlas.lookup(spark.createDataFrame(xs, "x double, want int"), "x").collect()
     assert len(got) == len(xs) and all(r.band == r.want for r in got)
-    assert [(len(c), len(e)) for _, c, e in atlas.BANDS] == [(2, 2), (2, 3), (3, 3), (3, 3), (3, 3), (3, 4), (2, 4), (3, 4), (2, 4), (1, 4), (1, 3), (1, 3)]
+
+
+def test_atlas_texts_come_from_the_callers_table(spark):
+    own = spark.createDataFrame([(i, 0.0, 0.0, f"t{i}", [f"c{i}"], [], "r") for i in [*range(12), 3, 99]], ATLAS)
+    got = atlas.lookup(spark.createDataFrame([(5.0,), (40.0,), (None,)], "x double"), "x", own).collect()
+    assert sorted((r.band, r.title, tuple(r.carpus)) for r in got) == [(0, "t0", ("c0",)), (3, "t3", ("c3",)), (11, "t11", ("c11",))]
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -57,6 +63,14 @@ def test_split_is_a_balanced_disjoint_cover(spark, rows):
     assert {(r.id, r.split) for r in got} == {(r.id, r.split) for r in again}
 
 
+def test_split_deals_twice_from_one_ranking(spark):
+    df = spark.range(2000).withColumn("stratum", (F.col("id") % 7).cast("string"))
+    order = sorted(((r.stratum, r.id * 0 + (r.id % split.PRIME) * split.FACTOR % split.PRIME, r.id) for r in df.collect()))
+    rest = [x[2] for i, x in enumerate(order) if i % 5]
+    want = {x[2]: "test" for i, x in enumerate(order) if i % 5 == 0} | {x: "train" if i % 5 else "val" for i, x in enumerate(rest)}
+    assert {r.id: r.split for r in split.split(df, "stratum").collect()} == want
+
+
 def test_split_ranks_no_whole_stratum(spark):
     plan = split.folds(spark.range(1000).withColumn("stratum", F.lit("one")), "stratum")._jdf.queryExecution().toString()
     assert "__bucket" in plan

@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -23,6 +24,17 @@ def test_history(spark):
     assert kept(history.history(history.since_clear(log(spark, [1.0, 2.0, None, 2.0, 2.0])))) == [2.0]
 
 
+def test_a_very_long_session(spark):
+    """Time grows with the entries, not with their square."""
+    n = 200_000
+    i = F.col("id")
+    entries = spark.range(n).select(F.lit(1).cast("long").alias("session_id"), F.timestamp_seconds(i).alias("ts"), i.alias("event_id"), (i % 50).cast("double").alias("months_total"), F.lit(0).alias("male"), (i == n - 1000).alias("is_clear"))
+    began = time.time()
+    assert history.since_clear(entries).count() == 999
+    assert kept(history.history(history.since_clear(entries))) == [float((n - 1 - j) % 50) for j in range(20)]
+    assert time.time() - began < 60
+
+
 def plain_stop(values, patience):
     best, waited, out = float("inf"), 0, []
     for e, v in enumerate(values, 1):
