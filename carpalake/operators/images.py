@@ -8,9 +8,10 @@ adaptive histogram equalization, CIE Lab, morphology with an elliptic element).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +85,8 @@ def resize(img: np.ndarray, height: int = SIZE, width: int = SIZE) -> np.ndarray
         low = np.floor(at).astype(int)
         return low, np.minimum(low + 1, n - 1), at - low
 
+    if img.shape[2] > 1 and (img == img[..., :1]).all():  # gray: one channel stands for all
+        return np.repeat(resize(img[..., :1], height, width), img.shape[2], axis=2)
     y0, y1, fy = axis(img.shape[0], height)
     x0, x1, fx = axis(img.shape[1], width)
     x = img.astype(np.float64)
@@ -96,9 +99,12 @@ TO_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169
 WHITE = np.array([0.950456, 1.0, 1.088754])
 
 
+_C = np.arange(256) / 255.0
+LINEAR = np.where(_C > 0.04045, ((_C + 0.055) / 1.055) ** 2.4, _C / 12.92)
+
+
 def rgb_to_lab(img: np.ndarray) -> np.ndarray:
-    c = img / 255.0
-    c = np.where(c > 0.04045, ((c + 0.055) / 1.055) ** 2.4, c / 12.92)
+    c = LINEAR[img]
     t = c @ TO_XYZ.T / WHITE
     f = np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16 / 116)
     light = np.where(t[..., 1] > 0.008856, 116 * f[..., 1] - 16, 903.3 * t[..., 1])
@@ -143,11 +149,33 @@ def equalize(channel: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarr
 
 
 def equalize_contrast(img: np.ndarray) -> np.ndarray:
+    if (img == img[..., :1]).all():  # gray: a color depends on its level and the new lightness alone
+        level = img[..., 0]
+        return _gray_results()[level, equalize(_lightness()[level])]
     lab = rgb_to_lab(img)
     lab[..., 0] = equalize(np.rint(lab[..., 0] * 2.55).astype(np.uint8)) / 2.55
     return lab_to_rgb(lab)
 
 
+@cache
+def _gray_levels() -> np.ndarray:
+    return rgb_to_lab(np.repeat(np.arange(256, dtype=np.uint8)[:, None, None], 3, axis=2))[:, 0]
+
+
+@cache
+def _lightness() -> np.ndarray:
+    """The lightness of each gray level, as a byte."""
+    return np.rint(_gray_levels()[:, 0] * 2.55).astype(np.uint8)
+
+
+@cache
+def _gray_results() -> np.ndarray:
+    """The color for each gray level and new lightness."""
+    lab = np.repeat(_gray_levels()[:, None], 256, axis=1)
+    lab[..., 0] = np.arange(256)[None, :].astype(np.uint8) / 2.55
+    return lab_to_rgb(lab)
+
+
 def ellipse(size: int) -> np.ndarray:
     r = size // 2
     reach = np.rint(np.sqrt(np.maximum(0, r * r - np.arange(-r, r + 1) ** 2)))
@@ -233,17 +261,23 @@ def autocrop(img: np.ndarray) -> np.ndarray:
     return img[y0:y1, x0:x1]
 
 
+@cache
+def _pixel_values() -> np.ndarray:
+    """The normalized value of each byte in each channel."""
+    return (np.arange(256, dtype=np.float32)[None, :] / 255 - PIXEL_MEAN[:, None]) / PIXEL_STD[:, None]
+
+
 def tensor(img: np.ndarray, size: int = SIZE) -> np.ndarray:
     """Channels first, float32, normalized."""
-    x = equalize_contrast(resize(to_rgb(img), size, size)).astype(np.float32) / 255
-    return np.ascontiguousarray(((x - PIXEL_MEAN) / PIXEL_STD).transpose(2, 0, 1))
+    x = equalize_contrast(resize(to_rgb(img), size, size))
+    return np.stack([_pixel_values()[c][x[..., c]] for c in range(3)])
 
 
 def meta(male: int) -> np.ndarray:
-    return np.array([male], np.float32)
+    return np.array([float(male)], np.float32)
 
 
-def augment(img: np.ndarray, seed: int) -> np.ndarray:
+def augment(img: np.ndarray, seed: int | list[int]) -> np.ndarray:
     """Rotation, scale, brightness and contrast, noise and holes, each with its chance; seeded."""
     rng, (h, w, _) = np.random.default_rng(seed), img.shape
     turn = np.deg2rad(rng.uniform(-10, 10)) if rng.random() < 0.6 else 0.0
@@ -270,30 +304,44 @@ def decode(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(height, width, channels)
 
 
-def map_images(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """images (id, height, width, channels, data) with each image passed through a kernel; rows whose kernel fails keep a null image."""
+def _results(images: DataFrame, kernel: Callable[[np.ndarray, int | None], tuple], schema: str) -> DataFrame:
+    """id and what the kernel makes of each image and its id; nulls where it or the decoding fails."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.itertuples():
+            for id_, *picture in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    img = kernel(to_rgb(decode(r.height, r.width, r.channels, r.data)))
-                    img = img[:, :, None] if img.ndim == 2 else img
-                    out.append((r.id, *img.shape, img.tobytes()))
-                except (ValueError, TypeError):
-                    out.append((r.id, None, None, None, None))
-            yield pd.DataFrame(out, columns=["id", "height", "width", "channels", "data"]).astype({"height": "Int32", "width": "Int32", "channels": "Int32"})
+                    out.append(kernel(to_rgb(decode(*picture)), id_))
+                except Exception:  # noqa: BLE001
+                    out.append((None,) * (len(names) - 1))
+            cols = list(zip(*out, strict=True)) or [()] * (len(names) - 1)
+            types = [pa.binary() if c.endswith("BINARY") else pa.int32() for c in schema.split(", ")[1:]]
+            yield pa.record_batch([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names)
 
-    return images.select("id", "height", "width", "channels", "data").mapInPandas(run, IMAGE)
+    return images.select("id", "height", "width", "channels", "data").mapInArrow(run, schema)
 
 
-def crop_boxes(images: DataFrame, box: Callable[[np.ndarray], tuple[int, int, int, int]] = crop_box) -> DataFrame:
-    """id and the box of each image: x0, y0, x1, y1 (far edges exclusive)."""
+def _picture(img: np.ndarray) -> tuple[int, int, int, bytes]:
+    img = img[:, :, None] if img.ndim == 2 else img
+    return (*img.shape, img.tobytes())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [(r.id, *box(to_rgb(decode(r.height, r.width, r.channels, r.data)))) for r in batch.itertuples()]
-            yield pd.DataFrame(found, columns=["id", "x0", "y0", "x1", "y1"])
 
-    return images.select("id", "height", "width", "channels", "data").mapInPandas(run, "id BIGINT, x0 INT, y0 INT, x1 INT, y1 INT")
+def map_images(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """images (id, height, width, channels, data) with each image passed through a kernel; rows whose kernel fails keep a null image."""
+    return _results(images, lambda img, _: _picture(kernel(img)), IMAGE)
+
+
+def augment_images(images: DataFrame, seed: int) -> DataFrame:
+    """Each image augmented by draws of its own, from the seed and its id (null: as id 0)."""
+    return _results(images, lambda img, id_: _picture(augment(img, draw_seed(seed, id_))), IMAGE)
+
+
+def draw_seed(seed: int, id_: int | None) -> list[int]:
+    return [seed, (id_ or 0) % (1 << 64)]
+
+
+def crop_boxes(images: DataFrame, box: Callable[[np.ndarray], tuple[int, int, int, int]] = crop_box) -> DataFrame:
+    """id and the box of each image: x0, y0, x1, y1 (far edges exclusive); nulls for an image that fails."""
+    return _results(images, lambda img, _: tuple(box(img)), "id BIGINT, x0 INT, y0 INT, x1 INT, y1 INT")

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,37 +60,53 @@ def checked_model(path: str, least: int = 100_000) -> str:
     return path
 
 
-SCORED = "id long, z double, error string"
-
-
-def score(requests: DataFrame, factory: Callable[[], Scorer], crop: bool, size: int = images.SIZE, batch: int = 16) -> DataFrame:
-    """id, z, error. requests: id, male, height, width, channels, data."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scored(scorer: Scorer, rows: list[tuple], crop: bool, size: int) -> tuple[list[float | None], list[str | None]]:
+    """z and error of rows (male, height, width, channels, data). Whatever fails on a row becomes that row's error."""
+    tensors, metas, good, z, errors = [], [], [], [None] * len(rows), [None] * len(rows)
+    for j, (male, *picture) in enumerate(rows):
+        try:
+            img = images.to_rgb(images.decode(*picture))
+            tensors.append(images.tensor(images.autocrop(img) if crop else img, size))
+            metas.append(images.meta(male))
+            good.append(j)
+        except Exception as e:  # noqa: BLE001
+            errors[j] = str(e)[:200] or type(e).__name__
+    if good:
+        try:
+            for j, v in zip(good, scorer(np.stack(tensors), np.stack(metas)), strict=True):
+                z[j] = float(v)
+        except Exception as e:  # noqa: BLE001
+            if len(rows) == 1:
+                errors[0] = str(e)[:200] or type(e).__name__
+            else:  # find the rows that the scorer can't take
+                for j in good:
+                    (z[j],), (errors[j],) = _scored(scorer, [rows[j]], crop, size)
+    return z, errors
+
+
+def score(requests: DataFrame, factory: Callable[[], Scorer], crop: bool, size: int = images.SIZE, batch: int = 16, carry: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The columns in carry as they are, z, error; one row per row of requests, whatever its id. requests: id, male, height, width, channels, data."""
+    kinds = dict(requests.dtypes)
+    inputs = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)] + [F.col(c) for c in ("male", "height", "width", "channels", "data")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = factory()
         if scorer.meta_width != META_WIDTH:
             raise ValueError(f"the scorer takes {scorer.meta_width} values beside an image; there is {META_WIDTH}")
-        for frame in frames:
-            for i in range(0, len(frame), batch):
-                part, tensors, good, errors = frame.iloc[i : i + batch], [], [], {}
-                for j, r in enumerate(part.itertuples()):
-                    try:
-                        img = images.to_rgb(images.decode(r.height, r.width, r.channels, r.data))
-                        tensors.append(images.tensor(images.autocrop(img) if crop else img, size))
-                        good.append(j)
-                    except (ValueError, TypeError) as e:
-                        errors[j] = str(e)[:200]
-                z = np.full(len(part), np.nan)
-                if good:
-                    z[good] = scorer(np.stack(tensors), np.stack([images.meta(m) for m in part.male.iloc[good]]))
-                yield pd.DataFrame({"id": part.id.to_numpy(), "z": [None if j in errors else float(v) for j, v in enumerate(z)], "error": [errors.get(j) for j in range(len(part))]})
-
-    return requests.select("id", "male", "height", "width", "channels", "data").mapInPandas(run, SCORED)
+        n = len(carry)
+        for whole in batches:
+            for i in range(0, whole.num_rows, batch):
+                part = whole.slice(i, batch)
+                z, errors = _scored(scorer, list(zip(*(c.to_pylist() for c in part.columns[n:]), strict=True)), crop, size)
+                yield pa.record_batch([*part.columns[:n], pa.array(z, pa.float64()), pa.array(errors, pa.string())], [*part.schema.names[:n], "z", "error"])
+
+    out = requests.select(*inputs).mapInArrow(run, ", ".join([f"c{i} {kinds[c]}" for i, c in enumerate(carry)] + ["z double", "error string"]))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "z", "error")
 
 
 def predict(requests: DataFrame, stats: DataFrame, factory: Callable[[], Scorer], size: int = images.SIZE) -> DataFrame:
     """The batch form: no crop, float status. requests also has ic_months; stats has one row."""
-    done = score(requests, factory, crop=False, size=size).join(requests.select("id", "ic_months"), "id").crossJoin(F.broadcast(stats))  # one row
+    done = score(requests, factory, crop=False, size=size, carry=("id", "ic_months")).crossJoin(F.broadcast(stats))  # one row
     x = clip_months(denormalize(F.col("z"), F.col("boneage_mean"), F.col("boneage_std")))
     x, ic = F.col("bone_age_meses"), done.withColumn("bone_age_meses", x)
     return ic.select(
@@ -100,7 +116,7 @@ def predict(requests: DataFrame, stats: DataFrame, factory: Callable[[], Scorer]
 
 def analyze(requests: DataFrame, stats: DataFrame, factory: Callable[[], Scorer], size: int = images.SIZE) -> DataFrame:
     """The interactive form: cropped, integer status, an age that may be unknown."""
-    done = score(requests, factory, crop=True, size=size).join(requests.select("id", "male", "ic_months"), "id").crossJoin(F.broadcast(stats))  # one row
+    done = score(requests, factory, crop=True, size=size, carry=("id", "male", "ic_months")).crossJoin(F.broadcast(stats))  # one row
     done = done.withColumn("months_total", clip_months(denormalize(F.col("z"), F.col("boneage_mean"), F.col("boneage_std"))))
     x = F.col("months_total")
     return done.select("id", "male", age_years(x).alias("years"), age_months(x).alias("months"), "months_total", status_integer(x, F.col("ic_months")).alias("status"), "error")

@@ -332,11 +332,6 @@ def history_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", r.history_card((F.floor("value") % 19).cast("int"), F.col("event_id") % 12, F.floor(F.col("value") * 8) / 8, F.col("user_id") % 2, F.col("ts")).alias("card"))
 
 
-def compared(df: DataFrame) -> DataFrame:
-    """The images that PIXELS_SQL has."""
-    return df.filter("id < 200")
-
-
 @register(f"""WITH {PIXELS_SQL}, s AS (SELECT id, count(*) FILTER (x IN (0, 63) AND y IN (0, 63) AND v < 100) >= 3 AS dark FROM pixels GROUP BY 1),
     b AS (SELECT p.id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pixels p JOIN s USING (id) WHERE CASE WHEN dark THEN v > 20 ELSE v < 235 END GROUP BY 1),
     c AS (SELECT id, greatest(0, x0 - greatest(8, ((x1 - x0) * 0.03)::DOUBLE // 1))::INTEGER AS x0, greatest(0, y0 - greatest(8, ((y1 - y0) * 0.03)::DOUBLE // 1))::INTEGER AS y0,
@@ -344,7 +339,7 @@ def compared(df: DataFrame) -> DataFrame:
     d AS (SELECT *, (x1 - x0) * (y1 - y0) < 64 * 64 * 0.9 AS ok FROM c)
     SELECT id, CASE WHEN ok THEN x0 ELSE 0 END AS x0, CASE WHEN ok THEN y0 ELSE 0 END AS y0, CASE WHEN ok THEN x1 ELSE 64 END AS x1, CASE WHEN ok THEN y1 ELSE 64 END AS y1, ok AS cropped FROM d""")
 def legacy_crop_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = compared(synthetic_pixels(spark, sf_dir))
+    p = synthetic_pixels(spark, sf_dir)
     sizes = p.groupBy("id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     return images.legacy_box(p, sizes)
 
@@ -352,7 +347,7 @@ def legacy_crop_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(ORACLES["legacy_crop_box"].replace(", ok AS cropped", ""))
 def legacy_crop_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same boxes from the numpy kernel."""
-    return images.crop_boxes(compared(synthetic_images(spark, sf_dir)), lambda img: images.crop_legacy_box(img[:, :, 0]))
+    return images.crop_boxes(synthetic_images(spark, sf_dir), lambda img: images.crop_legacy_box(img[:, :, 0]))
 
 
 @register()
@@ -364,7 +359,7 @@ LABELLED_SQL = f"WITH {PIXELS_SQL}, l AS (SELECT *, CASE WHEN v = 120 THEN 1 + x
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compared(synthetic_pixels(spark, sf_dir)).withColumn("label", F.when(F.col("v") == 120, 1 + F.floor(F.col("x") / 32)).otherwise(0))
+    return synthetic_pixels(spark, sf_dir).withColumn("label", F.when(F.col("v") == 120, 1 + F.floor(F.col("x") / 32)).otherwise(0))
 
 
 @register(f"{LABELLED_SQL} SELECT * FROM st")
@@ -406,7 +401,7 @@ def resize_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def augment_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _described(images.map_images(synthetic_images(spark, sf_dir), lambda x: images.augment(x, 42)))
+    return _described(images.augment_images(synthetic_images(spark, sf_dir), 42))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

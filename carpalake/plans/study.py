@@ -50,7 +50,7 @@ PIXELS_SQL = """
             WHEN vec_id % 10 <> 9 AND x.p BETWEEN 4 + vec_id % 23 AND 10 + vec_id % 23 + vec_id % 31
                  AND y.p BETWEEN 3 + vec_id % 19 AND 11 + vec_id % 19 + vec_id % 37 THEN 120
             WHEN vec_id % 2 = 0 THEN 0 ELSE 255 END AS v
-        FROM embeddings, axis x, axis y WHERE vec_id < 200)"""
+        FROM embeddings, axis x, axis y)"""
 
 
 def synthetic_images(spark: SparkSession, sf_dir: str) -> DataFrame:

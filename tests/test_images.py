@@ -89,3 +89,43 @@ def test_model_file_size(tmp_path):
     (tmp_path / "m.onnx").write_bytes(b"tiny")
     with pytest.raises(ValueError, match="4 bytes"):
         score.checked_model(str(tmp_path / "m.onnx"))
+
+
+def test_gray_images_take_the_same_way_as_colors():
+    rng = np.random.default_rng(5)
+    gray = np.repeat(rng.integers(0, 256, (40, 37, 1)).astype(np.uint8), 3, axis=2)
+    lab = images.rgb_to_lab(gray)
+    lab[..., 0] = images.equalize(np.rint(lab[..., 0] * 2.55).astype(np.uint8)) / 2.55
+    assert (images.equalize_contrast(gray) == images.lab_to_rgb(lab)).all()
+    color = gray.copy()
+    color[..., 1] = rng.integers(0, 256, (40, 37))
+    assert (images.resize(color, 21, 60)[..., 0] == images.resize(gray, 21, 60)[..., 0]).all()
+    x = images.equalize_contrast(images.resize(color, 16, 16)).astype(np.float32) / 255
+    assert np.allclose(images.tensor(color, 16), ((x - images.PIXEL_MEAN) / images.PIXEL_STD).transpose(2, 0, 1), atol=1e-6)
+
+
+REQUESTS = "id long, male int, ic_months double, height int, width int, channels int, data binary"
+
+
+def test_each_request_keeps_its_row(spark):
+    """Ids that repeat or are null, images that fail, and rows that the scorer can't take."""
+
+    class Picky(score.MeanPixelScorer):  # pickled by value, as workers don't have this module
+        def __call__(self, image, meta):
+            if (meta == 7).any():
+                raise RuntimeError("no such sex")
+            return score.MeanPixelScorer.__call__(self, image, meta)
+
+    data = np.random.default_rng(2).integers(0, 256, (9, 8, 3)).astype(np.uint8).tobytes()
+    rows = [(1, 1, 60.0, 9, 8, 3, data), (1, 0, 90.0, 9, 8, 3, data), (None, 1, None, 9, 8, 3, data), (4, 0, 1.0, 9, 9, 3, data), (5, 7, 1.0, 9, 8, 3, data), (6, None, 1.0, 9, 8, 3, data), (7, 1, 1.0, 9, 8, 3, None)]
+    requests = spark.createDataFrame(rows, REQUESTS).coalesce(1)
+    stats = spark.createDataFrame([(100.0, 10.0)], "boneage_mean double, boneage_std double")
+    for flow, months in ((score.predict, "bone_age_meses"), (score.analyze, "months_total")):
+        got = flow(requests, stats, Picky, size=16).collect()
+        assert [r.id for r in got] == [r[0] for r in rows]
+        assert [r[months] is not None for r in got] == [True, True, True, False, False, False, False]
+        assert [r.error is None for r in got] == [True, True, True, False, False, False, False]
+        assert got[2].status is None and got[4].error == "no such sex"
+    boxes = images.crop_boxes(requests).collect()
+    assert [r.x0 is None for r in boxes] == [False, False, False, True, False, False, True]
+    assert [r.height is None for r in images.map_images(requests, images.autocrop).collect()] == [False, False, False, True, False, False, True]

@@ -27,7 +27,7 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-KERNELS = {"autocrop": images.autocrop, "contrast_equalize": images.equalize_contrast, "resize_bilinear": lambda x: images.resize(x, 48, 80), "augment_seeded": lambda x: images.augment(x, 42)}
+KERNELS = {"autocrop": images.autocrop, "contrast_equalize": images.equalize_contrast, "resize_bilinear": lambda x: images.resize(x, 48, 80)}
 
 
 @pytest.mark.parametrize("name", list(KERNELS))
@@ -37,6 +37,14 @@ def test_kernels(spark, folder, name):
     assert got == {i: (*x.shape[:2], hashlib.sha256(x.tobytes()).hexdigest()) for i, x in made.items()}
 
 
+def test_augmentation_draws_for_each_image(spark, folder):
+    got = {r.id: r.sha256 for r in queries.augment_seeded(spark, folder).collect()}
+    made = {i: images.augment(images.to_rgb(plain_image(i)), images.draw_seed(42, i)) for i in IDS}
+    assert got == {i: hashlib.sha256(np.ascontiguousarray(x).tobytes()).hexdigest() for i, x in made.items()}
+    same = [np.random.default_rng(images.draw_seed(42, i)).random() for i in IDS]
+    assert len(set(same)) == len(IDS)
+
+
 def test_crop_boxes(spark, folder):
     got = {r.id: (r.x0, r.y0, r.x1, r.y1) for r in queries.crop_boxes(spark, folder).collect()}
     assert got == {i: tuple(images.crop_box(images.to_rgb(plain_image(i)))) for i in IDS}
