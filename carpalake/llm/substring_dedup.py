@@ -5,21 +5,27 @@ strings; the one with the least hash is its anchor, and equal stretches have equ
 places. So only anchors (about one in 35 bytes) are shuffled, each with a hash of all that can
 matter around it (its context: LENGTH - K bytes to either side).
 
-- Anchors with equal contexts: all but the first are covered with their whole contexts.
+- Anchors with equal context hashes: all but the first claim to repeat it, with their whole contexts.
 - Anchors that are equal in contexts that aren't: the first of each context sends its bytes. The
   groups' right and left contexts are sorted as suffixes (suffix_sort); for each division of
   LENGTH - K bytes into left and right, neighbours with common extensions that long are one
-  class, and all but its first are covered by that stretch.
+  class, and all but its first are covered by that stretch. This is settled on the bytes.
 
-Groups over `most` and anchors that a sample shows to be hot are divided by whole stretches instead,
-each stretch of its own with its hash. Map tasks combine equal rows before any shuffle.
+Groups over `most` and anchors that a sample shows to be hot are divided by whole stretches instead:
+each stretch claims to repeat the first one of its hash. Map tasks combine equal rows before any shuffle.
+
+A claim is a hash's word, so nothing goes on it alone. Claims of a document that continue each other are
+joined, the bytes that they point to are fetched, and a document compares them with its own before it
+removes anything. If one claim fails, two strings have collided; the whole job is then done
+again with other random hashes, until all claims hold.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,28 +34,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, parallelism, shared_checkpoints, tidy
-from .suffix_sort import BASE, SPREAD, sort_groups
+from .suffix_sort import sort_groups
 
 PIECE = 1 << 19  # bytes that are hashed at once; places fit 20 bits
 FLUSH = 250_000  # anchors that a map task combines at once
-WHOLE, STRETCH, COVER = 0, 1, 2  # kinds of rows: an anchor, a stretch by itself, a covered interval
+PART = 1 << 15  # bytes that a claim has at most when it is verified
+WHOLE, STRETCH, COVER = 0, 1, 2  # kinds of rows: an anchor, a stretch by itself, a claimed interval
+PRIME = np.int64((1 << 31) - 1)
 
 
-class Rolling:
-    """Powers of BASE and of its inverse modulo 2 ** 64."""
+def fold(v: np.ndarray) -> np.ndarray:
+    """v modulo PRIME, but for a few multiples of it."""
+    return (v & PRIME) + (v >> 31)
 
-    def __init__(self, n: int):
-        one = np.array([1], np.uint64)
-        self.up = np.multiply.accumulate(np.concatenate([one, np.full(n, BASE)]))
-        self.down = np.multiply.accumulate(np.concatenate([one, np.full(n, np.uint64(pow(int(BASE), -1, 1 << 64)))]))
 
-    def prefixes(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(SPREAD[x] * self.up[: len(x)], out=out[1:])
+class Rolling:
+    """Two polynomial hashes modulo the prime 2 ** 31 - 1, with random bases and byte values, side by side."""
+
+    def __init__(self, n: int, seed: int = 0, bits: int = 62):
+        rng = np.random.default_rng([77, seed])
+        self.keep = np.uint64((1 << bits) - 1)
+        self.spread, self.up, self.down = [], [], []
+        for _ in range(2):
+            base = int(rng.integers(1 << 20, PRIME - 1))
+            self.spread.append(rng.integers(1, PRIME, 256))
+            self.up.append(self._powers(base, n))
+            self.down.append(self._powers(pow(base, -1, int(PRIME)), n))
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.ones(1, np.int64)
+        while len(out) <= n:
+            out = np.concatenate([out, out * np.int64(pow(base, len(out), int(PRIME))) % PRIME])
+        return out[: n + 1]
+
+    def prefixes(self, x: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for spread, up in zip(self.spread, self.up, strict=True):
+            sums = np.zeros(len(x) + 1, np.int64)
+            np.cumsum(fold(spread[x] * up[: len(x)]), out=sums[1:])
+            out.append(sums)
         return out
 
-    def of(self, prefixes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return scramble((prefixes[b] - prefixes[a]) * self.down[a])
+    def of(self, prefixes: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The hashes of the strings from a to b."""
+        one, two = (fold(fold(fold(p[b] - p[a]) * down[a])) for p, down in zip(prefixes, self.down, strict=True))
+        one[one >= PRIME] -= PRIME
+        two[two >= PRIME] -= PRIME
+        return self.mixed((one << 31 | two).view(np.uint64))
+
+    def mixed(self, h: np.ndarray) -> np.ndarray:
+        return scramble(h) & self.keep
 
 
 def scramble(h: np.ndarray) -> np.ndarray:
@@ -57,13 +92,14 @@ def scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-_rolling: list[Rolling] = []
+_rolling: dict[tuple[int, int], Rolling] = {}
 
 
-def rolling() -> Rolling:
-    if not _rolling:
-        _rolling.append(Rolling(PIECE + 1))
-    return _rolling[0]
+def rolling(seed: int, bits: int) -> Rolling:
+    if (seed, bits) not in _rolling:
+        _rolling.clear()
+        _rolling[seed, bits] = Rolling(PIECE + 1, seed, bits)
+    return _rolling[seed, bits]
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -75,9 +111,8 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(x: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(r: Rolling, x: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """x: bytes of several texts, at most PIECE; ends: for each byte, where its text ends. Places of stretches, of their anchors, and the prefix hashes."""
-    r = rolling()
     p = r.prefixes(x)
     if len(x) < length:
         return np.empty(0, np.int64), np.empty(0, np.int64), p
@@ -108,17 +143,20 @@ def _pieces(texts: Iterator[tuple[int, bytes]], length: int) -> Iterator[tuple[l
         yield heads, parts
 
 
-ROWS = "h long, c long, doc long, place long, kind byte"
-ROW_SCHEMA = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("kind", pa.int8())])
+ROWS = "h long, c long, doc long, place long, kind byte, src long, at long"
+ROW_SCHEMA = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("kind", pa.int8()), ("src", pa.int64()), ("at", pa.int64())])
 
 
-def _batch(h: np.ndarray, c: np.ndarray, doc: np.ndarray, place: np.ndarray, kind: np.ndarray | int) -> pa.RecordBatch:
-    kind = kind if isinstance(kind, np.ndarray) else np.full(len(doc), kind)
-    return pa.record_batch([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(place), pa.array(kind.astype(np.int8))], schema=ROW_SCHEMA)
+def _batch(h: np.ndarray, c: np.ndarray, doc: np.ndarray, place: np.ndarray, kind: np.ndarray | int, src: np.ndarray | None = None, at: np.ndarray | None = None) -> pa.RecordBatch:
+    kind, zero = kind if isinstance(kind, np.ndarray) else np.full(len(doc), kind), np.zeros(len(doc), np.int64)
+    return pa.record_batch([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(place), pa.array(kind.astype(np.int8)), pa.array(zero if src is None else src), pa.array(zero if at is None else at)], schema=ROW_SCHEMA)
 
 
-def _runs(h: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.empty(0, bool)
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return out
 
 
 def _interval(place: np.ndarray, kind: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,40 +166,58 @@ def _interval(place: np.ndarray, kind: np.ndarray, length: int, k: int) -> tuple
     return np.where(kind == STRETCH, at, np.maximum(0, at - side)), np.where(kind == STRETCH, at + length, at + k + after)
 
 
-def _combine(rows: list[np.ndarray], length: int, k: int, local: bool) -> Iterator[pa.RecordBatch]:
-    """Equal rows met in one task: the first stays, the others become covered intervals. local: before the shuffle; else after it, sorted."""
+def _claimed(doc: np.ndarray, place: np.ndarray, kind: np.ndarray, head_doc: np.ndarray, head_place: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """doc, start, end, src, at: what rows claim to repeat of the heads of their groups."""
+    start, end = _interval(place, kind, length, k)
+    ok = end - start >= length
+    return tuple(v[ok] for v in (doc, start, end, head_doc, start - (place >> 8) + (head_place >> 8)))
+
+
+def joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray, src: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Claims with those joined that touch and point to one source at one distance."""
+    if not len(doc):
+        return doc, start, end, src, at
+    order = np.lexsort([start, start - at, src, doc])
+    doc, start, end, src, at = (v[order] for v in (doc, start, end, src, at))
+    fresh = _runs(doc, src, start - at)
+    reach = np.maximum.accumulate(np.cumsum(fresh) << 38 | end)
+    fresh[1:] |= start[1:] > (reach[:-1] & ((1 << 38) - 1))
+    first = np.flatnonzero(fresh)
+    return doc[first], start[first], np.maximum.reduceat(end, first), src[first], at[first]
+
+
+def _combine(rows: list[np.ndarray], length: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Equal rows met in one task before the shuffle: the first stays, the others become claims on it."""
     h, c, doc, place, kind = rows
-    if local:
-        order = np.lexsort([place, doc, c, h])
-        h, c, doc, place, kind = (a[order] for a in (h, c, doc, place, kind))
-    again = np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])]) if len(h) else np.empty(0, bool)
-    h, c, doc, place, kind = (a[~again] for a in (h, c, doc, place, kind))
+    order = np.lexsort([place, doc, c, h])
+    h, c, doc, place, kind = (a[order] for a in (h, c, doc, place, kind))
     first = _runs(h, c)
-    start, end = _interval(place[~first], kind[~first], length, k)
-    ok = end - start >= length
-    spread = scramble(doc[~first][ok].view(np.uint64))
-    yield _batch(spread, end[ok].view(np.uint64), doc[~first][ok], start[ok], COVER)
+    head = np.flatnonzero(first)[np.cumsum(first) - 1]
+    again = (doc == doc[head]) & (place == place[head])
+    rest = ~again
+    own, start, end, src, at = joined(*_claimed(doc[rest], place[rest], kind[rest], doc[head[rest]], place[head[rest]], length, k))
+    yield _batch(scramble(own.view(np.uint64)), end, own, start, COVER, src, at)
     yield _batch(h[first], c[first], doc[first], place[first], kind[first])
 
 
-def _stretch_rows(p: np.ndarray, anchor_hash: np.ndarray, stretch: np.ndarray, offset: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _stretch_rows(r: Rolling, p: list[np.ndarray], anchor_hash: np.ndarray, stretch: np.ndarray, offset: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The two keys of stretches: their hash, and their anchor's with its place in them."""
-    return rolling().of(p, stretch, stretch + length), scramble(anchor_hash + np.uint64(0x94D049BB133111EB) * offset.astype(np.uint64))
+    return r.of(p, stretch, stretch + length), r.mixed(anchor_hash + np.uint64(0x94D049BB133111EB) * offset.astype(np.uint64))
 
 
-def _find(batches: Iterator[pa.RecordBatch], length: int, k: int, hot: np.ndarray, only_hashes: bool) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], length: int, k: int, hot: np.ndarray, only_hashes: bool, hashing: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """batches: doc, text. Rows of ROWS, combined; or just the anchors' hashes."""
-    side, held, n = length - k, [], 0
+    side, held, n, r = length - k, [], 0, rolling(*hashing)
     texts = ((doc, text) for batch in batches for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
     for heads, parts in _pieces(texts, length):
         x = np.frombuffer(b"".join(parts), np.uint8)
         lengths = np.array([len(t) for t in parts])
         part_end = np.cumsum(lengths)
         part_start = part_end - lengths
-        stretch, at, p = anchors(x, np.repeat(part_end, lengths), length, k)
+        stretch, at, p = anchors(r, x, np.repeat(part_end, lengths), length, k)
         own = np.searchsorted(part_end, np.unique(at), "right")
         at_all, at = at, np.unique(at)
-        h = rolling().of(p, at, at + k)
+        h = r.of(p, at, at + k)
         if only_hashes:
             yield pa.record_batch([pa.array(h.view(np.int64))], ["h"])
             continue
@@ -173,68 +229,69 @@ def _find(batches: Iterator[pa.RecordBatch], length: int, k: int, hot: np.ndarra
         is_hot = np.isin(h, hot) if len(hot) else np.zeros(len(h), bool)
         take = whole & ~is_hot
         rest = b - at - k
-        c = scramble(rolling().of(p, a[take], b[take]) + np.uint64(0x94D049BB133111EB) * ((at - a)[take] * 256 + rest[take]).astype(np.uint64))
+        c = r.mixed(r.of(p, a[take], b[take]) + np.uint64(0x94D049BB133111EB) * ((at - a)[take] * 256 + rest[take]).astype(np.uint64))
         held.append([h[take], c, doc[own[take]], pos[take] * 256 + rest[take], np.full(take.sum(), WHOLE)])
         if is_hot.any():
             of = np.searchsorted(at, at_all)
             s = is_hot[of]
             st, an = stretch[s], of[s]
-            one, two = _stretch_rows(p, h[an], st, at[an] - st, length)
+            one, two = _stretch_rows(r, p, h[an], st, at[an] - st, length)
             o = own[an]
             held.append([one, two, doc[o], (st - part_start[o] + shift[o]) * 256, np.full(len(st), STRETCH)])
         n += len(held[-1][0]) + int(take.sum())
         if n >= FLUSH:
-            yield from _combine([np.concatenate(v) for v in zip(*held, strict=True)], length, k, True)
+            yield from _combine([np.concatenate(v) for v in zip(*held, strict=True)], length, k)
             held, n = [], 0
     if held:
-        yield from _combine([np.concatenate(v) for v in zip(*held, strict=True)], length, k, True)
+        yield from _combine([np.concatenate(v) for v in zip(*held, strict=True)], length, k)
+
 
+FOUND = "doc long, start long, end long, h long, src long, at long"
+FOUND_SCHEMA = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("h", pa.int64()), ("src", pa.int64()), ("at", pa.int64())])
 
-FOUND = "doc long, start long, end long, h long"
-FOUND_SCHEMA = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("h", pa.int64())])
 
+def _claims_of(doc: np.ndarray, start: np.ndarray, end: np.ndarray, src: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(doc), pa.array(start), pa.array(end), pa.nulls(len(doc), pa.int64()), pa.array(src), pa.array(at)], schema=FOUND_SCHEMA)
 
-def _found(doc: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray | None = None) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(doc), pa.array(start), pa.array(end), pa.nulls(len(doc), pa.int64()) if h is None else pa.array(h.view(np.int64))], schema=FOUND_SCHEMA)
+
+def _firsts(doc: np.ndarray, place: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    zero = pa.array(np.zeros(len(doc), np.int64))
+    return pa.record_batch([pa.array(doc), pa.array(place), zero, pa.array(h), zero, zero], schema=FOUND_SCHEMA)
 
 
 def _meet(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """batches: ROWS by h, c, doc, place. Covered intervals; and (doc, place, null, h) of first anchors of contexts, where an anchor has several."""
-    last: tuple | None = None  # h, c, doc, place, kind of the row before; whether its h has had more than one c
-    pending: tuple | None = None  # the first context of last's h, until a second one comes
+    """batches: ROWS by h, c, doc, place. Claims; and (doc, place, 0, h) of first anchors of contexts, where an anchor has several."""
+    head: tuple | None = None  # h, c, doc, place, kind of the first row of the group that goes on
+    pending: tuple | None = None  # doc, place, h of the first context of an h, until a second one comes
     for batch in batches:
-        h, c, doc, place, kind = (batch.column(i).to_numpy() for i in range(5))
+        h, c, doc, place, kind, src, at = (batch.column(i).to_numpy() for i in range(7))
         cover = kind == COVER
         if cover.any():
-            yield _found(doc[cover], place[cover], c[cover])
+            yield _claims_of(doc[cover], place[cover], c[cover], src[cover], at[cover])
         h, c, doc, place, kind = (a[~cover] for a in (h, c, doc, place, kind))
         if not len(h):
             continue
-        if last is not None:
-            h, c, doc, place, kind = (np.concatenate([[v], a]) for v, a in zip(last, (h, c, doc, place, kind), strict=True))
-        new_h = np.concatenate([[True], h[1:] != h[:-1]])
-        new_c = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-        again = np.concatenate([[False], ~new_c[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])])
-        if last is not None:
-            new_h[0] = new_c[0] = False  # it has been dealt with
-            again[0] = True
-        rest = ~new_c & ~again
-        start, end = _interval(place[rest], kind[rest], length, k)
-        ok = end - start >= length
-        yield _found(doc[rest][ok], start[ok], end[ok])
-        # rows that are first of their context; those whose h has another one
-        at = np.flatnonzero(new_c)
-        follows = ~new_h[at]  # not the first context of their h
+        if head is not None:
+            h, c, doc, place, kind = (np.concatenate([[v], a]) for v, a in zip(head, (h, c, doc, place, kind), strict=True))
+        new_h, new_c = _runs(h), _runs(h, c)
+        heads = np.flatnonzero(new_c)
+        of = heads[np.cumsum(new_c) - 1]
+        rest = (doc != doc[of]) | (place != place[of])
+        yield _claims_of(*_claimed(doc[rest], place[rest], kind[rest], doc[of[rest]], place[of[rest]], length, k))
+        # contexts whose h has another one
+        follows = ~new_h[heads]  # not the first context of their h
         need = follows.copy()
         need[:-1] |= follows[1:]  # and the one before it
-        need &= kind[at] == WHOLE
-        if pending is not None and len(at) and follows[0]:
-            yield _found(np.array([pending[0]]), np.array([pending[1]]), np.array([0]), np.array([pending[2]]))
-            pending = None
-        yield _found(doc[at][need], place[at][need], np.zeros(need.sum(), np.int64), h[at][need])
-        if len(at):
-            pending = None if need[-1] or kind[at[-1]] != WHOLE else (doc[at[-1]], place[at[-1]], h[at[-1]])
-        last = (h[-1], c[-1], doc[-1], place[-1], kind[-1])
+        need &= kind[heads] == WHOLE
+        if head is not None:  # heads[0] is the one that went on
+            if pending is not None and len(heads) > 1 and follows[1]:
+                yield _firsts(*(np.array([v]) for v in pending))
+                pending = None
+            need[0] = False  # it has been sent, or just now, or nothing calls for it
+        yield _firsts(doc[heads][need], place[heads][need], h[heads][need])
+        if head is None or len(heads) > 1:
+            pending = None if need[-1] or kind[heads[-1]] != WHOLE else (doc[heads[-1]], place[heads[-1]], h[heads[-1]])
+        head = tuple(a[heads[-1]] for a in (h, c, doc, place, kind))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,10 +337,10 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterato
     for doc, texts, rows in _documents(batches, (3, 5)):
         if not rows or not texts:
             continue
-        text = texts[0][1]
-        for place, h in zip(rows[0].tolist(), rows[1].tolist(), strict=True):
-            pos = int(place) >> 8
-            out.append((int(h), doc, pos, text[max(0, pos - side) : pos][::-1], text[pos + k : pos + k + side]))
+        for text in dict.fromkeys(t for _, t in texts):
+            for place, h in zip(rows[0].tolist(), rows[1].tolist(), strict=True):
+                pos = place >> 8
+                out.append((h, doc, pos, text[max(0, pos - side) : pos][::-1], text[pos : pos + k + side]))
         if len(out) > 20_000:
             yield flush()
             out = []
@@ -291,20 +348,20 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterato
 
 
 def resolve(group: np.ndarray, doc: np.ndarray, pos: np.ndarray, before: list[bytes], after: list[bytes], length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The covered interval of each anchor that has one: its index, start and end. group: sorted; before: backwards."""
+    """The covered interval of each anchor that has one: its index, start and end. group: sorted; before: backwards; after: from the anchor's first byte on."""
     side, n = length - k, len(group)
     la, ra = np.array([len(b) for b in before], np.int64), np.array([len(b) for b in after], np.int64)
-    matrix = lambda rows: np.frombuffer(b"".join(r.ljust(side, b"\0") for r in rows), np.uint8).reshape(n, side)
-    sorted_ = [sort_groups(matrix(rows), sizes, group) for rows, sizes in ((before, la), (after, ra))]
+    matrix = lambda rows, width: np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(n, width)
+    sorted_ = [sort_groups(matrix(rows, width), sizes, group) for rows, sizes, width in ((before, la, side), (after, ra, length))]
     age = np.lexsort([pos, doc])
     most, least = np.full(n, -1), np.full(n, length)
     for left in range(side + 1):
         classes = []
-        for (order, lcp), need in zip(sorted_, (left, side - left), strict=True):
+        for (order, lcp), need in zip(sorted_, (left, length - left), strict=True):
             own = np.empty(n, np.int64)
             own[order] = np.cumsum(lcp < need)
             classes.append(own)
-        fit = age[(la[age] >= left) & (ra[age] >= side - left)]
+        fit = age[(la[age] >= left) & (ra[age] >= length - left)]
         key = classes[0][fit] * np.int64(n + 1) + classes[1][fit]
         order = np.argsort(key, kind="stable")
         again = fit[order[1:]][key[order[1:]] == key[order[:-1]]] if len(fit) else fit
@@ -313,30 +370,29 @@ def resolve(group: np.ndarray, doc: np.ndarray, pos: np.ndarray, before: list[by
     return at, pos[at] - most[at], pos[at] - least[at] + length
 
 
-def _resolve(batches: Iterator[pa.RecordBatch], length: int, k: int, most: int) -> Iterator[pa.RecordBatch]:
+def _resolve(batches: Iterator[pa.RecordBatch], length: int, k: int, most: int, hashing: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """batches: CONTEXTS by h. Covered intervals as ROWS of kind COVER (start in place, end in c), and STRETCH rows of groups over `most`."""
     side, held, over = length - k, [[] for _ in range(5)], None
 
     def stretches(rows: list[list]) -> Iterator[pa.RecordBatch]:
+        r = rolling(*hashing)
         for i in range(0, len(rows[0]), 2000):
-            h, doc, pos, before, after = (r[i : i + 2000] for r in rows)
-            parts = [b[::-1] + b"\0" * k + a for b, a in zip(before, after, strict=True)]  # the anchor's own bytes are the same for all
-            x = np.frombuffer(b"".join(parts), np.uint8)
-            p = rolling().prefixes(x)
+            h, doc, pos, before, after = (v[i : i + 2000] for v in rows)
+            parts = [b[::-1] + a for b, a in zip(before, after, strict=True)]
+            p = r.prefixes(np.frombuffer(b"".join(parts), np.uint8))
             sizes, la = np.array([len(t) for t in parts]), np.array([len(b) for b in before])
             starts = np.cumsum(sizes) - sizes
             own, left = (v.ravel() for v in np.meshgrid(np.arange(len(parts)), np.arange(side + 1), indexing="ij"))
-            ok = (left <= la[own]) & (side - left <= sizes[own] - la[own] - k)
+            ok = (left <= la[own]) & (length - left <= sizes[own] - la[own])
             own, left = own[ok], left[ok]
-            at = starts[own] + la[own] - left
-            one, two = _stretch_rows(p, np.array(h, np.int64).view(np.uint64)[own], at, left, length)
-            yield _batch(one, two, np.array(doc)[own], (np.array(pos)[own] - left) * 256, STRETCH)
+            one, two = _stretch_rows(r, p, np.array(h, np.int64).view(np.uint64)[own], starts[own] + la[own] - left, left, length)
+            yield _batch(one, two, np.array(doc, np.int64)[own], (np.array(pos, np.int64)[own] - left) * 256, STRETCH)
 
     def settle(rows: list[list]) -> Iterator[pa.RecordBatch]:
         if rows[0]:
             doc = np.array(rows[1])
             at, start, end = resolve(np.array(rows[0]), doc, np.array(rows[2]), rows[3], rows[4], length, k)
-            yield _batch(scramble(doc[at].view(np.uint64)), end.view(np.uint64), doc[at], start, COVER)
+            yield _batch(scramble(doc[at].view(np.uint64)), end, doc[at], start, COVER)
 
     for batch in batches:
         new = [batch.column(i).to_pylist() for i in range(5)]
@@ -357,22 +413,81 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, k: int, most: int)
     yield from settle(held)
 
 
-OUT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+CLAIMS = "doc long, start long, n long, src long, at long"
+
+
+def _settle_claims(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """batches: doc, start, end, src, at by doc. As few bytes of claims as cover the same, each of `length` at least, in parts of PART at most."""
+
+    def done(rows: list[np.ndarray]) -> pa.RecordBatch:
+        doc, start, end, src, at = joined(*rows)
+        order = np.lexsort([-end, start, doc])
+        doc, start, end, src, at = (v[order] for v in (doc, start, end, src, at))
+        same = ~_runs(doc)
+        reach = np.maximum.accumulate(np.cumsum(~same) << 38 | end) & ((1 << 38) - 1) if len(doc) else end
+        covered = np.zeros(len(doc), np.int64)
+        covered[1:] = np.where(same[1:], reach[:-1], 0)  # up to here by claims before
+        fresh = np.maximum(start, np.minimum(covered, end - length))
+        keep = end > covered
+        doc, start, end, src, at, fresh = (v[keep] for v in (doc, start, end, src, at, fresh))
+        at, size = at + fresh - start, end - fresh
+        parts = -(-size // PART)
+        of = np.repeat(np.arange(len(doc)), parts)
+        skip = PART * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
+        cols = (doc[of], fresh[of] + skip, np.minimum(PART, size[of] - skip), src[of], at[of] + skip)
+        return pa.record_batch([pa.array(c) for c in cols], ["doc", "start", "n", "src", "at"])
+
+    held = [np.empty(0, np.int64)] * 5
+    for batch in batches:
+        held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+        if len(held[0]) and held[0][0] != held[0][-1]:
+            stop = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1
+            yield done([h[:stop] for h in held])
+            held = [h[stop:] for h in held]
+    yield done(held)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes at each requested place. Rows that share an id give theirs each."""
+    names, out, size = ["src", "at", "n", "data"], [], 0
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
+
+    for doc, texts, rows in _documents(batches, (3, 4)):
+        for text in dict.fromkeys(t for _, t in texts) if rows else ():
+            for at, n in zip(rows[0].tolist(), rows[1].tolist(), strict=True):
+                if at + n <= len(text):
+                    out.append((doc, at, n, text[at : at + n]))
+                    size += n + 100
+                    if size > 4_000_000:
+                        yield flush()
+                        out, size = [], 0
+    yield flush()
+
+
+OUT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, failed long"
 
 
 def _remove(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+    """batches: doc, packed, id, start, end, data by doc. A row with data is a claim; its bytes are compared with the text's first."""
     out = []
 
     def flush() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) or [()] * 6
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        cols = list(zip(*out, strict=True)) or [()] * 7
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64())
         return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [c.split()[0] for c in OUT.split(", ")])
 
-    for _, texts, rows in _documents(batches, (3, 4)):
+    for _, texts, rows in _documents(batches, (3, 4, 5)):
         spans: list[list[int]] = []
+        failed: set[tuple[int, int]] = set()
         if rows:
-            order = np.argsort(rows[0], kind="stable")
-            for a, b in zip(rows[0][order].astype(np.int64).tolist(), rows[1][order].astype(np.int64).tolist(), strict=True):
+            start, end, data = (v.tolist() for v in rows)
+            holds = [d is None or any(t[a:b] == d for _, t in texts) for a, b, d in zip(start, end, data, strict=True)]
+            good = {(a, b) for a, b, ok in zip(start, end, holds, strict=True) if ok}
+            failed = {(a, b) for a, b, ok in zip(start, end, holds, strict=True) if not ok} - good
+            for a, b in sorted(good):
                 if spans and a <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], b)
                 else:
@@ -380,22 +495,34 @@ def _remove(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.R
         for doc_id, text in texts:
             own = [(a, min(b, len(text))) for a, b in spans if a < len(text)]
             kept = b"".join(text[a:b] for a, b in zip([0, *[b for _, b in own]], [*[a for a, _ in own], len(text)], strict=True))
-            out.append((doc_id, len(text), len(text) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+            out.append((doc_id, len(text), len(text) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), kept if with_text else None, len(failed)))
         if len(out) >= 500:
             yield flush()
             out = []
     yield flush()
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, most: int = 50_000, with_text: bool = False, sample: int = 64, hot_least: int = 100, hot_parts: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 100, k: int = 32, most: int = 50_000, with_text: bool = False, sample: int = 64, hot_least: int = 16, hot_parts: int = 20_000, bits: Sequence[int] = (62,), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256; with_text adds the bytes kept.
 
     Bytes go that are covered by a string of `length` bytes which also starts earlier: in a document of a smaller
     id, or before in the same one. Cases: a null text is empty; null ids come before all others, in the order of a hash
     of their text; rows that share an id are one document, that loses what either's places lose; an empty table gives
     no rows; other columns are not read. Anchors are hot that one in `hot_parts` of a sample (one document in `sample`)
-    is, and hot_least at least. Texts are equal up to collisions of two 64-bit hashes at one anchor.
+    is, and hot_least at least; which ones are changes the work, not the result. bits: of the hashes in each attempt
+    (the last one goes for all that follow).
     """
+    for attempt in count():
+        hashing = (attempt, bits[min(attempt, len(bits) - 1)])
+        out = _attempt(docs, length, k, most, with_text, sample, hot_least, hot_parts, hashing, id_col, text_col)
+        if not out.filter("failed > 0").limit(1).count():
+            return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
+
+
+def _attempt(docs: DataFrame, length: int, k: int, most: int, with_text: bool, sample: int, hot_least: int, hot_parts: int, hashing: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """Rows of OUT; failed counts a document's claims that didn't hold."""
     spark = docs.sparkSession
     shared_checkpoints(spark)
     parts = parallelism(spark)
@@ -403,9 +530,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, most: int =
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text).bitwiseOR(F.lit(-(1 << 63)).cast("long")))
     base = docs.select(key.alias("doc"), F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("text"))
 
-    counts = base.filter(F.pmod(F.xxhash64("doc"), F.lit(sample)) == 0).select("doc", "text").mapInArrow(lambda b: tidy(_find(b, length, k, np.empty(0, np.uint64), True)), "h long").groupBy("h").count()
+    counts = base.filter(F.pmod(F.xxhash64("doc"), F.lit(sample)) == 0).select("doc", "text").mapInArrow(lambda b: tidy(_find(b, length, k, np.empty(0, np.uint64), True, hashing)), "h long").groupBy("h").count()
     counts = cut(counts)
-    often = max(hot_least, (counts.agg(F.sum("count")).first()[0] or 0) // hot_parts)  # at most hot_parts hashes; which ones changes the work, not the result
+    often = max(hot_least, (counts.agg(F.sum("count")).first()[0] or 0) // hot_parts)  # at most hot_parts hashes
     hot = np.array([r.h for r in counts.filter(F.col("count") >= often).collect()], np.int64).view(np.uint64)
 
     def meet(rows: DataFrame) -> DataFrame:
@@ -416,16 +543,25 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, most: int =
         df.write.parquet(folder)
         return spark.read.schema(df.schema).parquet(folder)
 
-    found = kept(meet(base.select("doc", "text").mapInArrow(lambda b: tidy(_find(b, length, k, hot, False)), ROWS)), "anchors")
+    found = kept(meet(base.select("doc", "text").mapInArrow(lambda b: tidy(_find(b, length, k, hot, False, hashing)), ROWS)), "anchors")
     packed = base.mapInArrow(lambda b: tidy(_pack(b)), "doc long, id long, packed binary")
-    texts = packed.select("doc", "packed", "id", *[F.lit(None).cast("long").alias(c) for c in ("start", "end", "h")])
-    rows = lambda df: df.select("doc", F.lit(None).cast("binary").alias("packed"), F.lit(None).cast("long").alias("id"), "start", "end", "h")
-    by_doc = lambda df: texts.unionByName(rows(df)).repartition(parts, "doc").sortWithinPartitions("doc")
 
-    contexts = by_doc(found.filter("h IS NOT NULL")).mapInArrow(lambda b: tidy(_contexts(b, length, k)), CONTEXTS)
-    resolved = kept(contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(lambda b: tidy(_resolve(b, length, k, most)), ROWS), "resolved")
-    covers = found.filter("h IS NULL").unionByName(resolved.filter(F.col("kind") == COVER).select("doc", F.col("place").alias("start"), F.col("c").alias("end"), F.lit(None).cast("long").alias("h")))
+    def by_doc(rows: DataFrame) -> DataFrame:
+        """rows: doc and others, beside the texts: doc, packed, id, then the others."""
+        others = [(c, t) for c, t in rows.dtypes if c != "doc"]
+        texts = packed.select("doc", "packed", "id", *[(F.lit(None) if t == "binary" else F.lit(0)).cast(t).alias(c) for c, t in others])
+        own = rows.select("doc", F.lit(None).cast("binary").alias("packed"), F.lit(None).cast("long").alias("id"), *[c for c, _ in others])
+        return texts.unionByName(own).repartition(parts, "doc").sortWithinPartitions("doc")
+
+    contexts = by_doc(found.filter("h IS NOT NULL").select("doc", "start", "end", "h")).mapInArrow(lambda b: tidy(_contexts(b, length, k)), CONTEXTS)
+    resolved = kept(contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(lambda b: tidy(_resolve(b, length, k, most, hashing)), ROWS), "resolved")
+    claims = found.filter("h IS NULL")
     if not resolved.filter(F.col("kind") == STRETCH).isEmpty():
-        covers = covers.unionByName(meet(resolved.filter(F.col("kind") == STRETCH)).filter("h IS NULL"))
-    out = by_doc(covers).mapInArrow(lambda b: tidy(_remove(b, with_text)), OUT)
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
+        claims = claims.unionByName(meet(resolved.filter(F.col("kind") == STRETCH)).filter("h IS NULL"))
+    claims = claims.select("doc", "start", "end", "src", "at").repartition(parts, "doc").sortWithinPartitions("doc").mapInArrow(lambda b: tidy(_settle_claims(b, length)), CLAIMS)
+    claims = kept(claims, "claims")
+    wanted = claims.select(F.col("src").alias("doc"), "at", "n").distinct()
+    slices = by_doc(wanted).mapInArrow(lambda b: tidy(_slices(b)), "src long, at long, n long, data binary")
+    fetched = claims.join(slices, ["src", "at", "n"]).select("doc", "start", (F.col("start") + F.col("n")).alias("end"), "data")
+    sorted_out = resolved.filter(F.col("kind") == COVER).select("doc", F.col("place").alias("start"), F.col("c").alias("end"), F.lit(None).cast("binary").alias("data"))
+    return kept(by_doc(fetched.unionByName(sorted_out)).mapInArrow(lambda b: tidy(_remove(b, with_text)), OUT), "removed")

@@ -72,6 +72,34 @@ def test_against_brute_force(spark, length, k, most, hot):
     assert sorted(map(tuple, got)) == plain(rows, length)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_collisions_change_nothing(spark, hot):
+    """With 5 or 9 bits of hash, unequal strings meet everywhere; no byte goes on a hash alone."""
+    rows = corpus(4, 25)
+    every = {"sample": 1, "hot_least": 0, "hot_parts": 10**9} if hot else {}
+    got = remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), 40, 12, bits=(5, 9, 62), **every).collect()
+    assert sorted(map(tuple, got)) == plain(rows, 40)
+
+
+def test_letters_that_cancel_in_a_power_of_two(spark):
+    """Thue-Morse blocks: such strings collide in polynomials modulo 2 ** 64 whatever the base is."""
+    word = "0"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("01", "10"))
+    one, two = word.translate(str.maketrans("01", "dN")), word.translate(str.maketrans("01", "Nd"))
+    rows = [(1, "x" * 50 + one, 1, ""), (2, "y" * 50 + two, 1, "")]
+    got = remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == plain(rows, 100)
+    rows = [(1, PAIR[0], 1, ""), (2, PAIR[1], 1, "")]
+    assert [r.n_removed for r in remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()] == [0, 0]
+
+
+PAIR = (
+    "dNNdNddNNddNdNNdNddNdNNddNNdNddNS44S4SS44SS4S44S4SS4S44SS44S4SS4....ThWJLXz28qBlN3Ycuyw1GBbrsr5DkTuPcqqcqccqqccqcqqcqccqcqqccqqcqccqc22c2cc22cc2c22c2cc2c22cc22c2cc2....",
+    "NddNdNNddNNdNddNdNNdNddNNddNdNNd4SS4S44SS44S4SS4S44S4SS44SS4S44S....ThWJLXz28qBlN3Ycuyw1GBbrsr5DkTuPqccqcqqccqqcqccqcqqcqccqqccqcqqc2cc2c22cc22c2cc2c22c2cc22cc2c22c....",
+)
+
+
 def test_long_texts_cross_pieces(spark):
     rng = random.Random(9)
     long = "".join(rng.choice("abcdefgh") for _ in range(2_300_000))
