@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from carpalake.llm.decontamination import align, drop_leaking, edits, find_leaks, rarest, size_of, words_of
+from carpalake.llm.decontamination import align, drop_leaking, edits, find_leaks, lowered, rarest, size_of, words_of
 
 SCHEMA = "doc_id long, text string, item_id string, start int"
 ITEMS = "item_id long, text string, doc_id string"
@@ -64,10 +64,10 @@ def test_against_brute_force(spark):
     d, t = spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(items, ITEMS)
     want = set()
     for i, text, *_ in docs:
-        words = words_of(text)
+        words = lowered(words_of(text))
         words = words[-400:] if i == 502 else words
         for j, item, _ in items:
-            w = words_of(item)
+            w = lowered(words_of(item))
             if len(w) >= 5 and (s := plain_score(w, words) / (4 * len(w))) >= 0.8:
                 want.add((i, j, round(s, 6)))
     for block in (16_000_000, 400):
@@ -76,7 +76,7 @@ def test_against_brute_force(spark):
         assert len(got) == len(want) + 1  # the repeated row
     texts = {r[0]: r[1] for r in docs}
     for r in got:
-        w, item = words_of(texts[r.doc_id][r.start : r.end]), words_of(dict((a, b) for a, b, _ in items)[r.item_id])
+        w, item = lowered(words_of(texts[r.doc_id][r.start : r.end])), lowered(words_of(dict((a, b) for a, b, _ in items)[r.item_id]))
         assert plain_score(item, w) == round(r.similarity * 4 * len(item))
     kept = drop_leaking(d, t)
     assert kept.schema == d.schema

@@ -7,3 +7,42 @@ def test_items_of_one_to_four_words(spark):
     got = {(r.doc_id, r.item_id, r.similarity) for r in find_leaks(docs, items).collect()}
     assert got == {(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (4, 4, 1.0), (6, 7, 1.0)}
     assert sorted(r.doc_id for r in drop_leaking(docs, items).collect()) == [5, 7]
+
+
+def test_scripts_without_spaces(spark):
+    items = spark.createDataFrame([(1, "北京是中国的首都"), (2, "東京タワー"), (3, "สวัสดีครับ")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "大家都知道北京是中国的首都，对吧"), (2, "昨日、東京タワーに行った"), (3, "ผมพูดว่าสวัสดีครับทุกวัน"), (4, "北京的首都在中国"), (5, "北京是中国的一个城市")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in find_leaks(docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3)}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert [texts[i][got[i, j].start : got[i, j].end] for i, j in ((1, 1), (2, 2))] == ["北京是中国的首都", "東京タワー"]
+    assert sorted(r.doc_id for r in drop_leaking(docs, items).collect()) == [4, 5]
+
+
+def test_places_count_the_texts_own_characters(spark):
+    """Lower case may be longer than the text, and ends of words matter to it."""
+    item = "İstanbul ΟΔΟΣ is a long way from here"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    text = "İİİ İİ " + item.replace("ΟΔΟΣ", "οδος").replace("İ", "İ") + " x"
+    (got,) = find_leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"), items).collect()
+    assert text[got.start : got.end] == text[7:-2] and got.similarity == 1.0
+
+
+def test_equal_hashes_of_words_are_no_match(spark):
+    """plumless and buckeroo have one CRC-32."""
+    items = spark.createDataFrame([(1, "plumless"), (2, "a b c d plumless")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "buckeroo a b c d buckeroo"), (2, "so plumless a b c d plumless")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.similarity) for r in find_leaks(docs, items, similarity=0.9).collect()}
+    assert got == {(2, 1, 1.0), (2, 2, 1.0)}
+
+
+def test_large_blocks_of_items(spark):
+    """Several blocks with tens of thousands of n-grams each."""
+    from pyspark.sql import functions as F
+
+    word = lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(100_000)))
+    texts = spark.range(6000).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), word), " ").alias("text"))
+    items = texts.select(F.col("id").alias("item_id"), "text")
+    docs = texts.filter("id % 500 = 0").select(F.col("id").alias("doc_id"), F.concat(F.lit("before "), "text", F.lit(" after")).alias("text"))
+    got = find_leaks(docs, items, block_bytes=600_000).collect()
+    assert sorted((r.doc_id, r.item_id, r.similarity) for r in got) == [(i, i, 1.0) for i in range(0, 6000, 500)]
