@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,11 +18,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; a temporary folder only where the session names none."""
+def shared_checkpoints(spark: SparkSession) -> str:
+    """The session's checkpoint folder: the cluster's spark.checkpoint.dir. Only a session in one process gets a temporary folder where it names none."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="carpalake-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="carpalake-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+class Scratch:
+    """Tables written into the shared checkpoint folder, to be cleared when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def clear(self, name: str = "") -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}".rstrip("/"))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,6 +50,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def only_kept(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose id and hash of the text are those of a kept row of groups (id_col, tag, kept)."""
+    kept = groups.filter("kept").select(F.col(id_col).alias("id"), "tag").distinct().alias("kept")
+    same = F.col(f"docs.`{id_col}`").eqNullSafe(F.col("kept.id")) & (F.xxhash64(F.coalesce(F.col(f"docs.`{text_col}`"), F.lit(""))) == F.col("kept.tag"))
+    return docs.alias("docs").join(kept, same, "left_semi")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

@@ -34,7 +34,8 @@ def check(spark, urls, rules, **options):
 
 def test_registered_rules(spark):
     check(spark, URLS, URL_RULES)
-    check(spark, URLS, URL_RULES, buckets=1)
+    check(spark, URLS, URL_RULES, ranges=1)
+    check(spark, URLS, URL_RULES, ranges=50)
 
 
 def test_nested_rules(spark):
@@ -48,5 +49,18 @@ def test_random(spark, urls, rules):
     check(spark, [f"x://{h}/{p}" for h, p in urls], rules)
 
 
+def test_many_rules(spark):
+    """100,000 rules, nested along paths, most of them and half of the urls on one host."""
+    host = lambda i: "hot.example.com" if i % 3 else f"h{i % 500}.org"
+    rules = {(host(i), f"/{i % 1000}/" + "x/" * (i // 1000 % 20) + (f"{i // 20_000}" if i % 7 else "")): "block" if i % 2 else "allow" for i in range(120_000)}
+    assert len(rules) > 100_000
+    urls = [f"http://{'' if i % 5 else 'www.'}{host(i if i % 2 else 1)}/{i % 1001}/" + "x/" * (i % 23) + str(i % 9) for i in range(20_000)]
+    got = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [(v, *k) for k, v in rules.items()], default="none").collect()
+    assert len(got) == len(urls)
+    for r in got:
+        fits = [(len(h) + n, h + r.path[:n], rules[h, r.path[:n]]) for h in (r.host, r.host.removeprefix("www."), r.host.split(".")[-1]) for n in range(len(r.path) + 1) if (h, r.path[:n]) in rules]
+        assert (r.rule, r.verdict) == max(fits, default=(0, None, "none"))[1:]
+
+
 def test_empty(spark):
     assert judge_urls(spark.createDataFrame([], SCHEMA), URL_RULES).count() == 0
