@@ -1,6 +1,6 @@
 """Language-model scores of documents: context-tree weighting, beside a unigram base.
 
-Documents are dealt to blocks of bounded size. A block's task counts its distinct words and byte
+Documents are dealt to blocks of bounded size, one to a task. A block's task counts its distinct words and byte
 strings; these tables, not the texts, are summed over the blocks. The strings' model is worked
 out context by context of three bytes, in pieces; the level of two bytes is summed as a table and
 joined to them, and the two levels above (at most 65,280 and 255 nodes) are on the driver. Each
@@ -11,7 +11,6 @@ travel compressed.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import islice
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import context_tree as tree
-from .common import cut, parallelism, shared_checkpoints, tidy
+from .common import Scratch, cut, parallelism, tidy
 
 CHUNK = 1_000_000  # bytes of text that are worked on at once
 PIECE = 300_000  # strings that are worked out at once, up to the end of a context
@@ -265,16 +264,14 @@ def score_documents(docs: DataFrame, held: Column | None = None, block_bytes: in
     with nothing to learn from each binary decision has probability one half; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    shared_checkpoints(spark)
+    scratch = Scratch(spark, "scores")
     held = held_out(id_col) if held is None else held
     text = F.coalesce(F.col(text_col), F.lit(""))
     n = max(1, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // block_bytes))
     deal = F.pmod(F.xxhash64(id_col, text), F.lit(n)).cast("int")
     packed = docs.select(deal.alias("block"), F.col(id_col).cast("long").alias("id"), held.alias("held"), text.cast("binary").alias("text")).mapInArrow(lambda b: tidy(_compress(b)), "block int, id long, held boolean, packed binary")
-    tables = packed.select("block", "held", "packed").repartition(4 * n, "block").sortWithinPartitions("block").mapInArrow(lambda b: tidy(_tables(b)), "block int, word binary, string long, n long")
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables-{uuid.uuid4().hex}"
-    tables.write.parquet(folder)
-    tables = spark.read.schema(tables.schema).parquet(folder)
+    tables = packed.select("block", "held", "packed").repartitionById(n, F.col("block")).sortWithinPartitions("block").mapInArrow(lambda b: tidy(_tables(b)), "block int, word binary, string long, n long")
+    tables = scratch.keep(tables, "tables")
 
     by_word = Window.partitionBy("word")
     words = tables.filter("word IS NOT NULL").select("block", F.lit(0).alias("kind"), F.sum("n").over(by_word).alias("id"), (F.min("block").over(by_word) == F.col("block")).cast("double").alias("num"), F.col("word").alias("bytes"))
@@ -294,7 +291,8 @@ def score_documents(docs: DataFrame, held: Column | None = None, block_bytes: in
     logs = strings.select("string", "block").join(model, "string").select("block", F.lit(1).alias("kind"), F.col("string").alias("id"), F.col("log10").alias("num"), F.lit(None).cast("binary").alias("bytes"))
 
     texts = packed.select("block", F.lit(2).alias("kind"), "id", F.col("held").cast("double").alias("num"), F.col("packed").alias("bytes"))
-    scored = cut(words.unionByName(logs).unionByName(texts).repartition(4 * n, "block").sortWithinPartitions("block", "kind").mapInArrow(lambda b: tidy(_score(b)), SCORES))
+    scored = cut(words.unionByName(logs).unionByName(texts).repartitionById(n, F.col("block")).sortWithinPartitions("block", "kind").mapInArrow(lambda b: tidy(_score(b)), SCORES))
+    scratch.clear()
     v, total = scored.agg(F.sum("words"), F.sum("tokens")).first()
     per_token = F.lit(float(np.log10((total or 0) + 0.5 * ((v or 0) + 1))))
     return scored.filter("n_tokens IS NOT NULL").select(

@@ -23,7 +23,6 @@ again with other random hashes, until all claims hold.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator, Sequence
 from itertools import count
 
@@ -33,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism, shared_checkpoints, tidy
+from .common import Scratch, cut, parallelism, tidy
 from .suffix_sort import sort_groups
 
 PIECE = 1 << 19  # bytes that are hashed at once; places fit 20 bits
@@ -524,7 +523,7 @@ def remove_repeats(
 def _attempt(docs: DataFrame, length: int, k: int, most: int, with_text: bool, sample: int, hot_least: int, hot_parts: int, hashing: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
     """Rows of OUT; failed counts a document's claims that didn't hold."""
     spark = docs.sparkSession
-    shared_checkpoints(spark)
+    scratch, result = Scratch(spark, "substrings"), Scratch(spark, "removed")
     parts = parallelism(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text).bitwiseOR(F.lit(-(1 << 63)).cast("long")))
@@ -538,12 +537,7 @@ def _attempt(docs: DataFrame, length: int, k: int, most: int, with_text: bool, s
     def meet(rows: DataFrame) -> DataFrame:
         return rows.repartition(parts, "h").sortWithinPartitions("h", "c", "doc", "place").mapInArrow(lambda b: tidy(_meet(b, length, k)), FOUND)
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(folder)
-        return spark.read.schema(df.schema).parquet(folder)
-
-    found = kept(meet(base.select("doc", "text").mapInArrow(lambda b: tidy(_find(b, length, k, hot, False, hashing)), ROWS)), "anchors")
+    found = scratch.keep(meet(base.select("doc", "text").mapInArrow(lambda b: tidy(_find(b, length, k, hot, False, hashing)), ROWS)), "anchors")
     packed = base.mapInArrow(lambda b: tidy(_pack(b)), "doc long, id long, packed binary")
 
     def by_doc(rows: DataFrame) -> DataFrame:
@@ -554,14 +548,16 @@ def _attempt(docs: DataFrame, length: int, k: int, most: int, with_text: bool, s
         return texts.unionByName(own).repartition(parts, "doc").sortWithinPartitions("doc")
 
     contexts = by_doc(found.filter("h IS NOT NULL").select("doc", "start", "end", "h")).mapInArrow(lambda b: tidy(_contexts(b, length, k)), CONTEXTS)
-    resolved = kept(contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(lambda b: tidy(_resolve(b, length, k, most, hashing)), ROWS), "resolved")
+    resolved = scratch.keep(contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(lambda b: tidy(_resolve(b, length, k, most, hashing)), ROWS), "resolved")
     claims = found.filter("h IS NULL")
     if not resolved.filter(F.col("kind") == STRETCH).isEmpty():
         claims = claims.unionByName(meet(resolved.filter(F.col("kind") == STRETCH)).filter("h IS NULL"))
     claims = claims.select("doc", "start", "end", "src", "at").repartition(parts, "doc").sortWithinPartitions("doc").mapInArrow(lambda b: tidy(_settle_claims(b, length)), CLAIMS)
-    claims = kept(claims, "claims")
+    claims = scratch.keep(claims, "claims")
     wanted = claims.select(F.col("src").alias("doc"), "at", "n").distinct()
     slices = by_doc(wanted).mapInArrow(lambda b: tidy(_slices(b)), "src long, at long, n long, data binary")
     fetched = claims.join(slices, ["src", "at", "n"]).select("doc", "start", (F.col("start") + F.col("n")).alias("end"), "data")
     sorted_out = resolved.filter(F.col("kind") == COVER).select("doc", F.col("place").alias("start"), F.col("c").alias("end"), F.lit(None).cast("binary").alias("data"))
-    return kept(by_doc(fetched.unionByName(sorted_out)).mapInArrow(lambda b: tidy(_remove(b, with_text)), OUT), "removed")
+    out = result.keep(by_doc(fetched.unionByName(sorted_out)).mapInArrow(lambda b: tidy(_remove(b, with_text)), OUT), "rows")
+    scratch.clear()
+    return out
