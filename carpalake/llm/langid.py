@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -178,11 +178,25 @@ def _windows(batches: Iterator[pa.RecordBatch], most: int, length: int) -> Itera
 
 
 def train(docs: DataFrame, learn: Column, most: int = 4000, per_document: int = 6, length: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """Fit on windows of the at most `most` documents with the smallest id hashes among those where learn holds."""
+    """Fit on at most `per_document` evenly spread windows of `length` bytes from each of at most `most` documents where learn holds.
+
+    The documents are a bounded sample of the labelled rows: as many of each language, those with the smallest hashes of
+    their ids. With more than `most` languages, the most frequent ones are learned.
+    """
     known = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = known.select(F.col(id_col).alias("__id")).distinct().withColumn("at", F.xxhash64("__id")).orderBy("at", "__id").limit(most)
-    some = known.select(F.col(id_col).alias("__doc"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), F.col("__doc") == F.col("__id"))
-    got = some.select("at", "lang", "text").mapInArrow(lambda b: _windows(b, per_document, length), "at long, lang string, piece binary").orderBy("at", "lang", "piece").limit(most * per_document).toArrow()
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).toArrow()  # a row for each language
+    if not counts.num_rows:
+        return None
+    share = max(1, most // counts.num_rows)
+    counts = known.sparkSession.createDataFrame(counts.to_pandas(), "lang string, count long")
+    at = F.xxhash64("id")
+    likely = F.pmod(at, F.lit(1 << 31)) <= F.lit(float(1 << 31) * (share + 4 * share**0.5 + 4)) / F.col("count")  # so that few rows more than needed are ranked
+    drawn = known.select("id", "lang").join(F.broadcast(counts), "lang").filter(likely).select("id", "lang").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(at, F.lit(1 << 31)), "id"))
+    ids = drawn.withColumn("rank", rank).filter(F.col("rank") <= share).select("id", "lang")
+    some = known.join(F.broadcast(ids), ["id", "lang"]).select(at.alias("at"), "lang", "text")
+    got = some.mapInArrow(lambda b: _windows(b, per_document, length), "at long, lang string, piece binary").orderBy("at", "lang", "piece").limit(most * per_document).toArrow()
     pieces, found = got.column("piece").to_pylist(), got.column("lang").to_pylist()
     langs = sorted(set(found))
     if not langs:
@@ -201,7 +215,7 @@ def _label(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[p
             p = net.pooled([t.encode().lower() for t, ok in zip(texts, usable, strict=True) if ok]) if any(usable) else None
             best = iter([] if p is None else zip(p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), strict=True))
             found = [(net.langs[b[0]], min(1.0, b[1])) if ok and (b := next(best)) else ("und", 0.0) for ok in usable]
-            yield pa.record_batch([part.column(0), pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], ["id", "lang_pred", "score"])
+            yield pa.record_batch([part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), part.column(2)], ["id", "lang_pred", "score", "held_out"])
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
@@ -211,11 +225,12 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
 def identify(docs: DataFrame, held: Column, most: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of docs: id_col, held_out, lang_pred, score.
 
-    Learns from text and lang where held is false. Cases: a text that is null or has no letter gives und with score 0, as
+    held may be any condition on docs. Learns from text and lang where it is false or null. Cases: a text that is null or has no letter gives und with score 0, as
     does every text when nothing can be learned; null ids are never learned from nor held out; repeated rows are
     rows like others; an empty table gives no rows; other columns are not read.
     """
-    net = train(docs, ~F.coalesce(held, F.lit(False)), most, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    held = F.coalesce(held, F.lit(False))
+    net = train(docs, ~held, most, id_col=id_col, text_col=text_col, lang_col=lang_col)
     kind = dict(docs.dtypes)[id_col]
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda b: _label(b, net), f"id {kind}, lang_pred string, score double")
-    return out.select(F.col("id").alias(id_col), "lang_pred", "score").withColumn("held_out", F.coalesce(held, F.lit(False)))
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held")).mapInArrow(lambda b: _label(b, net), f"id {kind}, lang_pred string, score double, held_out boolean")
+    return out.select(F.col("id").alias(id_col), "held_out", "lang_pred", "score")

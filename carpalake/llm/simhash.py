@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, parallelism, tidy
+from .common import cut, only_kept, parallelism, tidy
 from .components import components
 
 BITS = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], np.float64)
@@ -189,7 +189,8 @@ def near_groups(docs: DataFrame, bucket: int = 4096, id_col: str = "doc_id", tex
 
 
 def drop_near(docs: DataFrame, bucket: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that near_groups keeps, with all their columns."""
-    kept = near_groups(docs, bucket, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).distinct()
-    tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")) & (tag == F.col("__tag")), "left_semi")
+    """The rows of docs that near_groups keeps, with all their columns, whatever their names.
+
+    Cases: as near_groups has them; of rows that repeat id and text all stay, or none.
+    """
+    return only_kept(docs, near_groups(docs, bucket, id_col, text_col), id_col, text_col)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, parallelism, tidy
+from .common import cut, only_kept, parallelism, tidy
 from .components import components
 
 SEED = 42
@@ -184,7 +184,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_
 
 
 def drop_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that similar_groups keeps, with all their columns."""
-    kept = similar_groups(docs, similarity, width, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).distinct()
-    tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")) & (tag == F.col("__tag")), "left_semi")
+    """The rows of docs that similar_groups keeps, with all their columns, whatever their names.
+
+    Cases: as similar_groups has them; of rows that repeat id and text all stay, or none.
+    """
+    return only_kept(docs, similar_groups(docs, similarity, width, id_col, text_col), id_col, text_col)

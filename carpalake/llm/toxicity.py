@@ -147,7 +147,12 @@ def judge_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, threshold: float = 0.4, most: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that aren't toxic, with all their columns, in one pass without a shuffle."""
+    """The rows of docs that aren't toxic (as judge_toxicity finds them), with all their columns, in one pass without a shuffle.
+
+    Cases: null and empty texts have the base rate and stay unless it reaches the threshold; null ids and repeated rows are
+    rows like others; without labels all rows stay; an empty table gives no rows; other columns, whatever their names, go
+    through as they are.
+    """
     chain, at = train(docs, labels, categories, most, id_col, text_col), docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -80,3 +80,11 @@ def test_held_out_accuracy(spark):
 def test_nothing_to_learn_and_empty(spark):
     assert [r.lang_pred for r in identify(spark.createDataFrame([(1, "abc", None, "", 1)], SCHEMA), F.lit(False)).collect()] == ["und"]
     assert identify(spark.createDataFrame([], SCHEMA), held_out()).count() == 0
+
+
+def test_any_condition_and_rare_languages(spark):
+    """held may use any column; a language with few documents is learned beside a frequent one."""
+    rows = [(i, "ka lo mi ka mi lo " * 8, "xx", "web" if i % 3 else "book", 1) for i in range(600)] + [(1000 + i, "sch ung er ung sch " * 8, "yy", "book", 1) for i in range(3)] + [(2000, "sch ung er ung sch " * 5, None, "web", 1)]
+    got = identify(spark.createDataFrame(rows, SCHEMA).repartition(4), F.col("lang_pred") == "web", most=40).collect()
+    assert sum(r.held_out for r in got) == 401
+    assert {r.lang_pred for r in got if r.doc_id < 1000} == {"xx"} and {r.lang_pred for r in got if r.doc_id >= 1000} == {"yy"}

@@ -45,3 +45,16 @@ def test_round_trip(spark, size, windows, merge):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], SCHEMA), word_tokenizer()).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer_file(spark, name):
+    """One that doesn't lower-case, or whose tokens hold spaces, encodes whole texts."""
+    import public_tokenizers
+
+    path = str(public_tokenizers.path(name))
+    texts = [(1, "The CAT  sat\n\non the Mat. "), (2, " Don't\nX  y"), (3, "")]
+    t, got = Tokenizer.from_file(path), {}
+    for r in pack(spark.createDataFrame(texts, "doc_id long, text string"), path, size=8, windows=2, with_ids=True).collect():
+        got.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    assert {i: [x for _, ids in sorted(p) for x in ids] for i, p in got.items()} == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in texts}
