@@ -29,11 +29,11 @@ PLACE = 256 * np.arange(8)
 SEED, MOST = 42, 3
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """Bit b is 1 if more than half of the shingles' XXH64 values have it; 0 without words."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of each run of width words (A-Z in lower case, joined by a space); of all words where there are fewer, of none where there is none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     norm = b" ".join(words)
     if len(words) <= width:
         hashes = [xxh64_intdigest(norm, SEED)]
@@ -41,11 +41,20 @@ def fingerprint(text: bytes, width: int = 3) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate([[0], ends[:-width] + 1])
         hashes = [xxh64_intdigest(norm[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)]
-    octets = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8) + PLACE
+    return np.array(hashes, np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is 1 if more than half of the hashes have it; 0 without any."""
+    octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8) + PLACE
     ones = np.bincount(octets.ravel(), minlength=2048).reshape(8, 256) @ BITS
     return int(np.packbits((2 * ones > len(hashes)).ravel(), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, width: int = 3) -> int:
+    return majority(shingle_hashes(text, width))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [fingerprint(t) for t in batch.column(2).to_pylist()]
@@ -188,9 +197,15 @@ def near_groups(docs: DataFrame, bucket: int = 4096, id_col: str = "doc_id", tex
     )
 
 
-def drop_near(docs: DataFrame, bucket: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that near_groups keeps, with all their columns, whatever their names.
+def drop_near(docs: DataFrame, bucket: int = 4096, similarity: float | None = None, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group, that of the smallest id, with all its columns, whatever their names.
 
+    Groups are those of near_groups. With a similarity, links also need that Jaccard similarity of their sets of shingles of
+    `width` words, and pairs that have it without agreeing in their fingerprints are linked too (similar_groups).
     Cases: as near_groups has them; of rows that repeat id and text all stay, or none.
     """
-    return only_kept(docs, near_groups(docs, bucket, id_col, text_col), id_col, text_col)
+    if similarity is None:
+        return only_kept(docs, near_groups(docs, bucket, id_col, text_col), id_col, text_col)
+    from .similar import similar_groups
+
+    return only_kept(docs, similar_groups(docs, similarity, width, bucket, id_col, text_col), id_col, text_col)

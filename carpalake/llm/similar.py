@@ -1,15 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, found without loss.
-
-A text is the set of its shingles' hashes. All shingles are put in one order. Two sets of similarity
-t share at least t of the larger one, so the first of their common shingles is among the first
-n - ceil(t n) + 1 of each: its prefix. Only prefixes are shuffled. The order is rare before
-frequent by the counts of a sample of documents; any order finds the same links, this one keeps
-shingles of many documents out of the prefixes.
-
-Sets that share a shingle of their prefixes and may reach t by sizes and places are candidates,
-and every candidate that decides anything is verified on the whole sets, in two rounds. In the first,
-each shingle's sets are compared with one of them, so a large group of copies gives as many pairs
-as rows. In the second, the sets of one shingle that aren't connected yet are compared with each other.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash links first, then all others, without loss.
+
+A text is the set of its shingles' hashes. SimHash fingerprints of the shingles are linked by deletion variants
+(simhash.near_links); those links that have the similarity join the close copies. At a similarity of 0.8 fingerprints may
+differ in many more bits than such an index can bridge, so the rest is found by a prefix join.
+
+All shingles are put in one order. Two sets of similarity t share at least t of the larger one, so the first of their
+common shingles is among the first n - ceil(t n) + 1 of each: its prefix. Only prefixes are shuffled, and only shingles that
+several prefixes hold go on. The order is rare before frequent by the counts of a sample of documents; any order finds
+the same links, this one keeps shingles of many documents out of the prefixes.
+
+Sets that share a shingle of their prefixes are candidates unless their bitmaps rule it out: each shingle turns one of 512 bits
+over, so the bits in which two bitmaps differ are no more than the shingles that only one of the sets has. In a first
+round each shingle's sets are compared with one of them, so a large group of copies gives as many pairs as rows. In
+the second, sets of one shingle that aren't connected yet are compared with each other. A candidate becomes a link after
+a look at the whole sets.
 """
 
 from __future__ import annotations
@@ -23,24 +27,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, only_kept, parallelism, tidy
+from .common import Scratch, cut, parallelism, tidy
 from .components import components
+from .simhash import SEED, majority, near_links, shingle_hashes
 
-SEED = 42
 SAMPLE, FREQUENT, SENT = 20_000, 200_000, 200_000  # documents counted, shingles ranked, nodes broadcast
+MARKS = 8  # longs of a bitmap
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
-    """The distinct XXH64 values of runs of width words, sorted; of the whole text where it has fewer words."""
-    words = text.lower().split()
-    norm = b" ".join(words)
-    if len(words) <= width:
-        hashes = [xxh64_intdigest(norm, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-width] + 1])
-        hashes = [xxh64_intdigest(norm[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)]
-    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+    """The distinct hashes of runs of width words, sorted; a text without words is one empty shingle."""
+    found = shingle_hashes(text, width)
+    return np.unique(found.view(np.int64)) if len(found) else np.array([xxh64_intdigest(b"", SEED)], np.uint64).view(np.int64)
+
+
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """MARKS longs; h: distinct hashes."""
+    odd = np.bincount((h.view(np.uint64) >> np.uint64(55)).astype(np.int64), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def digest(h: np.ndarray) -> int:
@@ -70,13 +74,18 @@ def _frequent(docs: DataFrame, width: int, text_col: str) -> tuple[np.ndarray, n
     return keys[at], np.arange(len(keys), 0, -1, dtype=np.int32)[at]
 
 
+OWN = "id long, tag long, node long, n int, fp long, marks array<long>, keys array<long>"
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], similarity: float, width: int, hot: np.ndarray, ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """batches: id, tag, text. Rows of OWN: node stands for the set of n shingles, keys are its prefix."""
     for batch in batches:
         for i in range(0, batch.num_rows, 1000):
             part = batch.slice(i, 1000)
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, marks, keys = [], [], [], [], []
             for text in part.column(2).to_pylist():
-                h = shingles(text, width)
+                found = shingle_hashes(text, width)
+                h = np.unique(found.view(np.int64)) if len(found) else shingles(b"", width)
                 first = len(h) - ceil(similarity * len(h) - 1e-9) + 1
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
@@ -85,32 +94,46 @@ def _prefixes(batches: Iterator[pa.RecordBatch], similarity: float, width: int,
                     order = slice(first)
                 nodes.append(digest(h))
                 sizes.append(len(h))
+                prints.append(majority(found))
+                marks.append(bitmap(h))
                 keys.append(h[order])
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists], ["id", "tag", "node", "n", "keys"])
+            lists = lambda rows: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64)))
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), lists(marks), lists(keys)], [c.split()[0] for c in OWN.split(", ")])
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """batches: key, node, n, pos, sorted by key and node. Each row of a key but its first node's, beside that one."""
-    names = ["key", "a", "an", "ap", "b", "bn", "bp"]
-    head = np.empty((4, 0), np.int64)
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches: key, node, sorted. Distinct rows whose key has several nodes."""
+    last = np.empty((2, 0), np.int64)  # a row whose key has no second node so far
+    done = None  # the last row, of a key that has several
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.concatenate([head, np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], np.int64)], axis=1)
-        fresh = np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])
-        starts = np.flatnonzero(fresh)
-        first = starts[np.cumsum(fresh) - 1]
-        at = np.flatnonzero((rows[1] != rows[1, first]) & np.concatenate([[True], fresh[1:] | (rows[1, 1:] != rows[1, :-1])]))
-        head = rows[:, starts[-1:]]
-        yield pa.record_batch([pa.array(rows[0, at]), *(pa.array(rows[c, first[at]]) for c in (1, 2, 3)), *(pa.array(rows[c, at]) for c in (1, 2, 3))], names)
+        rows = np.array([batch.column(i).to_numpy() for i in range(2)], np.int64)
+        if done is not None:
+            rows = np.concatenate([done, rows], axis=1)
+        rows = np.concatenate([last, rows], axis=1)
+        fresh = np.ones(rows.shape[1], bool)
+        fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+        rows = rows[:, fresh]
+        same = rows[0, 1:] == rows[0, :-1]
+        several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        if done is not None:
+            several[0] = False  # it has gone out, and what follows it goes out by itself
+            several[1:2] |= rows[0, 1:2] == done[0]
+        yield pa.record_batch([pa.array(rows[0, several]), pa.array(rows[1, several])], ["key", "node"])
+        went = several[-1] or (done is not None and rows.shape[1] == 1)
+        last, done = (np.empty((2, 0), np.int64), rows[:, -1:]) if went else (rows[:, -1:], None)
 
 
 def _may_reach(similarity: float) -> Column:
-    """Whether what follows a common shingle in both sets is enough, if it is their first."""
-    need = F.lit(similarity / (1 + similarity)) * (F.col("an") + F.col("bn")) - F.lit(1e-9)
-    return F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= need
+    """Whether bitmaps a.marks and b.marks allow the similarity to sets of a.n and b.n shingles."""
+    differ = sum((F.bit_count(F.col(f"am{i}").bitwiseXOR(F.col(f"bm{i}"))) for i in range(MARKS)), F.lit(0))
+    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("an") + F.col("bn")) + F.lit(1e-9)
+    return (differ <= most) & (F.abs(F.col("an") - F.col("bn")) <= most)
+
+
+def _side(nodes: DataFrame, s: str, *more: str | Column) -> DataFrame:
+    return nodes.select(*more, F.col("node").alias(s), F.col("n").alias(f"{s}n"), *[F.col("marks")[i].alias(f"{s}m{i}") for i in range(MARKS)])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, roots: DataFrame, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -138,7 +161,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, roots: DataFrame, similarity: f
     return cut(both.select("a", "b", "x", "y").mapInArrow(lambda b: tidy(check(b)), "a long, b long"))
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, bucket: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, component_id, tag, kept.
 
     component_id is the smallest id reachable over pairs of texts whose sets of shingles have a Jaccard similarity
@@ -149,43 +172,57 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_
     name a component unless it has no other (then null); rows that repeat id and text share one verdict; an empty
     table gives no rows; other columns are not read.
     """
+    scratch, parts = Scratch(docs.sparkSession, "similar"), parallelism(docs.sparkSession)
     hot, ranks = _frequent(docs, width, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("text"))
-    own = cut(read.mapInArrow(lambda b: tidy(_prefixes(b, similarity, width, hot, ranks)), "id long, tag long, node long, n int, keys array<long>"))
-    roots = cut(own.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("root")))
-    rows = own.select("node", "n", F.posexplode("keys").alias("pos", "key")).select("key", "node", "n", "pos")
-    parts = parallelism(docs.sparkSession)
-    stars = rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(lambda b: tidy(_stars(b)), "key long, a long, an long, ap long, b long, bn long, bp long")
-    stars = cut(stars)
-    verified = lambda pairs: _verified(cut(pairs.distinct()), docs, roots, similarity, width, id_col, text_col)
-    links = verified(stars.filter(_may_reach(similarity)).select("a", "b"))
-    found = cut(components(links))
-
-    top = stars.groupBy("key").agg(F.min(F.struct("a", "an", "ap")).alias("t")).select("key", F.col("t.a").alias("node"), F.col("t.an").alias("n"), F.col("t.ap").alias("pos"))
-    members = stars.select("key", F.col("b").alias("node"), F.col("bn").alias("n"), F.col("bp").alias("pos")).unionByName(top)
-    members = members.join(found, "node", "left").withColumn("least", F.coalesce("least", "node"))
-    members = cut(members)
-    open_keys = members.groupBy("key").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).filter("lo <> hi").select("key")
-    left = members.join(open_keys, "key", "left_semi")
-    side = lambda s: left.select("key", F.col("node").alias(s), F.col("n").alias(f"{s}n"), F.col("pos").alias(f"{s}p"), F.col("least").alias(f"{s}l"))
-    cross = side("a").join(side("b"), "key").filter("al < bl").filter(_may_reach(similarity)).select("a", "b")
+    own = scratch.keep(read.mapInArrow(lambda b: tidy(_prefixes(b, similarity, width, hot, ranks)), OWN), "own")
+    root = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("root")
+    nodes = scratch.keep(own.groupBy("node").agg(root, F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("marks").alias("marks")), "nodes")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), docs, nodes.select("node", "root"), similarity, width, id_col, text_col)
+
+    # fingerprints
+    tops = cut(nodes.groupBy("fp").agg(F.min("node").alias("top")))
+    equal = nodes.join(tops, "fp").filter("node <> top").select(F.col("top").alias("a"), F.col("node").alias("b"))
+    close = near_links(tops.select("fp"), bucket)
+    for c in ("a", "b"):
+        close = close.join(tops.select(F.col("fp").alias(c), F.col("top").alias(f"{c}_top")), c)
+    links = verified(equal.unionByName(close.select(F.col("a_top").alias("a"), F.col("b_top").alias("b"))))
+
+    # prefixes
+    rows = own.select(F.explode("keys").alias("key"), "node").repartition(parts, "key").sortWithinPartitions("key", "node")
+    members = scratch.keep(rows.mapInArrow(lambda b: tidy(_shared(b)), "key long, node long"), "members")
+    marked = scratch.keep(nodes.join(members.select("node").distinct(), "node").select("node", "n", "marks"), "marked")
+
+    def placed() -> DataFrame:
+        """members with the component that each node is in so far."""
+        found = components(links)
+        return cut(members.join(found, "node", "left").select("key", "node", F.coalesce("least", "node").alias("least")))
+
+    now = placed()
+    centers = now.groupBy("key").agg(F.min_by(F.struct("node", "least"), F.xxhash64("key", "node")).alias("c"))
+    stars = now.join(centers, "key").filter(F.col("c.least") != F.col("least")).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+    may = stars.join(_side(marked, "a"), "a").join(_side(marked, "b"), "b").filter(_may_reach(similarity)).select("a", "b")
+    links = cut(links.unionByName(verified(may)))
+
+    now = placed()
+    open_keys = now.groupBy("key").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).filter("lo <> hi").select("key")
+    left = cut(now.join(open_keys, "key", "left_semi").join(marked, "node"))
+    cross = _side(left, "a", "key", F.col("least").alias("al")).join(_side(left, "b", "key", F.col("least").alias("bl")), "key").filter((F.col("al") < F.col("bl")) & _may_reach(similarity)).select("a", "b")
     links = links.unionByName(verified(cross))
 
+    roots = nodes.select("node", "root")
     classes = roots.join(components(links), "node", "left").withColumn("least", F.coalesce("least", "node"))
     tops = classes.groupBy("least").agg(F.min("root").alias("top"))
     by_node = classes.select("node", "least").join(tops, "least").select("node", "top")
-    return own.select("id", "tag", "node").join(by_node, "node").select(
+    out = own.select("id", "tag", "node").join(by_node, "node").select(
         F.col("id").alias(id_col),
         F.col("top.id").alias("component_id"),
         "tag",
         (F.col("id").eqNullSafe(F.col("top.id")) & (F.col("tag") == F.col("top.tag"))).alias("kept"),
     )
-
-
-def drop_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that similar_groups keeps, with all their columns, whatever their names.
-
-    Cases: as similar_groups has them; of rows that repeat id and text all stay, or none.
-    """
-    return only_kept(docs, similar_groups(docs, similarity, width, id_col, text_col), id_col, text_col)
+    out = cut(out)
+    scratch.clear()
+    return out

@@ -75,3 +75,24 @@ def test_stages_take_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_stages_take_repeated_rows_null_ids_and_other_columns(spark, folder):
+    """Repeated rows leave exact dedup as one; columns with names that the stages use go through."""
+    from pyspark.sql import functions as F
+
+    one = "kara loso miti nuvu pewy ruxe karo loti mivu nuwy " * 3
+    new = [(1001, one), (1001, one), (None, one + "kara"), (None, None), (1005, ""), (1006, one + "loso kara"), (1007, "grotz flemp grotz " + one), (1007, "grotz flemp grotz " + one)]
+    old = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 150").select("doc_id", "text")
+    docs = old.unionByName(spark.createDataFrame(new, "doc_id long, text string")).select("*", *[F.lit(c).alias(c) for c in ("__id", "__tag", "id", "tag", "node", "kept", "key", "docs")])
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        kept[name] = [(r.doc_id, r.text) for r in out.collect() if r.doc_id is None or r.doc_id > 1000]
+        assert set(kept[name]) <= set(new)
+    assert sorted(i or 0 for i, _ in kept["toxicity"]) == [0, 0, 1001, 1001, 1005, 1006]
+    assert sorted(i or 0 for i, _ in kept["exact_dedup"]) == [0, 1001, 1005, 1006, 1007] and (None, None) not in kept["exact_dedup"]
+    assert sorted(i or 0 for i, _ in kept["near_dedup"]) == [1001, 1001, 1005, 1007, 1007]
+    assert len(kept["decontamination"]) == len(new)
+    assert corpus_pipeline.packing(spark, docs, folder).filter("doc_id > 1000 OR doc_id IS NULL").count() >= len(new)

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from carpalake.llm.similar import drop_similar, similar_groups
+from carpalake.llm.simhash import drop_near
+from carpalake.llm.similar import _shared, bitmap, similar_groups
 
 SCHEMA = "doc_id long, text string, id int"
 
@@ -58,11 +61,34 @@ def test_groups_against_brute_force(spark, sample, monkeypatch):
     assert 1 < sum(want[i] != i for i in want) < len(want) - 1
     docs = spark.createDataFrame(data, SCHEMA).repartition(3)
     assert {r.doc_id: r.component_id for r in similar_groups(docs).collect()} == want
-    kept = drop_similar(docs)
+    kept = drop_near(docs, similarity=0.8)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_shared_keys_across_batches():
+    rng = random.Random(3)
+    for _ in range(200):
+        rows = sorted((rng.randrange(6), rng.randrange(4)) for _ in range(rng.randrange(25)))
+        cuts = sorted(rng.randrange(len(rows) + 1) for _ in range(3))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        batches = [pa.record_batch([pa.array([r[i] for r in part], pa.int64()) for i in (0, 1)], ["key", "node"]) for part in parts]
+        got = [tuple(r.values()) for b in _shared(iter(batches)) for r in b.to_pylist()]
+        nodes = {}
+        for k, n in rows:
+            nodes.setdefault(k, set()).add(n)
+        assert got == sorted((k, n) for k, v in nodes.items() if len(v) > 1 for n in v)
+
+
+def test_bitmaps_never_rule_a_link_out():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 40, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 62, n))
+        b = np.unique(np.concatenate([a[: max(1, len(a) * 8 // 9)], rng.integers(0, 1 << 62, len(a) // 9)]))
+        differ = int(np.bitwise_count(bitmap(a).view(np.uint64) ^ bitmap(b).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and len(bitmap(a)) == 8
+
+
 def test_many_nodes_are_joined_without_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr("carpalake.llm.similar.SENT", 0)
     data = rows()
@@ -77,8 +103,6 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
 
 def test_the_stage_drops_what_three_bits_do_not_link(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    from carpalake.llm.simhash import drop_near
-
     rng = random.Random(1)
     data = []
     for i in range(40):
