@@ -10,19 +10,21 @@ several prefixes hold go on. The order is rare before frequent by the counts of
 the same links, this one keeps shingles of many documents out of the prefixes.
 
 Sets that share a shingle of their prefixes are candidates unless their bitmaps rule it out: each shingle turns one of 512 bits
-over, so the bits in which two bitmaps differ are no more than the shingles that only one of the sets has. In a first
-round each shingle's sets are compared with one of them, so a large group of copies gives as many pairs as rows. In
-the second, sets of one shingle that aren't connected yet are compared with each other. A candidate becomes a link after
+over, so the bits in which two bitmaps differ are no more than the shingles that only one of the sets has. In the first
+rounds each shingle's sets are compared with one of them, so a large group of copies gives as many pairs as rows. In
+the last, sets of one shingle that aren't connected yet are compared with each other. A candidate becomes a link after
 a look at the whole sets.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -32,7 +34,7 @@ from .components import components
 from .simhash import SEED, majority, near_links, shingle_hashes
 
 SAMPLE, FREQUENT, SENT = 20_000, 200_000, 200_000  # documents counted, shingles ranked, nodes broadcast
-MARKS = 8  # longs of a bitmap
+MARKS, STARS = 8, 2  # longs of a bitmap; rounds with one center
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -136,29 +138,44 @@ def _side(nodes: DataFrame, s: str, *more: str | Column) -> DataFrame:
     return nodes.select(*more, F.col("node").alias(s), F.col("n").alias(f"{s}n"), *[F.col("marks")[i].alias(f"{s}m{i}") for i in range(MARKS)])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, roots: DataFrame, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs of nodes whose sets, worked out again from the texts, have the similarity."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node").select("node", F.col("root.id").alias("__id"), F.col("root.tag").alias("__tag"))
-    nodes = cut(nodes)
-    wanted = F.broadcast(nodes) if nodes.count() <= SENT else nodes
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("text"))
-    texts = rows.join(wanted, (F.col("tag") == F.col("__tag")) & F.col("id").eqNullSafe(F.col("__id"))).select("node", "text")
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    z = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1000):
+            part = batch.slice(i, 1000)
+            yield pa.record_batch([part.column(0), pa.array([z.compress(t) for t in part.column(1).to_pylist()], pa.binary())], ["node", "packed"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                yield pa.record_batch([part.column(0), pa.array([shingles(t, width).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["node", "set"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [similar(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def _checked(batches: Iterator[pa.RecordBatch], similarity: float, width: int) -> Iterator[pa.RecordBatch]:
+    """batches: a, b and their texts. Those pairs whose sets have the similarity."""
+    z, held = zstandard.ZstdDecompressor(), {}
 
-    held = cut(texts.mapInArrow(lambda b: tidy(sets(b)), "node long, set binary").dropDuplicates(["node"]))
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(lambda b: tidy(check(b)), "a long, b long"))
+    def of(node: int, packed: pa.BinaryScalar) -> np.ndarray:
+        if node not in held:
+            if len(held) > 200:
+                held.clear()
+            held[node] = shingles(z.decompress(packed.as_py()), width)
+        return held[node]
+
+    for batch in batches:
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        ok = [similar(of(a[i], batch.column(2)[i]), of(b[i], batch.column(3)[i]), similarity) for i in range(batch.num_rows)]
+        yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, roots: DataFrame, scratch: Scratch, name: str, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs of nodes whose sets, worked out again from the texts, have the similarity. Texts travel compressed."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node").select("node", F.col("root.id").alias("id"), F.col("root.tag").alias("tag"))
+    nodes = cut(nodes)
+    wanted = (F.broadcast(nodes) if nodes.count() <= SENT else nodes).alias("wanted")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("text")).alias("rows")
+    texts = rows.join(wanted, (F.col("rows.tag") == F.col("wanted.tag")) & F.col("rows.id").eqNullSafe(F.col("wanted.id"))).select("node", "text")
+    held = scratch.keep(texts.mapInArrow(lambda b: tidy(_packed(b)), "node long, packed binary"), name)
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b")
+    found = cut(both.select("a", "b", "x", "y").mapInArrow(lambda b: tidy(_checked(b, similarity, width)), "a long, b long"))
+    scratch.clear(name)
+    return found
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, bucket: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +198,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, buc
     nodes = scratch.keep(own.groupBy("node").agg(root, F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("marks").alias("marks")), "nodes")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return _verified(cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), docs, nodes.select("node", "root"), similarity, width, id_col, text_col)
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        return _verified(pairs, docs, nodes.select("node", "root"), scratch, f"texts-{uuid.uuid4().hex}", similarity, width, id_col, text_col)
 
     # fingerprints
     tops = cut(nodes.groupBy("fp").agg(F.min("node").alias("top")))
@@ -201,11 +219,12 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, buc
         found = components(links)
         return cut(members.join(found, "node", "left").select("key", "node", F.coalesce("least", "node").alias("least")))
 
-    now = placed()
-    centers = now.groupBy("key").agg(F.min_by(F.struct("node", "least"), F.xxhash64("key", "node")).alias("c"))
-    stars = now.join(centers, "key").filter(F.col("c.least") != F.col("least")).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
-    may = stars.join(_side(marked, "a"), "a").join(_side(marked, "b"), "b").filter(_may_reach(similarity)).select("a", "b")
-    links = cut(links.unionByName(verified(may)))
+    for turn in range(STARS):  # another center each time, the same one for all keys that share it
+        now = placed()
+        centers = now.groupBy("key").agg(F.min_by(F.struct("node", "least"), F.xxhash64("node", F.lit(turn))).alias("c"))
+        stars = now.join(centers, "key").filter(F.col("c.least") != F.col("least")).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+        may = stars.join(_side(marked, "a"), "a").join(_side(marked, "b"), "b").filter(_may_reach(similarity)).select("a", "b")
+        links = cut(links.unionByName(verified(may)))
 
     now = placed()
     open_keys = now.groupBy("key").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).filter("lo <> hi").select("key")

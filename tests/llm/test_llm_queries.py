@@ -44,8 +44,10 @@ def test_against_sql(spark, duck, name):
 
 def test_op1(spark, duck, texts):
     """Every document that holds a whole item is found; what is found holds most of the item's words in order."""
-    from carpalake.llm.decontamination import words_of
+    from carpalake.llm.decontamination import lowered
+    from carpalake.llm.decontamination import words_of as found
 
+    words_of = lambda t: [w.decode() for w in lowered(found(t))]
     items = dict(duck.sql("SELECT item_id, text FROM benchmark").fetchall())
     padded = {i: f" {' '.join(words_of(t))} " for i, t in texts.items()}
     whole = {(i, j) for i, t in padded.items() for j, item in items.items() if f" {' '.join(words_of(item))} " in t}
