@@ -91,3 +91,7 @@ def percent(done: Column, total: Column) -> Column:
 
 def mae_line(name: Column, mae: Column, n: Column) -> Column:
     return F.concat(F.rpad(name, 10, " "), fixed(mae, 2), F.lit(" months (n="), n.cast("string"), F.lit(")"))
+
+
+def epoch_line(epoch: Column, loss: Column, mae: Column) -> Column:
+    return F.concat(F.lit("epoch "), F.lpad(epoch.cast("string"), 3, "0"), F.lit(": loss "), fixed(loss, 4), F.lit(", error "), fixed(mae, 2), F.lit(" months"))

@@ -21,3 +21,9 @@ def early_stop(metrics: DataFrame, patience: int = 7) -> DataFrame:
 def best_epoch(metrics: DataFrame, patience: int = 7) -> DataFrame:
     ran = early_stop(metrics, patience)
     return ran.groupBy("run_id").agg(F.max("epoch").alias("last_epoch"), F.min("val_mae").alias("best_mae"), F.max("best_epoch").alias("best_epoch"))
+
+
+def best_rows(metrics: DataFrame, patience: int = 7) -> DataFrame:
+    """The whole row of metrics of each run's best epoch among those that ran; of equal errors, the first."""
+    best = best_epoch(metrics, patience).select("run_id", F.col("best_epoch").alias("epoch"))
+    return metrics.join(best, ["run_id", "epoch"])

@@ -18,6 +18,7 @@ from ..functions.months import age_months, age_years, clip_months, denormalize,
 from . import images
 
 META_WIDTH = 1
+BOX = ("x0", "y0", "x1", "y1")
 
 
 class Scorer(Protocol):
@@ -60,13 +61,18 @@ def checked_model(path: str, least: int = 100_000) -> str:
     return path
 
 
-def _scored(scorer: Scorer, rows: list[tuple], crop: bool, size: int) -> tuple[list[float | None], list[str | None]]:
-    """z and error of rows (male, height, width, channels, data). Whatever fails on a row becomes that row's error."""
-    tensors, metas, good, z, errors = [], [], [], [None] * len(rows), [None] * len(rows)
+Box = tuple[int, int, int, int]
+
+
+def _scored(scorer: Scorer, rows: list[tuple], crop: bool, size: int) -> tuple[list[float | None], list[str | None], list[Box | None]]:
+    """z, error and the box used of rows (male, height, width, channels, data). Whatever fails on a row becomes that row's error."""
+    tensors, metas, good, z, errors, boxes = [], [], [], [None] * len(rows), [None] * len(rows), [None] * len(rows)
     for j, (male, *picture) in enumerate(rows):
         try:
             img = images.to_rgb(images.decode(*picture))
-            tensors.append(images.tensor(images.autocrop(img) if crop else img, size))
+            boxes[j] = images.crop_box(img) if crop else (0, 0, img.shape[1], img.shape[0])
+            x0, y0, x1, y1 = boxes[j]
+            tensors.append(images.tensor(img[y0:y1, x0:x1], size))
             metas.append(images.meta(male))
             good.append(j)
         except Exception as e:  # noqa: BLE001
@@ -80,12 +86,15 @@ def _scored(scorer: Scorer, rows: list[tuple], crop: bool, size: int) -> tuple[l
                 errors[0] = str(e)[:200] or type(e).__name__
             else:  # find the rows that the scorer can't take
                 for j in good:
-                    (z[j],), (errors[j],) = _scored(scorer, [rows[j]], crop, size)
-    return z, errors
+                    (z[j],), (errors[j],), _ = _scored(scorer, [rows[j]], crop, size)
+    return z, errors, boxes
 
 
 def score(requests: DataFrame, factory: Callable[[], Scorer], crop: bool, size: int = images.SIZE, batch: int = 16, carry: tuple[str, ...] = ("id",)) -> DataFrame:
-    """The columns in carry as they are, z, error; one row per row of requests, whatever its id. requests: id, male, height, width, channels, data."""
+    """The columns in carry as they are, z, error, and the box of the image that was scored (x0, y0, x1, y1); one row per row of requests, whatever its id.
+
+    requests: id, male, height, width, channels, data.
+    """
     kinds = dict(requests.dtypes)
     inputs = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)] + [F.col(c) for c in ("male", "height", "width", "channels", "data")]
 
@@ -97,11 +106,12 @@ def score(requests: DataFrame, factory: Callable[[], Scorer], crop: bool, size:
         for whole in batches:
             for i in range(0, whole.num_rows, batch):
                 part = whole.slice(i, batch)
-                z, errors = _scored(scorer, list(zip(*(c.to_pylist() for c in part.columns[n:]), strict=True)), crop, size)
-                yield pa.record_batch([*part.columns[:n], pa.array(z, pa.float64()), pa.array(errors, pa.string())], [*part.schema.names[:n], "z", "error"])
+                z, errors, boxes = _scored(scorer, list(zip(*(c.to_pylist() for c in part.columns[n:]), strict=True)), crop, size)
+                edges = [pa.array([b and b[e] for b in boxes], pa.int32()) for e in range(4)]
+                yield pa.record_batch([*part.columns[:n], pa.array(z, pa.float64()), pa.array(errors, pa.string()), *edges], [*part.schema.names[:n], "z", "error", *BOX])
 
-    out = requests.select(*inputs).mapInArrow(run, ", ".join([f"c{i} {kinds[c]}" for i, c in enumerate(carry)] + ["z double", "error string"]))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "z", "error")
+    out = requests.select(*inputs).mapInArrow(run, ", ".join([f"c{i} {kinds[c]}" for i, c in enumerate(carry)] + ["z double", "error string"] + [f"{c} int" for c in BOX]))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "z", "error", *BOX)
 
 
 def predict(requests: DataFrame, stats: DataFrame, factory: Callable[[], Scorer], size: int = images.SIZE) -> DataFrame:
@@ -115,8 +125,8 @@ def predict(requests: DataFrame, stats: DataFrame, factory: Callable[[], Scorer]
 
 
 def analyze(requests: DataFrame, stats: DataFrame, factory: Callable[[], Scorer], size: int = images.SIZE) -> DataFrame:
-    """The interactive form: cropped, integer status, an age that may be unknown."""
+    """The interactive form: cropped (with the box used, for a preview), integer status, an age that may be unknown."""
     done = score(requests, factory, crop=True, size=size, carry=("id", "male", "ic_months")).crossJoin(F.broadcast(stats))  # one row
     done = done.withColumn("months_total", clip_months(denormalize(F.col("z"), F.col("boneage_mean"), F.col("boneage_std"))))
     x = F.col("months_total")
-    return done.select("id", "male", age_years(x).alias("years"), age_months(x).alias("months"), "months_total", status_integer(x, F.col("ic_months")).alias("status"), "error")
+    return done.select("id", "male", age_years(x).alias("years"), age_months(x).alias("months"), "months_total", status_integer(x, F.col("ic_months")).alias("status"), "error", *BOX)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import months as m
@@ -297,12 +297,27 @@ STOP_SQL = f"""WITH {METRICS_SQL},
     ran AS (SELECT * FROM c QUALIFY coalesce(max((waited >= 7)::INTEGER) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0)"""
 
 
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a user as the epochs of a run."""
+    epoch = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), epoch.alias("epoch"), F.col("value").alias("val_mae"))
+
+
 @register(f"{STOP_SQL} SELECT run_id, max(epoch) AS last_epoch, min(val_mae) AS best_mae, max(best) AS best_epoch FROM ran GROUP BY 1")
 def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    return progress.best_epoch(metrics(spark, sf_dir))
 
-    epoch = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return progress.best_epoch(table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), epoch.alias("epoch"), F.col("value").alias("val_mae")))
+
+@register(f"{STOP_SQL}, won AS (SELECT run_id, max(best) AS epoch FROM ran GROUP BY 1) SELECT m.run_id, m.epoch, m.val_mae FROM metrics m JOIN won USING (run_id, epoch)")
+def best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that write_best keeps."""
+    return progress.best_rows(metrics(spark, sf_dir)).select("run_id", "epoch", "val_mae")
+
+
+@register(f"WITH {METRICS_SQL} SELECT run_id, epoch, 'epoch ' || lpad(epoch::VARCHAR, 3, '0') || ': loss ' || printf('%.4f', floor(val_mae * 16) / 16) || ', error ' || printf('%.2f', floor(val_mae * 4) / 4) || ' months' AS line FROM metrics")
+def epoch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("val_mae")
+    return metrics(spark, sf_dir).select("run_id", "epoch", r.epoch_line(F.col("epoch"), F.floor(x * 16) / 16, F.floor(x * 4) / 4).alias("line"))
 
 
 LOG_SQL = "log AS (SELECT user_id AS session_id, ts, event_id, floor(value) % 6 AS months_total, (event_id % 211 = 0) AS is_clear FROM events)"
@@ -394,7 +409,15 @@ def contrast_equalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _described(images.map_images(synthetic_images(spark, sf_dir), images.equalize_contrast))
 
 
-@register()
+def _axis_sql(n: int) -> str:
+    """For each of n places, the two of 64 that it lies between and how far."""
+    return f"(SELECT o, floor(place)::INTEGER AS low, least(floor(place)::INTEGER + 1, 63) AS high, place - floor(place) AS part FROM (SELECT o, greatest(0.0::DOUBLE, least(63.0::DOUBLE, ((o + 0.5::DOUBLE) * 64) / {n} - 0.5)) AS place FROM (SELECT unnest(range({n})) AS o)))"
+
+
+@register(f"""WITH {PIXELS_SQL}, ay AS {_axis_sql(48)}, ax AS {_axis_sql(80)},
+    lines AS (SELECT a.id, ay.o AS y, a.x, a.v * (1 - part) + b.v * part AS v FROM ay JOIN pixels a ON a.y = low JOIN pixels b ON b.id = a.id AND b.x = a.x AND b.y = high),
+    made AS (SELECT a.id, a.y, ax.o AS x, round_even(a.v * (1 - part) + b.v * part, 0)::INTEGER AS v FROM ax JOIN lines a ON a.x = low JOIN lines b ON b.id = a.id AND b.y = a.y AND b.x = high)
+    SELECT id, 48 AS height, 80 AS width, 3 AS channels, sha256(unhex(string_agg(repeat(lpad(hex(v), 2, '0'), 3), '' ORDER BY y, x))) AS sha256 FROM made GROUP BY id""")
 def resize_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _described(images.map_images(synthetic_images(spark, sf_dir), lambda x: images.resize(x, 48, 80)))
 

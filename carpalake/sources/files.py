@@ -18,12 +18,12 @@ def read_cohort(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({"id": F.col("id").cast("bigint"), "boneage": F.col("boneage").cast("double")}) if {"id", "boneage"} <= {*df.columns} else df
 
 
-def read_images(spark: SparkSession, path: str, by_name: bool = True) -> DataFrame:
+def read_images(spark: SparkSession, path: str, by_name: bool = True, pattern: str = "*") -> DataFrame:
     """id (the file name's number, where by_name), origin, height, width, channels, data in RGB order; files that are no images are dropped.
 
     Spark's reader gives three channels as BGR and four as BGRA; the kernels turn them, transform() only reads them.
     """
-    df = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    df = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", pattern).load(path).select("image.*")
     id_ = F.regexp_extract("origin", r"(\d+)\.(?:png|jpe?g)$", 1)
     df = df.withColumn("id", F.when(id_ != "", id_.cast("bigint"))) if by_name else df.withColumn("id", F.xxhash64("origin"))
     return df.select("id", "origin", "height", "width", F.col("nChannels").alias("channels"), F.col("data"))
@@ -43,6 +43,11 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg}").load(path).select("path", "length", "content")
 
 
+def decode_uploads(spark: SparkSession, path: str) -> DataFrame:
+    """Uploads as image rows (id from the path's hash, height, width, channels, data in RGB order); files that are no images are dropped."""
+    return bgr_to_rgb(read_images(spark, path, by_name=False, pattern="*.{png,jpg,jpeg}")).select("id", "origin", "height", "width", "channels", "data")
+
+
 def preferred(pasted: Column, uploaded: Column) -> Column:
     """A pasted image goes before an uploaded one."""
     return F.coalesce(pasted, uploaded)
@@ -71,4 +76,21 @@ def write_stats(stats: DataFrame, path: str) -> None:
     out.close()
 
 
-__all__ = ["COHORT_CSV", "bgr_to_rgb", "missing_images", "preferred", "read_cohort", "read_images", "read_stats", "read_uploads", "with_images", "write_stats"]
+def stage_file(spark: SparkSession, source: str, target: str, least: int = 100_000) -> str:
+    """A copy of source at target, in chunks through the session's file systems (http and https are read, too); a file that is too short is deleted again."""
+    fs, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = fs.Path(source), fs.Path(target)
+    there = b.getFileSystem(conf)
+    fs.FileUtil.copy(a.getFileSystem(conf), a, there, b, False, True, conf)
+    if (found := there.getFileStatus(b).getLen()) < least:
+        there.delete(b, False)
+        raise ValueError(f"{source} has {found} bytes, fewer than {least}")
+    return target
+
+
+def write_best(best: DataFrame, stats: DataFrame, path: str) -> None:
+    """The rows of the best epochs, each with the statistics it was trained under, replacing what the path had. best mustn't read from path."""
+    best.crossJoin(F.broadcast(stats.limit(1))).write.mode("overwrite").partitionBy("run_id").parquet(path)
+
+
+__all__ = ["COHORT_CSV", "bgr_to_rgb", "decode_uploads", "missing_images", "preferred", "read_cohort", "read_images", "read_stats", "read_uploads", "stage_file", "with_images", "write_best", "write_stats"]

@@ -114,3 +114,16 @@ def test_images_by_name(spark, tmp_path):
     assert [r.id for r in files.missing_images(cohort_, images).collect()] == [9]
     assert [r.id for r in files.with_images(cohort_, images).collect()] == [7]
     assert files.read_uploads(spark, str(tmp_path)).count() == 2
+    (tmp_path / "notes.txt").write_text("no image")
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    got = {r.origin.rpartition("/")[2]: (r.height, r.width, r.channels, bytes(r.data)) for r in files.decode_uploads(spark, str(tmp_path)).collect()}
+    assert got == {"7.png": (1, 2, 1, bytes([10, 200])), "8.png": (1, 2, 3, bytes([1, 2, 3, 4, 5, 6]))}
+
+
+def test_staged_files(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"x" * 5000)
+    target = files.stage_file(spark, str(tmp_path / "a.bin"), str(tmp_path / "b.bin"), 5000)
+    assert (tmp_path / "b.bin").read_bytes() == b"x" * 5000 and target.endswith("b.bin")
+    with pytest.raises(ValueError, match="fewer than"):
+        files.stage_file(spark, str(tmp_path / "a.bin"), str(tmp_path / "c.bin"), 5001)
+    assert not (tmp_path / "c.bin").exists()

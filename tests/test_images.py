@@ -104,6 +104,48 @@ def test_gray_images_take_the_same_way_as_colors():
     assert np.allclose(images.tensor(color, 16), ((x - images.PIXEL_MEAN) / images.PIXEL_STD).transpose(2, 0, 1), atol=1e-6)
 
 
+def plain_equalize(channel, clip=2.0, tiles=8):
+    """The definition, pixel by pixel: clipped histograms of tiles, their cumulated tables, and a mean of the four nearest tables by distance."""
+    h, w = channel.shape
+    th, tw = -(-h // tiles), -(-w // tiles)
+    mirror = lambda i, n: i if i < n else 2 * n - 2 - i
+    at = lambda y, x: int(channel[mirror(y, h), mirror(x, w)])
+    limit, tables = max(1, int(clip * th * tw / 256)), {}
+    for i in range(tiles):
+        for j in range(tiles):
+            n = [0] * 256
+            for y in range(i * th, (i + 1) * th):
+                for x in range(j * tw, (j + 1) * tw):
+                    n[at(y, x)] += 1
+            over = sum(max(0, v - limit) for v in n)
+            n = [min(v, limit) + over // 256 for v in n]
+            left = over % 256
+            for k in range(left):
+                n[k * max(1, 256 // left)] += 1
+            total = 0
+            tables[i, j] = []
+            for v in n:
+                total += v
+                tables[i, j].append(min(255, round(total * 255 / (th * tw))))
+    out = np.zeros((h, w))
+    for y in range(h):
+        for x in range(w):
+            fy, fx = y / th - 0.5, x / tw - 0.5
+            i, j = int(np.floor(fy)), int(np.floor(fx))
+            inside = lambda k: min(max(k, 0), tiles - 1)
+            for a, share_y in ((i, 1 - (fy - i)), (i + 1, fy - i)):
+                for b, share_x in ((j, 1 - (fx - j)), (j + 1, fx - j)):
+                    out[y, x] += share_y * share_x * tables[inside(a), inside(b)][channel[y, x]]
+    return out
+
+
+@pytest.mark.parametrize("shape", [(64, 64), (50, 37), (16, 130)])
+def test_equalization_against_its_definition(shape):
+    rng = np.random.default_rng(9)
+    img = np.clip(np.cumsum(rng.integers(-9, 10, shape), axis=1) + 120, 0, 255).astype(np.uint8)
+    assert np.abs(images.equalize(img) - plain_equalize(img)).max() <= 0.5 + 1e-6
+
+
 REQUESTS = "id long, male int, ic_months double, height int, width int, channels int, data binary"
 
 
@@ -126,6 +168,7 @@ def test_each_request_keeps_its_row(spark):
         assert [r[months] is not None for r in got] == [True, True, True, False, False, False, False]
         assert [r.error is None for r in got] == [True, True, True, False, False, False, False]
         assert got[2].status is None and got[4].error == "no such sex"
+    assert [(r.x0, r.y1) for r in got[:4]] == [(0, 9)] * 3 + [(None, None)]
     boxes = images.crop_boxes(requests).collect()
     assert [r.x0 is None for r in boxes] == [False, False, False, True, False, False, True]
     assert [r.height is None for r in images.map_images(requests, images.autocrop).collect()] == [False, False, False, True, False, False, True]

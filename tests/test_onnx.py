@@ -1,5 +1,8 @@
 """The model-file scorer on a tiny graph, written out by hand: the mean pixel plus the meta value."""
 
+import struct
+import zlib
+
 import numpy as np
 import pytest
 
@@ -59,3 +62,27 @@ def test_in_spark(spark, model):
     got = {r.id: r.bone_age_meses for r in score.predict(requests, stats, lambda: score.OnnxScorer(model), size=16).collect()}
     z = images.tensor(img, 16).mean()
     assert got[1] == pytest.approx((z + 1) * 10 + 100, abs=1e-3) and got[2] == pytest.approx(z * 10 + 100, abs=1e-3)
+
+
+def test_from_the_command_line(spark, model, tmp_path):
+    import json
+
+    from carpalake.__main__ import main
+
+    (tmp_path / "c.csv").write_text("id,boneage,male\n" + "\n".join(f"{i},{i * 7 % 200},{i % 2}" for i in range(40)))
+    main(["prepare", "--cohort", str(tmp_path / "c.csv"), "--stats", str(tmp_path / "s.json"), "--out", str(tmp_path / "split")])
+    assert spark.read.parquet(str(tmp_path / "split")).count() == 40 and json.loads((tmp_path / "s.json").read_text())["boneage_std"] > 0
+    (tmp_path / "images").mkdir()
+    raw = b"".join(b"\0" + bytes(range(y, y + 12)) for y in range(10))
+    chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 12, 10, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    for i in (1, 2):
+        (tmp_path / f"images/{i}.png").write_bytes(png)
+    (tmp_path / "r.csv").write_text("id,male,ic_months\n1,1,60\n2,0,\n3,0,5\n")
+    same = ["--requests", str(tmp_path / "r.csv"), "--images", str(tmp_path / "images"), "--stats", str(tmp_path / "s.json"), "--size", "16", "--least-bytes", "1"]
+    for flow, rest in (("predict", ["--model", model]), ("analyze", ["--model", model]), ("parity", ["--models", model, model])):
+        main([flow, *same, *rest, "--out", str(tmp_path / flow)])
+    got = {r.id: r for r in spark.read.parquet(str(tmp_path / "predict")).collect()}
+    assert set(got) == {1, 2} and got[1].error is None and got[1].status and got[2].status is None
+    assert spark.read.parquet(str(tmp_path / "analyze")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "parity")).first().max_diff is not None

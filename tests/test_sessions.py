@@ -4,7 +4,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from carpalake.operators import history, progress
-from carpalake.streaming.history import accepted
+from carpalake.sources import files
+from carpalake.streaming.history import accepted, newest
 
 LOG = "session_id long, ts timestamp, event_id long, months_total double, male int, is_clear boolean"
 START = datetime(2024, 1, 1)
@@ -73,3 +74,35 @@ def test_stream_takes_what_the_batch_takes(spark, tmp_path):
     for session in (1, 2):
         rows = [(r.months_total, r.place) for r in got.filter(F.col("session_id") == session).orderBy("ts").collect()]
         assert rows == ([(5.0, 1), (7.0, 2), (7.0, 1), (8.0, 2)])
+
+
+def test_stream_keeps_the_newest(spark, tmp_path):
+    totals = [float(i) for i in range(25)] + [24.0, 7.0]
+    for part in (log(spark, totals, 1).filter("event_id < 10"), log(spark, totals, 1).filter("event_id >= 10"), log(spark, [5.0, None], 2)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = {}
+
+    def keep(df, n):
+        for session in (1, 2):
+            rows = [(r.rn, r.months_total, r.event_id) for r in df.filter(F.col("session_id") == session).orderBy("rn").collect()]
+            if rows:
+                found[session] = rows
+
+    query = newest(stream).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    want = history.history(log(spark, totals, 1)).orderBy("rn").collect()
+    assert found == {1: [(r.rn, r.months_total, r.event_id) for r in want]} and len(want) == 20
+
+
+def test_best_rows_are_kept(spark, tmp_path):
+    rows = [(1, 1, 5.0, "a"), (1, 2, 3.0, "b"), (1, 3, 3.0, "c"), (2, 1, 9.0, "d")]
+    best = progress.best_rows(spark.createDataFrame(rows, "run_id long, epoch int, val_mae double, state string"))
+    stats = spark.createDataFrame([(100.0, 10.0)], "boneage_mean double, boneage_std double")
+    for _ in range(2):
+        files.write_best(best, stats, str(tmp_path / "best"))
+    got = sorted((r.run_id, r.epoch, r.state, r.boneage_mean) for r in spark.read.parquet(str(tmp_path / "best")).collect())
+    assert got == [(1, 2, "b", 100.0), (2, 1, "d", 100.0)]
