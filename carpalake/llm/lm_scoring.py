@@ -237,8 +237,10 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 strings.append((part.column(2).to_numpy(), part.column(3).to_numpy()))
                 continue
             if lookup is None:
-                lookup = Lookup(*map(np.concatenate, zip(*strings, strict=True)))
+                keys, logs = map(np.concatenate, zip(*strings, strict=True))
                 strings = []
+                lookup = Lookup(keys, logs)
+                del keys, logs
             rows = zip(part.column(2).to_pylist(), (part.column(3).to_numpy() == 1).tolist(), map(d.decompress, part.column(4).to_pylist()), strict=True)
             for some in _chunks(rows, lambda r: len(r[2])):
                 keys, sizes = tree.strings([r[2] for r in some])

@@ -138,12 +138,37 @@ def _side(nodes: DataFrame, s: str, *more: str | Column) -> DataFrame:
     return nodes.select(*more, F.col("node").alias(s), F.col("n").alias(f"{s}n"), *[F.col("marks")[i].alias(f"{s}m{i}") for i in range(MARKS)])
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def wide_bitmap(h: np.ndarray) -> np.ndarray:
+    """A bitmap of four times as many bits as there are hashes (512 to 2 ** 17), as longs. Halves laid over each other give the next smaller one."""
+    size = min(max(512, 1 << (4 * len(h) - 1).bit_length()), 1 << 17)
+    odd = np.bincount(h & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """No more than the hashes that only one of the sets of two wide bitmaps has."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _packed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         for i in range(0, batch.num_rows, 1000):
             part = batch.slice(i, 1000)
-            yield pa.record_batch([part.column(0), pa.array([z.compress(t) for t in part.column(1).to_pylist()], pa.binary())], ["node", "packed"])
+            texts = part.column(1).to_pylist()
+            sets = [shingles(t, width) for t in texts]
+            yield pa.record_batch([part.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array([wide_bitmap(h).tobytes() for h in sets], pa.binary()), pa.array([z.compress(t) for t in texts], pa.binary())], ["node", "n", "wide", "packed"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """batches: a, b, their sizes and wide bitmaps. Those pairs that these allow the similarity."""
+    for batch in batches:
+        most = (1 - similarity) / (1 + similarity) * (batch.column(2).to_numpy().astype(float) + batch.column(3).to_numpy()) + 1e-9
+        found = [least_difference(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+        yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(np.array(found, float) <= most, pa.bool_()))
 
 
 def _checked(batches: Iterator[pa.RecordBatch], similarity: float, width: int) -> Iterator[pa.RecordBatch]:
@@ -164,14 +189,16 @@ def _checked(batches: Iterator[pa.RecordBatch], similarity: float, width: int) -
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, roots: DataFrame, scratch: Scratch, name: str, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs of nodes whose sets, worked out again from the texts, have the similarity. Texts travel compressed."""
+    """The pairs of nodes whose sets, worked out again from the texts, have the similarity. Wide bitmaps go ahead; texts travel compressed."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node").select("node", F.col("root.id").alias("id"), F.col("root.tag").alias("tag"))
     nodes = cut(nodes)
     wanted = (F.broadcast(nodes) if nodes.count() <= SENT else nodes).alias("wanted")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("text")).alias("rows")
     texts = rows.join(wanted, (F.col("rows.tag") == F.col("wanted.tag")) & F.col("rows.id").eqNullSafe(F.col("wanted.id"))).select("node", "text")
-    held = scratch.keep(texts.mapInArrow(lambda b: tidy(_packed(b)), "node long, packed binary"), name)
+    held = scratch.keep(texts.mapInArrow(lambda b: tidy(_packed(b, width)), "node long, n int, wide binary, packed binary"), name)
+    side = lambda s: held.select(F.col("node").alias(s), F.col("n").alias(f"{s}n"), F.col("wide").alias(f"{s}w"))
+    pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "aw", "bw").mapInArrow(lambda b: tidy(_possible(b, similarity)), "a long, b long"))
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b")
     found = cut(both.select("a", "b", "x", "y").mapInArrow(lambda b: tidy(_checked(b, similarity, width)), "a long, b long"))
     scratch.clear(name)

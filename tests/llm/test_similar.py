@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from carpalake.llm.simhash import drop_near
-from carpalake.llm.similar import _shared, bitmap, similar_groups
+from carpalake.llm.similar import _shared, bitmap, least_difference, similar_groups, wide_bitmap
 
 SCHEMA = "doc_id long, text string, id int"
 
@@ -87,6 +87,10 @@ def test_bitmaps_never_rule_a_link_out():
         b = np.unique(np.concatenate([a[: max(1, len(a) * 8 // 9)], rng.integers(0, 1 << 62, len(a) // 9)]))
         differ = int(np.bitwise_count(bitmap(a).view(np.uint64) ^ bitmap(b).view(np.uint64)).sum())
         assert differ <= len(np.setxor1d(a, b)) and len(bitmap(a)) == 8
+        for c in (b, a[::2], a[: len(a) // 3]):  # also of bitmaps of other sizes
+            assert least_difference(wide_bitmap(a), wide_bitmap(c)) <= len(np.setxor1d(a, c))
+        assert least_difference(wide_bitmap(a), wide_bitmap(a)) == 0
+    assert least_difference(wide_bitmap(a), wide_bitmap(rng.integers(0, 1 << 62, 5000))) > 5000
 
 
 def test_many_nodes_are_joined_without_a_broadcast(spark, monkeypatch):
