@@ -186,24 +186,38 @@ def _model(batches: Iterator[pa.RecordBatch], top: dict[int, tree.Nodes], piece:
 
 
 class Lookup:
-    """Values by key: a table of one slot a key, and a sorted rest for keys whose slot is taken."""
+    """Values by key: tables of one or two slots a key, each for the keys whose slot in the one before is taken, and a sorted rest."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        at = self._slots(keys)
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
-        self.keys[at], self.values[at] = keys, values
-        rest = self.keys[at] != keys
-        order = np.argsort(keys[rest])
-        self.rest, self.rest_values = keys[rest][order], values[rest][order]
+    FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.tables = []
+        for factor in self.FACTORS:
+            if len(keys) < 1000:
+                break
+            bits = len(keys).bit_length()
+            at = self._slots(keys, factor, bits)
+            own, values_of = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+            own[at], values_of[at] = keys, values
+            self.tables.append((factor, bits, own, values_of))
+            rest = own[at] != keys
+            keys, values = keys[rest], values[rest]
+        order = np.argsort(keys)
+        self.rest, self.rest_values = keys[order], values[order]
+
+    @staticmethod
+    def _slots(keys: np.ndarray, factor: int, bits: int) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def __getitem__(self, keys: np.ndarray) -> np.ndarray:
-        at = self._slots(keys)
-        out, missed = self.values[at], np.flatnonzero(self.keys[at] != keys)
-        out[missed] = self.rest_values[np.searchsorted(self.rest, keys[missed])]
+        out, left = np.empty(len(keys)), np.arange(len(keys))
+        for factor, bits, own, values in self.tables:
+            at = self._slots(keys, factor, bits)
+            out[left] = values[at]
+            missed = np.flatnonzero(own[at] != keys)
+            keys, left = keys[missed], left[missed]
+        if len(left):
+            out[left] = self.rest_values[np.searchsorted(self.rest, keys)]
         return out
 
 

@@ -106,3 +106,15 @@ def test_log_gamma_and_lookup():
 
 def test_empty(spark):
     assert score_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_lookup():
+    from carpalake.llm.lm_scoring import Lookup
+
+    rng = np.random.default_rng(2)
+    for n in (1, 999, 1000, 50_000, 65_536):
+        keys = rng.choice(1 << 48, n, replace=False) if n < 1000 else np.unique(rng.integers(0, 1 << 48, n))
+        values = rng.random(len(keys))
+        at = rng.integers(0, len(keys), 3 * n)
+        assert (Lookup(keys, values)[keys[at]] == values[at]).all()
+    assert len(Lookup(keys, values)[keys[:0]]) == 0
