@@ -50,6 +50,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """df, of about so many rows, in as many partitions as they need and no more than it has."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def only_kept(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs whose id and hash of the text are those of a kept row of groups (id_col, tag, kept)."""
     kept = groups.filter("kept").select(F.col(id_col).alias("id"), "tag").distinct().alias("kept")

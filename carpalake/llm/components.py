@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sized
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -25,12 +25,13 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(*ends).filter("u <> v").distinct())
     sign = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = sign(edges)
+    few = lambda df: sized(df, 2 * seen[0])  # noqa: E731  links are few beside documents, and so are the tasks they need
     while seen[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = cut(large)
-        small = large.join(_least(large), "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = cut(small.filter("u <> v").distinct())
+        both = few(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = few(both.join(few(_least(both)), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")).distinct()
+        large = cut(few(large))
+        small = few(large.join(few(_least(large)), "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v"))
+        edges = cut(few(small.filter("u <> v").distinct()))
         now = sign(edges)
         if now == seen:
             break

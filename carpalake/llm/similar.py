@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Scratch, cut, parallelism, tidy
+from .common import Scratch, cut, parallelism, sized, tidy
 from .components import components
 from .simhash import SEED, majority, near_links, shingle_hashes
 
@@ -192,14 +192,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, roots: DataFrame, scratch: Scra
     """The pairs of nodes whose sets, worked out again from the texts, have the similarity. Wide bitmaps go ahead; texts travel compressed."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node").select("node", F.col("root.id").alias("id"), F.col("root.tag").alias("tag"))
     nodes = cut(nodes)
-    wanted = (F.broadcast(nodes) if nodes.count() <= SENT else nodes).alias("wanted")
+    count = nodes.count()
+    wanted = (F.broadcast(nodes) if count <= SENT else nodes).alias("wanted")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("text")).alias("rows")
     texts = rows.join(wanted, (F.col("rows.tag") == F.col("wanted.tag")) & F.col("rows.id").eqNullSafe(F.col("wanted.id"))).select("node", "text")
-    held = scratch.keep(texts.mapInArrow(lambda b: tidy(_packed(b, width)), "node long, n int, wide binary, packed binary"), name)
+    held = sized(scratch.keep(texts.mapInArrow(lambda b: tidy(_packed(b, width)), "node long, n int, wide binary, packed binary"), name), count, 2000)
     side = lambda s: held.select(F.col("node").alias(s), F.col("n").alias(f"{s}n"), F.col("wide").alias(f"{s}w"))
-    pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "aw", "bw").mapInArrow(lambda b: tidy(_possible(b, similarity)), "a long, b long"))
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b")
+    pairs = cut(sized(pairs, pairs.count(), 20_000).join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "aw", "bw").mapInArrow(lambda b: tidy(_possible(b, similarity)), "a long, b long"))
+    both = sized(pairs, pairs.count(), 2000).join(held.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b")
     found = cut(both.select("a", "b", "x", "y").mapInArrow(lambda b: tidy(_checked(b, similarity, width)), "a long, b long"))
     scratch.clear(name)
     return found
