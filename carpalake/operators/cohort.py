@@ -80,3 +80,9 @@ def fit_stats(df: DataFrame, age: str = "boneage", proxy: str = "boneage_ic") ->
     """Mean and sample standard deviation of the rows of the train split; one row."""
     train = df.filter("split = 'train'")
     return train.agg(*[f(F.col(c)).alias(f"{name}_{stat}") for c, name in ((age, "boneage"), (proxy, "idade_cron")) for f, stat in ((F.avg, "mean"), (F.stddev_samp, "std"))])
+
+
+def one_row(stats: DataFrame) -> DataFrame:
+    """stats, whose evaluation fails unless it has exactly one row."""
+    whole = stats.agg(*[F.first(c).alias(c) for c in stats.columns], F.count(F.lit(1)).alias("__rows"))
+    return whole.filter(F.assert_true(F.col("__rows") == 1, F.lit("statistics must have one row")).isNull()).drop("__rows")

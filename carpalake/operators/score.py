@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.months import age_months, age_years, clip_months, denormalize, status_float, status_integer
 from . import images
+from .cohort import one_row
 
 META_WIDTH = 1
 BOX = ("x0", "y0", "x1", "y1")
@@ -116,7 +117,7 @@ def score(requests: DataFrame, factory: Callable[[], Scorer], crop: bool, size:
 
 def predict(requests: DataFrame, stats: DataFrame, factory: Callable[[], Scorer], size: int = images.SIZE) -> DataFrame:
     """The batch form: no crop, float status. requests also has ic_months; stats has one row."""
-    done = score(requests, factory, crop=False, size=size, carry=("id", "ic_months")).crossJoin(F.broadcast(stats))  # one row
+    done = score(requests, factory, crop=False, size=size, carry=("id", "ic_months")).crossJoin(F.broadcast(one_row(stats)))
     x = clip_months(denormalize(F.col("z"), F.col("boneage_mean"), F.col("boneage_std")))
     x, ic = F.col("bone_age_meses"), done.withColumn("bone_age_meses", x)
     return ic.select(
@@ -126,7 +127,7 @@ def predict(requests: DataFrame, stats: DataFrame, factory: Callable[[], Scorer]
 
 def analyze(requests: DataFrame, stats: DataFrame, factory: Callable[[], Scorer], size: int = images.SIZE) -> DataFrame:
     """The interactive form: cropped (with the box used, for a preview), integer status, an age that may be unknown."""
-    done = score(requests, factory, crop=True, size=size, carry=("id", "male", "ic_months")).crossJoin(F.broadcast(stats))  # one row
+    done = score(requests, factory, crop=True, size=size, carry=("id", "male", "ic_months")).crossJoin(F.broadcast(one_row(stats)))
     done = done.withColumn("months_total", clip_months(denormalize(F.col("z"), F.col("boneage_mean"), F.col("boneage_std"))))
     x = F.col("months_total")
     return done.select("id", "male", age_years(x).alias("years"), age_months(x).alias("months"), "months_total", status_integer(x, F.col("ic_months")).alias("status"), "error", *BOX)

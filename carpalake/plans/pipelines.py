@@ -28,7 +28,7 @@ def describe(df: DataFrame) -> dict[str, DataFrame]:
 def validate(part: DataFrame, images: DataFrame, stats: DataFrame, factory: Callable[[], score.Scorer], size: int = score.images.SIZE) -> tuple[DataFrame, DataFrame]:
     """Predictions for the rows of a split with their targets, and the error report. Rows without an image or whose image fails are left out."""
     requests = files.with_images(part.select("id", "male"), images)
-    done = score.score(requests, factory, crop=False, size=size).filter("error IS NULL").crossJoin(F.broadcast(stats))  # one row
+    done = score.score(requests, factory, crop=False, size=size).filter("error IS NULL").crossJoin(F.broadcast(cohort.one_row(stats)))
     predictions = done.select("id", clip_months(denormalize(F.col("z"), F.col("boneage_mean"), F.col("boneage_std"))).alias("pred"))
     aligned = evaluate.align(predictions, part.select("id", "male", F.col("boneage").alias("target")))
     return aligned, evaluate.mae_report(aligned)
@@ -38,7 +38,7 @@ def scorer_parity(images: DataFrame, stats: DataFrame, a: Callable[[], score.Sco
     """How far two scorers are apart in months on the same images. images: id, male and an image."""
 
     def months(factory: Callable[[], score.Scorer]) -> DataFrame:
-        done = score.score(images, factory, crop=False, size=size).crossJoin(F.broadcast(stats))  # one row
+        done = score.score(images, factory, crop=False, size=size).crossJoin(F.broadcast(cohort.one_row(stats)))
         return done.select(F.col("id").alias("sample_id"), clip_months(denormalize(F.col("z"), F.col("boneage_mean"), F.col("boneage_std"))).alias("months"))
 
     return evaluate.parity(months(a), months(b))

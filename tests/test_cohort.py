@@ -127,3 +127,11 @@ def test_staged_files(spark, tmp_path):
     with pytest.raises(ValueError, match="fewer than"):
         files.stage_file(spark, str(tmp_path / "a.bin"), str(tmp_path / "c.bin"), 5001)
     assert not (tmp_path / "c.bin").exists()
+
+
+def test_statistics_have_one_row(spark):
+    stats = spark.createDataFrame([(1.0, None), (2.0, 5.0)], "a double, b double")
+    assert [tuple(r) for r in cohort.one_row(stats.limit(1)).collect()] == [(1.0, None)]
+    for bad in (stats, stats.limit(0)):
+        with pytest.raises(Exception, match="one row"):
+            cohort.one_row(bad).collect()
