@@ -1,6 +1,6 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a text's bytes (A-Z in lower case) in windows, labels every byte with a
+The network reads a text's bytes (A-Z in lower case) in windows that overlap, labels every byte with a
 probability per language from the states of both directions there, and a document gets the mean over
 all of its bytes. The gates are piecewise linear, so that numpy runs them fast. Training is
 plain backpropagation through time with Adam, on windows of a bounded sample of labelled documents.
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LETTER = re.compile(r"[^\W\d_]")
-WINDOW, BATCH = 128, 2048
+WINDOW, MARGIN, BATCH = 128, 16, 2048
 
 
 @dataclass
@@ -134,19 +134,25 @@ class Network:
         return [*self.ahead.backward(x, ta, d @ self.head[:hidden].T), *self.back.backward(x, tb, d @ self.head[hidden:-1].T), head]
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
-        """The mean probabilities of each text, over all of its bytes."""
+        """The mean probabilities of each text, over all of its bytes. Each byte is labelled in a window that has MARGIN bytes more on either side of it, where the text has."""
         out = np.zeros((len(texts), len(self.langs)))
         sizes = np.array([len(t) for t in texts], np.int64)
-        n = -(-sizes // WINDOW)
-        windows = np.frombuffer(b"".join(t.ljust(k * WINDOW, b"\0") for t, k in zip(texts, n.tolist(), strict=True)), np.uint8).reshape(-1, WINDOW)
+        step = WINDOW - 2 * MARGIN
+        n = (sizes > 0) + np.maximum(0, -(-(sizes - WINDOW) // step))
+        spans = np.where(n > 0, (n - 1) * step + WINDOW, 0)
+        flat = np.frombuffer(b"".join(t.ljust(k, b"\0") for t, k in zip(texts, spans.tolist(), strict=True)), np.uint8)
         owner = np.repeat(np.arange(len(texts)), n)
-        inside = np.minimum(WINDOW, sizes[owner] - WINDOW * (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)))
-        for i in range(0, len(windows), BATCH):
-            p = self.positions(windows[i : i + BATCH])
-            part = inside[i : i + BATCH]
-            for j in np.flatnonzero(part < WINDOW):
-                p[part[j] :, j] = 0
-            np.add.at(out, owner[i : i + BATCH], p.sum(axis=0, dtype=np.float64))
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        starts = (np.cumsum(spans) - spans)[owner] + step * place
+        first = np.where(place > 0, MARGIN, 0)
+        last = np.where(place < n[owner] - 1, WINDOW - MARGIN, sizes[owner] - step * place)
+        views = np.lib.stride_tricks.sliding_window_view(flat, WINDOW) if len(flat) else np.empty((0, WINDOW), np.uint8)
+        at = np.arange(WINDOW)[:, None]
+        for i in range(0, len(starts), BATCH):
+            own = slice(i, i + BATCH)
+            p = self.positions(views[starts[own]])
+            p *= ((at >= first[own]) & (at < last[own]))[:, :, None]
+            np.add.at(out, owner[own], p.sum(axis=0, dtype=np.float64))
         return out / np.maximum(sizes, 1)[:, None]
 
 
