@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import context_tree as tree
 from .common import Scratch, cut, parallelism, tidy
 
-CHUNK = 1_000_000  # bytes of text that are worked on at once
+CHUNK = 400_000  # bytes of text that are worked on at once
 PIECE = 300_000  # strings that are worked out at once, up to the end of a context
 SHARES = 8
 INNER = 3  # contexts of so many bytes are worked out by themselves; the levels above are joined to them
