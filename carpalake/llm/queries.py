@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .best_fit import pack_best_fit
 from .common import table
 from .decontamination import find_leaks
 from .exact_dedup import exact_groups
@@ -62,11 +63,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), held_out())
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_simhash, op4_quality, op5_substring_dedup, op6_lm_score, op7_url_filter, op8_toxicity, op9_packing, op10_language)}
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(table(spark, sf_dir, "documents"), byte_tokenizer())
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_simhash, op4_quality, op5_substring_dedup, op6_lm_score, op7_url_filter, op8_toxicity, op9_packing, op10_language, op11_best_fit)}
 
 ORACLES = {
     "op2_exact_dedup": """
