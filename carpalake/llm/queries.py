@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .best_fit import pack_best_fit
 from .common import table
@@ -12,6 +13,7 @@ from .importance import resample
 from .langid import held_out, identify
 from .lm_scoring import score_documents
 from .packing import pack
+from .periodic import collapse_runs
 from .simhash import near_groups
 from .substring_dedup import remove_repeats
 from .toxicity import judge_toxicity
@@ -77,7 +79,24 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(table(spark, sf_dir, "documents"), byte_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_simhash, op4_quality, op5_substring_dedup, op6_lm_score, op7_url_filter, op8_toxicity, op9_packing, op10_language, op11_best_fit)}
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """documents with the periods that the query of op12 puts into one text in ten: from some word on, the words that follow are repeated."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    some = docs.select("doc_id", "text", (h % 10).alias("part"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words"))
+    some = some.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.expr("array_join(transform(sequence(0, n - 1), i -> words[cast(if(i < a, i, a + (i - a) % p) AS int)]), ' ')")
+    return some.select("doc_id", F.when((F.col("part") == 0) & (F.col("n") > 0), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collapse_runs(with_planted_runs(table(spark, sf_dir, "documents"))).withColumn("best", F.expr("if(strongest IS NULL, NULL, runs[strongest - 1])"))
+    lines: Column = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    columns = [F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("(1000 * best.length) div best.period").alias("exponent_milli")]
+    return found.select("doc_id", *columns, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_simhash, op4_quality, op5_substring_dedup, op6_lm_score, op7_url_filter, op8_toxicity, op9_packing, op10_language, op11_best_fit, op12_periodic_runs)}
 
 ORACLES = {
     "op2_exact_dedup": """
