@@ -9,6 +9,7 @@ from .best_fit import pack_best_fit
 from .common import table
 from .decontamination import find_leaks
 from .exact_dedup import exact_groups
+from .hard_negatives import mine_negatives
 from .importance import resample
 from .langid import held_out, identify
 from .lm_scoring import score_documents
@@ -96,7 +97,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *columns, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_simhash, op4_quality, op5_substring_dedup, op6_lm_score, op7_url_filter, op8_toxicity, op9_packing, op10_language, op11_best_fit, op12_periodic_runs)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "embeddings").filter("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(256) * x.cast("double")))
+    return mine_negatives(items.select("vec_id", label.alias("label"), whole.alias("vector")), F.col("vec_id") % 100 == 0, id_col="vec_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_simhash, op4_quality, op5_substring_dedup, op6_lm_score, op7_url_filter, op8_toxicity, op9_packing, op10_language, op11_best_fit, op12_periodic_runs, op13_hard_negatives)}
 
 ORACLES = {
     "op2_exact_dedup": """
@@ -123,4 +131,16 @@ ORACLES = {
                  FROM parts p LEFT JOIN rules r ON ends_with('.' || p.host, '.' || r.host) AND starts_with(p.path, r.path)
                  GROUP BY ALL)
         SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict FROM best""",
+    "op13_hard_negatives": """
+        WITH items AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+            FROM items a JOIN items b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        positives AS (SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INTEGER AS rank,
+               n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+        QUALIFY rank <= 5""",
 }
