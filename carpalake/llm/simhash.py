@@ -208,4 +208,4 @@ def drop_near(docs: DataFrame, bucket: int = 4096, similarity: float | None = No
         return only_kept(docs, near_groups(docs, bucket, id_col, text_col), id_col, text_col)
     from .similar import similar_groups
 
-    return only_kept(docs, similar_groups(docs, similarity, width, bucket, id_col, text_col), id_col, text_col)
+    return only_kept(docs, similar_groups(docs, similarity, width, bucket, id_col=id_col, text_col=text_col), id_col, text_col)

@@ -12,8 +12,15 @@ the same links, this one keeps shingles of many documents out of the prefixes.
 Sets that share a shingle of their prefixes are candidates unless their bitmaps rule it out: each shingle turns one of 512 bits
 over, so the bits in which two bitmaps differ are no more than the shingles that only one of the sets has. In the first
 rounds each shingle's sets are compared with one of them, so a large group of copies gives as many pairs as rows. In
-the last, sets of one shingle that aren't connected yet are compared with each other. A candidate becomes a link after
-a look at the whole sets.
+the last, sets of one shingle that aren't connected yet are compared with each other, if sizes and places allow the similarity:
+
+- Sets of a and b shingles need o = t / (1 + t) * (a + b) in common. If a shingle is their first common one, neither has more left than
+  what follows it. So the smaller set must have it in its first a - o of 2a: its index prefix, about half of its prefix. A shingle that no
+  set has in its index prefix joins nothing, however many sets have it; boilerplate after a few words of one's own is such a one.
+- Sets meet in bands of sizes, of which the larger one of a pair is in the same or in the next one.
+- The sets of a hot shingle meet in blocks, each block of index prefixes with each block of prefixes under a key of its own.
+
+A candidate becomes a link after a look at the whole sets.
 """
 
 from __future__ import annotations
@@ -35,6 +42,7 @@ from .simhash import SEED, majority, near_links, shingle_hashes
 
 SAMPLE, FREQUENT, SENT = 20_000, 200_000, 200_000  # documents counted, shingles ranked, nodes broadcast
 MARKS, STARS = 8, 2  # longs of a bitmap; rounds with one center
+BLOCK = 2000  # sets of a hot shingle that are compared with as many others under one key
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -104,27 +112,28 @@ def _prefixes(batches: Iterator[pa.RecordBatch], similarity: float, width: int,
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """batches: key, node, sorted. Distinct rows whose key has several nodes."""
-    last = np.empty((2, 0), np.int64)  # a row whose key has no second node so far
+    """batches: key, node and what goes with the two, sorted. Distinct rows whose key has several nodes."""
+    last = None  # a row whose key has no second node so far
     done = None  # the last row, of a key that has several
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.array([batch.column(i).to_numpy() for i in range(2)], np.int64)
+        rows = np.array([c.to_numpy() for c in batch.columns], np.int64)
+        last = rows[:, :0] if last is None else last
         if done is not None:
             rows = np.concatenate([done, rows], axis=1)
         rows = np.concatenate([last, rows], axis=1)
         fresh = np.ones(rows.shape[1], bool)
-        fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+        fresh[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
         rows = rows[:, fresh]
         same = rows[0, 1:] == rows[0, :-1]
         several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         if done is not None:
             several[0] = False  # it has gone out, and what follows it goes out by itself
             several[1:2] |= rows[0, 1:2] == done[0]
-        yield pa.record_batch([pa.array(rows[0, several]), pa.array(rows[1, several])], ["key", "node"])
+        yield pa.record_batch([pa.array(r[several]) for r in rows], batch.schema.names)
         went = several[-1] or (done is not None and rows.shape[1] == 1)
-        last, done = (np.empty((2, 0), np.int64), rows[:, -1:]) if went else (rows[:, -1:], None)
+        last, done = (rows[:, :0], rows[:, -1:]) if went else (rows[:, -1:], None)
 
 
 def _may_reach(similarity: float) -> Column:
@@ -138,6 +147,29 @@ def _side(nodes: DataFrame, s: str, *more: str | Column) -> DataFrame:
     return nodes.select(*more, F.col("node").alias(s), F.col("n").alias(f"{s}n"), *[F.col("marks")[i].alias(f"{s}m{i}") for i in range(MARKS)])
 
 
+def _meeting(sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """a, b: pairs of sets that share a key and aren't connected, as far as sizes, places and bitmaps allow the similarity. sets: key, node, place, least, n, marks."""
+    share, e = similarity / (1 + similarity), 1e-9
+    left = F.col("n") - F.col("place")  # shingles from the key on
+    band = F.floor(F.log(F.col("n").cast("double")) / -np.log(similarity) + e) if similarity < 1 else F.col("n").cast("long")
+    sets = sets.withColumns({"left": left, "band": band, "index": left >= 2 * share * F.col("n") - e})
+    open_ = sets.groupBy("key").agg(F.min("least").alias("lo"), F.max("least").alias("hi"), F.max("index").alias("any")).filter("lo <> hi AND any").select("key")
+    sets = cut(sets.join(open_, "key", "left_semi"))
+    bands = F.array("band", F.col("band") + 1) if similarity < 1 else F.array("band")
+    small = sets.filter("index").withColumn("band", F.explode(bands))
+    blocks = lambda df, name: df.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    both = cut(blocks(small, "of_a").join(blocks(sets, "of_b"), ["key", "band"]))  # how many blocks of each kind meet
+    deal = lambda name: F.pmod(F.xxhash64("node", F.lit(name)), F.col(name)).cast("int")
+    other = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    a = small.join(both, ["key", "band"]).withColumn("i", deal("of_a")).withColumn("j", other("of_b"))
+    b = sets.join(both, ["key", "band"]).withColumn("j", deal("of_b")).withColumn("i", other("of_a"))
+    on = ["key", "band", "i", "j"]
+    pairs = _side(a, "a", *on, F.col("least").alias("al"), F.col("left").alias("aleft")).join(_side(b, "b", *on, F.col("least").alias("bl"), F.col("left").alias("bleft")), on)
+    smaller = (F.col("an") < F.col("bn")) | (F.col("an") == F.col("bn")) & (F.col("a") != F.col("b"))
+    enough = F.least("aleft", "bleft") >= share * (F.col("an") + F.col("bn")) - e
+    return pairs.filter((F.col("al") != F.col("bl")) & smaller & enough & _may_reach(similarity)).select("a", "b")
+
+
 def wide_bitmap(h: np.ndarray) -> np.ndarray:
     """A bitmap of four times as many bits as there are hashes (512 to 2 ** 17), as longs. Halves laid over each other give the next smaller one."""
     size = min(max(512, 1 << (4 * len(h) - 1).bit_length()), 1 << 17)
@@ -206,7 +238,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, roots: DataFrame, scratch: Scra
     return found
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, bucket: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, bucket: int = 4096, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, component_id, tag, kept.
 
     component_id is the smallest id reachable over pairs of texts whose sets of shingles have a Jaccard similarity
@@ -238,14 +270,14 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, buc
     links = verified(equal.unionByName(close.select(F.col("a_top").alias("a"), F.col("b_top").alias("b"))))
 
     # prefixes
-    rows = own.select(F.explode("keys").alias("key"), "node").repartition(parts, "key").sortWithinPartitions("key", "node")
-    members = scratch.keep(rows.mapInArrow(lambda b: tidy(_shared(b)), "key long, node long"), "members")
+    rows = own.select(F.posexplode("keys").alias("place", "key"), "node").select("key", "node", F.col("place").cast("long")).repartition(parts, "key").sortWithinPartitions("key", "node")
+    members = scratch.keep(rows.mapInArrow(lambda b: tidy(_shared(b)), "key long, node long, place long"), "members")
     marked = scratch.keep(nodes.join(members.select("node").distinct(), "node").select("node", "n", "marks"), "marked")
 
     def placed() -> DataFrame:
         """members with the component that each node is in so far."""
         found = components(links)
-        return cut(members.join(found, "node", "left").select("key", "node", F.coalesce("least", "node").alias("least")))
+        return cut(members.join(found, "node", "left").select("key", "node", "place", F.coalesce("least", "node").alias("least")))
 
     for turn in range(STARS):  # another center each time, the same one for all keys that share it
         now = placed()
@@ -254,10 +286,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, buc
         may = stars.join(_side(marked, "a"), "a").join(_side(marked, "b"), "b").filter(_may_reach(similarity)).select("a", "b")
         links = cut(links.unionByName(verified(may)))
 
-    now = placed()
-    open_keys = now.groupBy("key").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).filter("lo <> hi").select("key")
-    left = cut(now.join(open_keys, "key", "left_semi").join(marked, "node"))
-    cross = _side(left, "a", "key", F.col("least").alias("al")).join(_side(left, "b", "key", F.col("least").alias("bl")), "key").filter((F.col("al") < F.col("bl")) & _may_reach(similarity)).select("a", "b")
+    cross = _meeting(placed().join(marked, "node"), similarity, block)
     links = links.unionByName(verified(cross))
 
     roots = nodes.select("node", "root")

@@ -24,12 +24,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
-from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, cut, parallelism, tidy
@@ -502,32 +502,59 @@ def _remove(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.R
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 100, k: int = 32, most: int = 50_000, with_text: bool = False, sample: int = 64, hot_least: int = 16, hot_parts: int = 20_000, bits: Sequence[int] = (62,), id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int = 100, k: int = 32, most: int = 50_000, with_text: bool = False, sample: int = 64, hot_least: int = 16, hot_parts: int = 20_000, bits: Sequence[int] = (62,), attempts: int = 8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256; with_text adds the bytes kept.
 
     Bytes go that are covered by a string of `length` bytes which also starts earlier: in a document of a smaller
     id, or before in the same one. Cases: a null text is empty; null ids come before all others, in the order of a hash
-    of their text; rows that share an id are one document, that loses what either's places lose; an empty table gives
-    no rows; other columns are not read. Anchors are hot that one in `hot_parts` of a sample (one document in `sample`)
-    is, and hot_least at least; which ones are changes the work, not the result. bits: of the hashes in each attempt
-    (the last one goes for all that follow).
+    of their text; rows that share an id but not a text are documents of their own, in the order of a hash of their text; rows that
+    repeat id and text share one verdict; an empty table gives no rows; other columns are not read.
+    Anchors are hot that one in `hot_parts` of a sample (one document in `sample`) is, and hot_least at least; which ones
+    are changes the work, not the result. bits: of the hashes in each attempt (the last one goes for all that follow). After
+    `attempts` with a collision it is an error.
     """
-    for attempt in count():
+    base = _documents_of(docs, id_col, text_col)
+    for attempt in range(attempts):
         hashing = (attempt, bits[min(attempt, len(bits) - 1)])
-        out = _attempt(docs, length, k, most, with_text, sample, hot_least, hot_parts, hashing, id_col, text_col)
-        if not out.filter("failed > 0").limit(1).count():
-            return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
+        out = _attempt(base, length, k, most, with_text, sample, hot_least, hot_parts, hashing)
+        failed = out.rows.filter("failed > 0").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).first()
+        if not failed.n:
+            return out.rows.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
+        out.scratch.clear()
+    raise ValueError(f"equal hashes of unequal strings in each of {attempts} attempts, last in {failed.n} documents, of which {failed.id} is the first")
 
 
-def _attempt(docs: DataFrame, length: int, k: int, most: int, with_text: bool, sample: int, hot_least: int, hot_parts: int, hashing: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """Rows of OUT; failed counts a document's claims that didn't hold."""
-    spark = docs.sparkSession
+def _documents_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, id, text (bytes): doc orders documents as ids do, and tells rows apart that share an id but not a text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    again = rows.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
+    again = cut(again)
+    key = lambda n: F.coalesce(n, F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63)).cast("long")))
+    as_bytes = F.col("text").cast("binary").alias("text")
+    if again.isEmpty():
+        return rows.select(key(F.col("id")).alias("doc"), "id", as_bytes)
+    tags = rows.join(again, "id", "left_semi").select("id", F.xxhash64("text").alias("tag")).distinct()
+    places = cut(tags.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("tag")) - 1))  # narrow rows of ids that repeat
+    bits = int(places.agg(F.max("place")).first()[0]).bit_length()
+    least, most = rows.agg(F.min("id"), F.max("id")).first()
+    if max(-least, most) >> (62 - bits):
+        raise ValueError(f"ids of up to {max(-least, most)} leave no room to tell apart rows that share one")
+    placed = rows.withColumn("tag", F.xxhash64("text")).join(places, ["id", "tag"], "left")
+    return placed.select(key(F.shiftleft("id", bits) + F.coalesce("place", F.lit(0))).alias("doc"), "id", as_bytes)
+
+
+class Attempt(NamedTuple):
+    rows: DataFrame
+    scratch: Scratch
+
+
+def _attempt(base: DataFrame, length: int, k: int, most: int, with_text: bool, sample: int, hot_least: int, hot_parts: int, hashing: tuple[int, int]) -> Attempt:
+    """Rows of OUT; failed counts a document's claims that didn't hold. base: doc, id, text."""
+    spark = base.sparkSession
     scratch, result = Scratch(spark, "substrings"), Scratch(spark, "removed")
     parts = parallelism(spark)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text).bitwiseOR(F.lit(-(1 << 63)).cast("long")))
-    base = docs.select(key.alias("doc"), F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("text"))
 
     counts = base.filter(F.pmod(F.xxhash64("doc"), F.lit(sample)) == 0).select("doc", "text").mapInArrow(lambda b: tidy(_find(b, length, k, np.empty(0, np.uint64), True, hashing)), "h long").groupBy("h").count()
     counts = cut(counts)
@@ -560,4 +587,4 @@ def _attempt(docs: DataFrame, length: int, k: int, most: int, with_text: bool, s
     sorted_out = resolved.filter(F.col("kind") == COVER).select("doc", F.col("place").alias("start"), F.col("c").alias("end"), F.lit(None).cast("binary").alias("data"))
     out = result.keep(by_doc(fetched.unionByName(sorted_out)).mapInArrow(lambda b: tidy(_remove(b, with_text)), OUT), "rows")
     scratch.clear()
-    return out
+    return Attempt(out, result)
