@@ -37,8 +37,9 @@ def options() -> argparse.ArgumentParser:
 
 
 def requests(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """The rows of the requests, each with its image; nulls where there is none or it can't be decoded, which scoring makes the row's error."""
     rows = spark.read.option("header", True).schema("id BIGINT, male INT, ic_months DOUBLE").csv(args.requests)
-    return files.with_images(rows, files.bgr_to_rgb(files.read_images(spark, args.images)))
+    return files.with_images(rows, files.bgr_to_rgb(files.read_images(spark, args.images, keep_invalid=True)), how="left")
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -41,7 +41,17 @@ def band(age: Column) -> Column:
 def lookup(df: DataFrame, age: str, texts: DataFrame | None = None) -> DataFrame:
     """df with the atlas columns of its ages: a band code in the projection and a hash join to the twelve bands.
 
-    texts: columns as in ATLAS, a row for each band 0 to 11; rows of other bands are not read.
+    texts: columns as in ATLAS, one row for each band 0 to 11; rows of other bands are not read. Evaluation fails on an age whose
+    band texts don't have, and if a band has several rows that differ. Each row of df gives one row.
     """
-    texts = atlas(df.sparkSession) if texts is None else texts.filter(F.col("band").between(0, len(EDGES) - 1)).dropDuplicates(["band"])  # twelve rows at most
-    return df.withColumn("band", band(F.col(age))).join(F.broadcast(texts), "band")
+    spark = df.sparkSession
+    if texts is None:
+        named = atlas(spark)
+    else:
+        of_bands = texts.filter(F.col("band").between(0, len(EDGES) - 1)).distinct().groupBy("band").agg(*[F.first(c).alias(c) for c in texts.columns if c != "band"], F.count(F.lit(1)).alias("rows"))  # twelve rows at most
+        named = of_bands.filter(F.when(F.col("rows") == 1, True).otherwise(F.raise_error(F.concat(F.lit("several rows for band "), F.col("band").cast("string"))).cast("boolean"))).drop("rows")
+    named = named.withColumn("there", F.lit(True)).alias("named")
+    placed = df.select(F.struct("*").alias("row"), band(F.col(age)).alias("band")).alias("placed")
+    both = placed.join(F.broadcast(named), F.col("placed.band") == F.col("named.band"), "left")
+    found = F.when(F.col("there"), F.col("placed.band")).otherwise(F.raise_error(F.concat(F.lit("no row for band "), F.col("placed.band").cast("string"))).cast("int"))
+    return both.select(found.alias("band"), "row.*", *[F.col(f"named.{c}") for c in named.columns if c not in ("band", "there")])

@@ -70,6 +70,8 @@ def _scored(scorer: Scorer, rows: list[tuple], crop: bool, size: int) -> tuple[l
     tensors, metas, good, z, errors, boxes = [], [], [], [None] * len(rows), [None] * len(rows), [None] * len(rows)
     for j, (male, *picture) in enumerate(rows):
         try:
+            if picture[-1] is None:
+                raise ValueError("no image, or none that can be decoded")
             img = images.to_rgb(images.decode(*picture))
             boxes[j] = images.crop_box(img) if crop else (0, 0, img.shape[1], img.shape[0])
             x0, y0, x1, y1 = boxes[j]
@@ -115,6 +117,11 @@ def score(requests: DataFrame, factory: Callable[[], Scorer], crop: bool, size:
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "z", "error", *BOX)
 
 
+def by_content(factory: Callable[[], Scorer], crop: bool = True, size: int = images.SIZE) -> Callable[[DataFrame], DataFrame]:
+    """The scorer of images that sessions take: digest, male and an image to digest, male, z and error."""
+    return lambda named: score(named, factory, crop, size, carry=("digest", "male")).select("digest", "male", "z", "error")
+
+
 def predict(requests: DataFrame, stats: DataFrame, factory: Callable[[], Scorer], size: int = images.SIZE) -> DataFrame:
     """The batch form: no crop, float status. requests also has ic_months; stats has one row."""
     done = score(requests, factory, crop=False, size=size, carry=("id", "ic_months")).crossJoin(F.broadcast(one_row(stats)))

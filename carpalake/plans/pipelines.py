@@ -26,12 +26,15 @@ def describe(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def validate(part: DataFrame, images: DataFrame, stats: DataFrame, factory: Callable[[], score.Scorer], size: int = score.images.SIZE) -> tuple[DataFrame, DataFrame]:
-    """Predictions for the rows of a split with their targets, and the error report. Rows without an image or whose image fails are left out."""
-    requests = files.with_images(part.select("id", "male"), images)
-    done = score.score(requests, factory, crop=False, size=size).filter("error IS NULL").crossJoin(F.broadcast(cohort.one_row(stats)))
-    predictions = done.select("id", clip_months(denormalize(F.col("z"), F.col("boneage_mean"), F.col("boneage_std"))).alias("pred"))
-    aligned = evaluate.align(predictions, part.select("id", "male", F.col("boneage").alias("target")))
-    return aligned, evaluate.mae_report(aligned)
+    """A row for each row of a split: id, male, target, pred and error; and the error report, whose evaluation fails if a row has no prediction.
+
+    A row without an image, or whose image or scoring fails, has an error and no pred.
+    """
+    requests = files.with_images(part.select("id", "male", F.col("boneage").alias("target")), images, how="left")
+    done = score.score(requests, factory, crop=False, size=size, carry=("id", "male", "target")).crossJoin(F.broadcast(cohort.one_row(stats)))
+    predicted = done.select("id", "male", "target", clip_months(denormalize(F.col("z"), F.col("boneage_mean"), F.col("boneage_std"))).alias("pred"), "error")
+    lost = F.raise_error(F.concat(F.lit("no prediction for id "), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(": "), F.coalesce("error", F.lit("its score is null")))).cast("double")
+    return predicted, evaluate.mae_report(predicted.withColumn("pred", F.coalesce("pred", lost)))
 
 
 def scorer_parity(images: DataFrame, stats: DataFrame, a: Callable[[], score.Scorer], b: Callable[[], score.Scorer], size: int = score.images.SIZE) -> DataFrame:

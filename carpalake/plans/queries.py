@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,23 +9,9 @@ from ..functions import months as m
 from ..functions import render as r
 from ..operators import atlas, cohort, evaluate, history, images, progress, score, split
 from ..sources import files
+from .registry import ORACLES, QUERIES, register
 from .study import PIXELS_SQL, STUDY_SQL, study, synthetic_images, synthetic_pixels, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 WHOLE = "round_even(pred % 12, 0)"
 YEARS = f"(floor(pred / 12) + CASE WHEN {WHOLE} = 12 THEN 1 ELSE 0 END)::INTEGER"
 MONTHS = f"(CASE WHEN {WHOLE} = 12 THEN 0 ELSE {WHOLE} END)::INTEGER"
@@ -444,3 +428,6 @@ def score_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def analysis_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.analyze(requests(spark, sf_dir), fixed_stats(spark), score.MeanPixelScorer)
+
+
+from . import session_queries  # noqa: E402, F401  these register themselves, too

@@ -18,15 +18,17 @@ def read_cohort(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({"id": F.col("id").cast("bigint"), "boneage": F.col("boneage").cast("double")}) if {"id", "boneage"} <= {*df.columns} else df
 
 
-def read_images(spark: SparkSession, path: str, by_name: bool = True, pattern: str = "*") -> DataFrame:
-    """id (the file name's number, where by_name), origin, height, width, channels, data in RGB order; files that are no images are dropped.
+def read_images(spark: SparkSession, path: str, by_name: bool = True, pattern: str = "*", keep_invalid: bool = False) -> DataFrame:
+    """id (the file name's number, where by_name), origin, height, width, channels, data in RGB order.
+
+    Files that are no images are dropped; keep_invalid keeps them with null data.
 
     Spark's reader gives three channels as BGR and four as BGRA; the kernels turn them, transform() only reads them.
     """
-    df = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", pattern).load(path).select("image.*")
+    df = spark.read.format("image").option("dropInvalid", not keep_invalid).option("pathGlobFilter", pattern).load(path).select("image.*")
     id_ = F.regexp_extract("origin", r"(\d+)\.(?:png|jpe?g)$", 1)
     df = df.withColumn("id", F.when(id_ != "", id_.cast("bigint"))) if by_name else df.withColumn("id", F.xxhash64("origin"))
-    return df.select("id", "origin", "height", "width", F.col("nChannels").alias("channels"), F.col("data"))
+    return df.select("id", "origin", "height", "width", F.col("nChannels").alias("channels"), F.when(F.col("height") > 0, F.col("data")).alias("data"))
 
 
 def bgr_to_rgb(images: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def bgr_to_rgb(images: DataFrame) -> DataFrame:
 
     @F.pandas_udf("binary")
     def turn(h: pd.Series, w: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([x if n == 1 else decode(a, b, n, x)[:, :, 2::-1].tobytes() for a, b, n, x in zip(h, w, c, d, strict=True)])
+        return pd.Series([x if n == 1 or x is None else decode(a, b, n, x)[:, :, 2::-1].tobytes() for a, b, n, x in zip(h, w, c, d, strict=True)])
 
     return images.withColumn("data", turn("height", "width", "channels", "data")).withColumn("channels", F.when(F.col("channels") == 4, 3).otherwise(F.col("channels")))
 
@@ -58,8 +60,9 @@ def missing_images(cohort: DataFrame, images: DataFrame) -> DataFrame:
     return cohort.join(images.select("id"), "id", "left_anti")
 
 
-def with_images(cohort: DataFrame, images: DataFrame) -> DataFrame:
-    return cohort.join(images, "id")
+def with_images(cohort: DataFrame, images: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows of the cohort with the image of their id; how: inner leaves those without one out, left keeps them with nulls."""
+    return cohort.join(images, "id", how)
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:

@@ -1,0 +1,75 @@
+"""No row is lost in silence: rows in are rows out, or an error."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from carpalake import __main__ as cli
+from carpalake.operators import atlas, progress, score, split
+from carpalake.plans import pipelines
+from carpalake.sources import files
+
+NAN = float("nan")
+
+
+def test_split_keeps_null_ids_strata_and_columns(spark):
+    rows = [(1, "a"), (2, "b"), (None, "a"), (None, None), (3, None), (4, "a")]
+    df = spark.createDataFrame(rows, "id long, stratum string").select("*", *[F.lit(1).alias(c) for c in ("hash", "bucket", "rank", "before", "row", "__hash", "__place", "place")])
+    for out in (split.split(df, "stratum"), split.folds(df, "stratum")):
+        assert out.columns[:-1] == df.columns
+        assert sorted(((r.id, r.stratum, r.hash, r.rank) for r in out.collect()), key=str) == sorted(((*r, 1, 1) for r in rows), key=str)
+
+
+def test_lookup_keeps_ages_and_fails_on_a_missing_or_repeated_band(spark):
+    df = spark.createDataFrame([(5.0, 1), (40.0, 1), (None, 1)], "x double, title int")
+    texts = atlas.atlas(spark)
+    assert atlas.lookup(df, "x", texts).count() == 3
+    with pytest.raises(Exception, match="no row for band 11"):
+        atlas.lookup(df, "x", texts.filter("band < 11")).collect()
+    with pytest.raises(Exception, match="several rows for band 0"):
+        atlas.lookup(df, "x", texts.unionByName(texts.filter("band = 0").withColumn("title", F.lit("other")))).collect()
+
+
+def image_rows(n):
+    return [(i, 4, 4, 1, bytearray(np.full(16, 50 + i, np.uint8).tobytes())) for i in range(n)]
+
+
+IMAGES = "id long, height int, width int, channels int, data binary"
+
+
+def test_validate_keeps_rows_and_its_report_fails_on_lost_ones(spark):
+    part = spark.createDataFrame([(i, i % 2, 100.0 + i) for i in range(6)], "id long, male int, boneage double")
+    stats = spark.createDataFrame([(100.0, 20.0, 0.0, 1.0)], "boneage_mean double, boneage_std double, idade_cron_mean double, idade_cron_std double")
+    whole, report = pipelines.validate(part, spark.createDataFrame(image_rows(6), IMAGES), stats, score.MeanPixelScorer, size=8)
+    assert whole.filter("pred IS NOT NULL AND error IS NULL").count() == 6 and report.filter("grouping = 'all'").first().n == 6
+    few = image_rows(4) + [(4, 4, 4, 1, bytearray(b"x"))]
+    rows, report = pipelines.validate(part, spark.createDataFrame(few, IMAGES), stats, score.MeanPixelScorer, size=8)
+    got = {r.id: (r.target, r.pred is None, r.error is None) for r in rows.collect()}
+    assert got == {i: (100.0 + i, i > 3, i < 4) for i in range(6)}
+    with pytest.raises(Exception, match="no prediction for id"):
+        report.collect()
+
+
+def test_requests_from_the_command_line_keep_their_rows(spark, tmp_path):
+    import base64
+
+    png = base64.b64decode("iVBORw0KGgoAAAANSUhEUgAAAAEAAAABCAAAAAA6fptVAAAACklEQVR4nGNoAAAAggCBd81ytgAAAABJRU5ErkJggg==")
+    (tmp_path / "images").mkdir()
+    (tmp_path / "images/1.png").write_bytes(png)
+    (tmp_path / "images/2.png").write_bytes(b"no image")
+    (tmp_path / "r.csv").write_text("id,male,ic_months\n1,1,120\n2,0,\n3,1,60\n")
+    args = cli.options().parse_args(["predict", "--requests", str(tmp_path / "r.csv"), "--images", str(tmp_path / "images"), "--model", "m", "--out", "o"])
+    requests = cli.requests(spark, args)
+    stats = spark.createDataFrame([(100.0, 20.0, 0.0, 1.0)], "boneage_mean double, boneage_std double, idade_cron_mean double, idade_cron_std double")
+    got = {r.id: (r.bone_age_meses is None, r.error) for r in score.predict(requests, stats, score.MeanPixelScorer, size=8).collect()}
+    assert set(got) == {1, 2, 3} and got[1] == (False, None)
+    assert got[2] == got[3] == (True, "no image, or none that can be decoded")
+    assert files.read_images(spark, str(tmp_path / "images")).count() == 1
+
+
+@pytest.mark.parametrize("values,ran,best", [([NAN] * 10, 7, None), ([NAN, 3.0, NAN, 2.0] + [NAN] * 9, 11, 4), ([None, 5.0, 6.0], 3, 2), ([2.0, NAN, 1.0], 3, 3)])
+def test_nan_is_no_improvement(spark, values, ran, best):
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values, 1)], "run_id long, epoch int, val_mae double")
+    out = progress.best_epoch(df).first()
+    assert (out.last_epoch, out.best_epoch, out.best_mae) == (ran, best, None if best is None else values[best - 1])
+    assert progress.best_rows(df).count() == (best is not None)
