@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import images, score
+from .operators.shipped import ShippedModel
 from .plans import pipelines
 from .plans.ship import ship
 from .sources import files
@@ -50,7 +51,7 @@ def main(argv: list[str] | None = None) -> None:
         out = pipelines.load_and_prepare(spark, args.cohort, args.stats)
     else:
         stats = files.read_stats(spark, args.stats)
-        load = lambda path: lambda: score.OnnxScorer(score.checked_model(path, args.least_bytes))
+        load = lambda path: ShippedModel(spark, path, least=args.least_bytes)
         if args.flow == "parity":
             out = pipelines.scorer_parity(requests(spark, args), stats, *map(load, args.models), size=args.size)
         else:

@@ -36,9 +36,9 @@ def mae_report(df: DataFrame) -> DataFrame:
     return named.filter((F.col("grouping") == "all") | F.col("value").isNotNull())
 
 
-def batch_loss(df: DataFrame, batch: Column, loss: Column) -> DataFrame:
-    """The mean over batches of their mean losses (a short batch counts as much as a full one)."""
-    return df.groupBy(batch.alias("batch")).agg(F.avg(loss).alias("l")).agg(F.round(F.avg("l"), 9).alias("loss"))
+def batch_loss(df: DataFrame, batch: Column, loss: Column, *by: str) -> DataFrame:
+    """The mean over batches of their mean losses (a short batch counts as much as a full one); by: columns whose values have batches of their own."""
+    return df.groupBy(*by, batch.alias("batch")).agg(F.avg(loss).alias("l")).groupBy(*by).agg(F.round(F.avg("l"), 9).alias("loss"))
 
 
 def worst(df: DataFrame, n: int = 5) -> DataFrame:

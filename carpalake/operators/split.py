@@ -19,22 +19,22 @@ def order_hash(id_: Column) -> Column:
     return F.pmod(F.pmod(id_, F.lit(PRIME)) * FACTOR, F.lit(PRIME))
 
 
-def _ranked(df: DataFrame, stratum: str, id_col: str) -> tuple[DataFrame, Column]:
+def ranked(df: DataFrame, stratum: str, id_col: str) -> tuple[DataFrame, Column]:
     """row, the columns of df, whatever their names; and each row's place from 0 on. Null ids and strata are placed like others."""
     placed = df.select(F.struct("*").alias("row"), F.col(stratum).alias("stratum"), F.col(id_col).alias("id"), order_hash(F.col(id_col)).alias("__hash")).withColumn("__bucket", F.floor(F.col("__hash") / BUCKET))
     sizes = placed.groupBy("stratum", "__bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("stratum", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("stratum", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")).alias("offsets")  # at most 1002 rows a stratum
     inside = Window.partitionBy("stratum", "__bucket").orderBy("__hash", "id")
-    ranked = placed.withColumn("__rank", F.row_number().over(inside) - 1).alias("ranked")
+    counted = placed.withColumn("__rank", F.row_number().over(inside) - 1).alias("ranked")
     same = [F.col(f"ranked.{c}").eqNullSafe(F.col(f"offsets.{c}")) for c in ("stratum", "__bucket")]
-    return ranked.join(offsets, same[0] & same[1]).select("row", "before", "__rank"), F.col("before") + F.col("__rank")
+    return counted.join(offsets, same[0] & same[1]).select("row", "before", "__rank"), F.col("before") + F.col("__rank")
 
 
 def folds(df: DataFrame, stratum: str, k: int = 5, id_col: str = "id") -> DataFrame:
     """df with the column fold, 0 to k - 1; counts per stratum differ by at most one between folds."""
-    ranked, place = _ranked(df, stratum, id_col)
-    return ranked.select("row.*", (place % k).cast("int").alias("fold"))
+    rows, place = ranked(df, stratum, id_col)
+    return rows.select("row.*", (place % k).cast("int").alias("fold"))
 
 
 def split(df: DataFrame, stratum: str, k: int = 5, id_col: str = "id") -> DataFrame:
@@ -42,6 +42,6 @@ def split(df: DataFrame, stratum: str, k: int = 5, id_col: str = "id") -> DataFr
 
     The rest keeps its order, and of the places up to p, p div k + 1 are in fold 0. So one ranking gives both deals.
     """
-    ranked, p = _ranked(df, stratum, id_col)
+    rows, p = ranked(df, stratum, id_col)
     again = (p - F.floor(p / k) - 1) % k
-    return ranked.select("row.*", F.when(p % k == 0, "test").when(again == 0, "val").otherwise("train").alias("split"))
+    return rows.select("row.*", F.when(p % k == 0, "test").when(again == 0, "val").otherwise("train").alias("split"))

@@ -174,11 +174,6 @@ def mae_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.mae_report(study(spark, sf_dir).withColumnRenamed("boneage", "target")).filter("grouping = 'band'").select(F.col("value").alias("band"), "mae", "n")
 
 
-@register(f"WITH {STUDY_SQL} SELECT round(avg(l), 9) AS loss FROM (SELECT id // 16 AS batch, avg(abs(pred - boneage)) AS l FROM study GROUP BY 1)")
-def batch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.batch_loss(study(spark, sf_dir), F.floor(F.col("id") / 16), m.absolute_error(F.col("pred"), F.col("boneage")))
-
-
 @register(f"WITH {STUDY_SQL} SELECT id, boneage AS target, pred, male, abs(pred - boneage) AS err FROM study ORDER BY err DESC, id LIMIT 5")
 def worst_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.worst(study(spark, sf_dir).withColumnRenamed("boneage", "target"))
@@ -354,23 +349,6 @@ def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.crop_boxes(synthetic_images(spark, sf_dir))
 
 
-LABELLED_SQL = f"WITH {PIXELS_SQL}, l AS (SELECT *, CASE WHEN v = 120 THEN 1 + x // 32 ELSE 0 END AS label FROM pixels), st AS (SELECT id, label, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, avg(x) AS cx, avg(y) AS cy FROM l WHERE label <> 0 GROUP BY ALL)"
-
-
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic_pixels(spark, sf_dir).withColumn("label", F.when(F.col("v") == 120, 1 + F.floor(F.col("x") / 32)).otherwise(0))
-
-
-@register(f"{LABELLED_SQL} SELECT * FROM st")
-def component_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.component_stats(labelled(spark, sf_dir))
-
-
-@register(f"{LABELLED_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY area DESC, label) AS rank FROM st WHERE area > 64 * 64 * 0.06) SELECT id, arg_min(label, cx * 10 + rank) AS label FROM k WHERE rank <= 2 GROUP BY 1")
-def pick_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.pick_component(images.component_stats(labelled(spark, sf_dir)), F.lit(64 * 64))
-
-
 @register("""WITH e AS (SELECT vec_id, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings)
     SELECT vec_id AS id, (i // 8)::INTEGER AS y, (i % 8)::INTEGER AS x, round((((floor(e::DOUBLE * 1000)::BIGINT % 256 + 256) % 256)::DOUBLE / 255 - 0.485) / 0.229, 6) AS v FROM e""")
 def pixel_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,4 +408,4 @@ def analysis_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.analyze(requests(spark, sf_dir), fixed_stats(spark), score.MeanPixelScorer)
 
 
-from . import session_queries  # noqa: E402, F401  these register themselves, too
+from . import image_queries, label_queries, loader_queries, moment_queries, session_queries  # noqa: E402, F401  these register themselves, too

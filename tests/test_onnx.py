@@ -83,6 +83,7 @@ def test_from_the_command_line(spark, model, tmp_path):
     for flow, rest in (("predict", ["--model", model]), ("analyze", ["--model", model]), ("parity", ["--models", model, model])):
         main([flow, *same, *rest, "--out", str(tmp_path / flow)])
     got = {r.id: r for r in spark.read.parquet(str(tmp_path / "predict")).collect()}
-    assert set(got) == {1, 2} and got[1].error is None and got[1].status and got[2].status is None
-    assert spark.read.parquet(str(tmp_path / "analyze")).count() == 2
+    assert set(got) == {1, 2, 3} and got[1].error is None and got[1].status and got[2].status is None
+    assert got[3].error and got[3].bone_age_meses is None  # it has no image
+    assert spark.read.parquet(str(tmp_path / "analyze")).count() == 3
     assert spark.read.parquet(str(tmp_path / "parity")).first().max_diff is not None
