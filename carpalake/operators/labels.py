@@ -2,9 +2,10 @@
 
 A mask's pixels become runs of neighbours in a row (gaps and islands), far fewer than its pixels. Runs of one row touch those of
 the next where their places overlap or meet at a corner: an equi-join by image and row with a condition on the places. Each run
-then takes the least run that it can reach: in each round it takes the least label of those it touches, and then the
-label of its label, so a chain's length halves and rounds grow with its logarithm. All steps are built-in functions; rounds are
-cut by checkpoints, and images are independent rows of the same tables.
+then gets the least run that it can reach. In each round every label moves to the least one that it touches, and on to where that one
+moves; labels that have become one are one node from then on, and what touches is told by labels. At least every second label goes in a round, so
+rounds grow with the logarithm of a component's runs and their tables shrink. All steps are built-in functions; rounds are
+cut by written tables, and images are independent rows of the same tables.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import Rounds, kept
 
+JUMPS = 3  # before a look whether all have come to their end; each doubles the way
 SHIFT = 31  # a run's name is y * 2 ** 31 + its first x, so names are in raster order
 
 
@@ -36,21 +38,27 @@ def touching(runs_: DataFrame, corners: bool = True) -> DataFrame:
 
 def least_reached(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, run, least: the least run that each one reaches. nodes: id, run; edges: id, a, b in both directions."""
-    rounds = Rounds(nodes.sparkSession)
+    rounds, steps = Rounds(nodes.sparkSession), []
     try:
-        edges = rounds.keep(edges)
-        labels = rounds.keep(nodes.select("id", "run", F.col("run").alias("least")))
-        while True:
-            near = edges.join(labels.select("id", F.col("run").alias("b"), "least"), ["id", "b"]).groupBy("id", F.col("a").alias("run")).agg(F.min("least").alias("near"))
-            lower = labels.join(near, ["id", "run"], "left").select("id", "run", F.col("least").alias("old"), F.least("least", "near").alias("least"))
-            lower = rounds.keep(lower)
-            jump = lower.select("id", F.col("run").alias("least"), F.col("least").alias("further"))
-            labels = rounds.keep(lower.join(jump, ["id", "least"]).select("id", "run", "old", F.col("further").alias("least")))
-            if labels.filter("least <> old").isEmpty():
-                return kept(labels.select("id", "run", "least"))
-            for n in (rounds.made - 2, rounds.made - 1):  # what this round has read
-                rounds.clear(n)
-            labels = labels.drop("old")
+        edges = rounds.keep(edges.distinct())
+        while not edges.isEmpty():
+            up = rounds.keep(edges.groupBy("id", "a").agg(F.min("b").alias("b")).filter("b < a"))  # each to the least one it touches
+            while True:  # and on to where that one goes, to the end
+                for _ in range(JUMPS):
+                    on = up.select("id", F.col("a").alias("b"), F.col("b").alias("c"))
+                    up = up.join(on, ["id", "b"], "left").select("id", "a", F.coalesce("c", "b").alias("b"))
+                up = rounds.keep(up)
+                if up.join(up.select("id", F.col("a").alias("b")), ["id", "b"], "left_semi").isEmpty():
+                    break
+            steps.append(up)
+            for end in ("a", "b"):
+                edges = edges.join(up.select("id", F.col("a").alias(end), F.col("b").alias("to")), ["id", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            edges = rounds.keep(edges.filter("a <> b").select("id", "a", "b").distinct())
+        labels = nodes.select("id", "run", F.col("run").alias("least"))
+        for step in steps:  # smaller and smaller tables
+            to = step.select("id", F.col("a").alias("least"), F.col("b").alias("to"))
+            labels = labels.join(to, ["id", "least"], "left").select("id", "run", F.coalesce("to", "least").alias("least"))
+        return kept(labels)
     finally:
         rounds.clear()
 
