@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 from test_decontamination import plain_score
-from test_simhash import classes, plain_fingerprint
+from test_similar import plain_components
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from carpalake.llm.decontamination import words_of  # noqa: E402
@@ -48,11 +48,8 @@ def test_run_against_plain_stages(spark, folder):
     for i, t in left.items():
         newest[t] = max(i, newest.get(t, -1))
     left = {i: t for t, i in newest.items()}
-    fps = {i: plain_fingerprint(t) for i, t in left.items()}
-    cls, first = classes(set(fps.values())), {}
-    for i, f in sorted(fps.items()):
-        first.setdefault(cls[f], i)
-    left = {i: t for i, t in left.items() if i in set(first.values())}
+    least = plain_components([(i, t, 1) for i, t in sorted(left.items())])  # the stage's own rule
+    left = {i: t for i, t in left.items() if least[i] == i}
     items = [words_of(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     left = {i: t for i, t in left.items() if not any(plain_score(w, words_of(t)) >= 3.2 * len(w) for w in items)}
     t = Tokenizer.from_file(word_tokenizer())
