@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import images, score
+from .operators import images, observed, score
 from .operators.shipped import ShippedModel
 from .plans import pipelines
 from .plans.ship import ship
@@ -16,7 +17,7 @@ from .sources import files
 def options() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="carpalake")
     flows = top.add_subparsers(dest="flow", required=True)
-    prepare = flows.add_parser("prepare", help="clean, guard and split a cohort; keep the statistics of its train split")
+    prepare = flows.add_parser("prepare", help="clean, guard and split a cohort; keep the statistics of its train split; print its description")
     prepare.add_argument("--cohort", required=True, help="CSV with id, boneage and male")
     prepare.add_argument("--stats", default="preprocess_stats.json")
     for name, what in (("predict", "score images as they are"), ("analyze", "score images cropped to one hand")):
@@ -48,15 +49,15 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("carpalake").getOrCreate()
     ship(spark)
     if args.flow == "prepare":
-        out = pipelines.load_and_prepare(spark, args.cohort, args.stats)
+        print(json.dumps(observed.write_described(pipelines.load_and_prepare(spark, args.cohort, args.stats), args.out)))
+        return
+    stats = files.read_stats(spark, args.stats)
+    load = lambda path: ShippedModel(spark, path, least=args.least_bytes)
+    if args.flow == "parity":
+        out = pipelines.scorer_parity(requests(spark, args), stats, *map(load, args.models), size=args.size)
     else:
-        stats = files.read_stats(spark, args.stats)
-        load = lambda path: ShippedModel(spark, path, least=args.least_bytes)
-        if args.flow == "parity":
-            out = pipelines.scorer_parity(requests(spark, args), stats, *map(load, args.models), size=args.size)
-        else:
-            flow = score.predict if args.flow == "predict" else score.analyze
-            out = flow(requests(spark, args), stats, load(args.model), size=args.size)
+        flow = score.predict if args.flow == "predict" else score.analyze
+        out = flow(requests(spark, args), stats, load(args.model), size=args.size)
     out.write.mode("overwrite").parquet(args.out)
 
 
