@@ -242,9 +242,11 @@ def timeline_x(spark: SparkSession, sf_dir: str) -> DataFrame:
 TICKS_SQL = "(SELECT string_agg('<path d=''M' || printf('%.1f', 38 + (y * 12.0::DOUBLE / 216) * 524) || ' 52v8''/><text x=''' || printf('%.1f', 38 + (y * 12.0::DOUBLE / 216) * 524) || ''' y=''74''>' || y || '</text>', '' ORDER BY y) FROM (SELECT unnest(range(0, 19, 2)) AS y))"
 
 
-@register(f"SELECT {TICKS_SQL} AS ticks")
+@register(f"WITH {STUDY_SQL} SELECT id, len(list_filter(range(0, 19, 2), lambda y: y * 12 <= pred))::INTEGER AS n_passed, {TICKS_SQL} AS ticks FROM study")
 def timeline_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(r.ticks().alias("ticks"))
+    """The axis of each row's timeline, and how many of its ticks the estimate has passed."""
+    passed = F.size(F.filter(F.sequence(F.lit(0), F.lit(18), F.lit(2)), lambda y: y * 12 <= F.col("pred")))
+    return study(spark, sf_dir).select("id", passed.alias("n_passed"), r.ticks().alias("ticks"))
 
 
 @register(f"""WITH {STUDY_SQL}, t AS (SELECT id, {IO_X} AS a, {IC_X} AS b, ic FROM study) SELECT id, '<svg viewBox=''0 0 600 78''><path class=''axis'' d=''M38 56H562''/>' || {TICKS_SQL} ||
