@@ -410,4 +410,4 @@ def analysis_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.analyze(requests(spark, sf_dir), fixed_stats(spark), score.MeanPixelScorer)
 
 
-from . import image_queries, label_queries, loader_queries, moment_queries, sample_queries, session_queries  # noqa: E402, F401  these register themselves, too
+from . import image_queries, label_queries, loader_queries, moment_queries, progress_queries, sample_queries, session_queries  # noqa: E402, F401  these register themselves, too

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cohort import one_row
 from ..schemas import COHORT_CSV, STATS
 
 
@@ -92,8 +93,8 @@ def stage_file(spark: SparkSession, source: str, target: str, least: int = 100_0
 
 
 def write_best(best: DataFrame, stats: DataFrame, path: str) -> None:
-    """The rows of the best epochs, each with the statistics it was trained under, replacing what the path had. best mustn't read from path."""
-    best.crossJoin(F.broadcast(stats.limit(1))).write.mode("overwrite").partitionBy("run_id").parquet(path)
+    """The rows of the best epochs, each with the statistics it was trained under, replacing what the path had (BestEpochs commits versions instead). best mustn't read from path."""
+    best.crossJoin(F.broadcast(one_row(stats))).write.mode("overwrite").partitionBy("run_id").parquet(path)
 
 
 __all__ = ["COHORT_CSV", "bgr_to_rgb", "decode_uploads", "missing_images", "preferred", "read_cohort", "read_images", "read_stats", "read_uploads", "stage_file", "with_images", "write_best", "write_stats"]

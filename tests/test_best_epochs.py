@@ -1,0 +1,98 @@
+"""Commits of best epochs: replays, lost writers, races, streams."""
+
+import math
+import shutil
+
+import pytest
+from carpalake.sources.best_epochs import BestEpochs
+
+COLUMNS = "run_id long, epoch int, val_mae double, state string"
+
+
+@pytest.fixture
+def stats(spark):
+    return spark.createDataFrame([(100.0, 10.0)], "boneage_mean double, boneage_std double")
+
+
+def found(store, version=None):
+    return sorted(((r.run_id, r.epoch, r.state, r.boneage_mean) for r in store.read(version).collect()), key=str)
+
+
+def test_only_improved_runs_are_written(spark, stats, tmp_path):
+    store = BestEpochs(spark, str(tmp_path / "best"))
+    assert store.version() == 0
+    with pytest.raises(ValueError, match="no best"):
+        store.read()
+    first = spark.createDataFrame([(1, 1, 5.0, "a"), (2, 1, 9.0, "b"), (3, 1, math.nan, "c"), (3, 2, None, "d"), (None, 1, 4.0, "e")], COLUMNS)
+    assert store.commit(first, stats) == 1
+    assert found(store) == sorted([(1, 1, "a", 100.0), (2, 1, "b", 100.0), (None, 1, "e", 100.0)], key=str)
+    assert store.commit(first, stats) is None and store.version() == 1  # a replay
+    second = spark.createDataFrame([(1, 2, 3.0, "f"), (1, 3, 3.0, "g"), (2, 2, 9.0, "h"), (None, 2, 4.5, "i")], COLUMNS)
+    assert store.commit(second, stats) == 2
+    assert spark.read.parquet(str(tmp_path / "best/rows" / store.folders()[-1])).count() == 1
+    assert (1, 2, "f", 100.0) in found(store) and (2, 1, "b", 100.0) in found(store)
+    assert found(store, 1) == sorted([(1, 1, "a", 100.0), (2, 1, "b", 100.0), (None, 1, "e", 100.0)], key=str)
+    assert store.commit(spark.createDataFrame([], COLUMNS), stats) is None
+
+
+def test_a_writer_that_is_killed_leaves_the_version_before(spark, stats, tmp_path, monkeypatch):
+    store = BestEpochs(spark, str(tmp_path / "best"))
+    store.commit(spark.createDataFrame([(1, 1, 5.0, "a")], COLUMNS), stats)
+    better = spark.createDataFrame([(1, 2, 4.0, "b")], COLUMNS)
+    with monkeypatch.context() as m:
+        m.setattr(store, "_publish", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            store.commit(better, stats)
+    assert found(store) == [(1, 1, "a", 100.0)] and len(list((tmp_path / "best/rows").iterdir())) == 2
+    assert store.commit(better, stats) == 2 and found(store) == [(1, 2, "b", 100.0)]
+    store.commit(spark.createDataFrame([(1, 3, 1.0, "c")], COLUMNS), stats)
+    assert store.sweep() == 1 and found(store) == [(1, 3, "c", 100.0)]  # the folder of the killed writer
+
+
+def test_of_two_writers_the_second_starts_from_the_first(spark, stats, tmp_path, monkeypatch):
+    store, other = BestEpochs(spark, str(tmp_path / "best")), BestEpochs(spark, str(tmp_path / "best"))
+    store.commit(spark.createDataFrame([(1, 1, 5.0, "a"), (2, 1, 5.0, "a")], COLUMNS), stats)
+    publish, before = store._publish, []
+
+    def late(version, folders):
+        if not before:
+            before.append(other.commit(spark.createDataFrame([(1, 2, 2.0, "b")], COLUMNS), stats))
+        return publish(version, folders)
+
+    monkeypatch.setattr(store, "_publish", late)
+    assert store.commit(spark.createDataFrame([(1, 3, 3.0, "c"), (2, 3, 3.0, "c")], COLUMNS), stats) == 3 and before == [2]
+    assert found(store) == [(1, 2, "b", 100.0), (2, 3, "c", 100.0)] and store.sweep() == 0
+
+
+def test_folders_are_folded(spark, stats, tmp_path):
+    store = BestEpochs(spark, str(tmp_path / "best"), fold=3)
+    for epoch in range(1, 8):
+        store.commit(spark.createDataFrame([(epoch % 2, epoch, 9.0 - epoch, str(epoch))], COLUMNS), stats)
+        assert len(store.folders()) < 3
+    assert found(store) == [(0, 6, "6", 100.0), (1, 7, "7", 100.0)]
+
+
+def test_a_stream_ends_where_a_batch_does(spark, stats, tmp_path):
+    rows = [(run, epoch, float((run * 7 + epoch * 5) % 11), f"{run}.{epoch}") for run in range(5) for epoch in range(1, 10)]
+    frame = spark.createDataFrame(rows, COLUMNS)
+    for part in range(3):
+        frame.filter(f"epoch % 3 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    store = BestEpochs(spark, str(tmp_path / "best"))
+    for _ in range(2):  # a new checkpoint sends every batch again
+        shutil.rmtree(tmp_path / "state", ignore_errors=True)
+        stream = spark.readStream.schema(COLUMNS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = stream.writeStream.foreachBatch(store.sink(stats)).option("checkpointLocation", str(tmp_path / "state")).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    whole = BestEpochs(spark, str(tmp_path / "whole"))
+    whole.commit(frame, stats)
+    assert found(store) == found(whole) and len(found(store)) == 5 and store.version() <= 3
+
+
+def test_columns_of_the_statistics_go_first(spark, stats, tmp_path):
+    store = BestEpochs(spark, str(tmp_path / "best"))
+    store.commit(spark.createDataFrame([(1, 1, 5.0, 7.0)], "run_id long, epoch int, val_mae double, BONEAGE_MEAN double"), stats)
+    row = store.read().first()
+    assert row.boneage_mean == 100.0 and "BONEAGE_MEAN" not in row.asDict()
