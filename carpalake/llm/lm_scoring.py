@@ -18,7 +18,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import context_tree as tree
@@ -221,16 +221,15 @@ class Lookup:
         return out
 
 
-SCORES = "id long, held_out boolean, n_tokens long, n_known long, base double, score double, words long, tokens long"
+SCORES = "id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 NEVER = float(np.log10(0.5))
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """batches: block, kind, id, num, bytes by block and kind: words, strings, then documents. Rows of SCORES: one per document, and one per block with its part of the training vocabulary and tokens."""
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+    """batches: block, kind, id, num, bytes by block and kind: words, strings, then documents. Rows of SCORES, one per document."""
     names = [c.split()[0] for c in SCORES.split(", ")]
     d = zstandard.ZstdDecompressor()
-    block, words, strings, lookup, vocabulary, tokens = None, {}, [], None, 0, 0
+    block, words, strings, lookup = None, {}, [], None
 
     for batch in batches:
         blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -240,12 +239,9 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if blocks[start] != block:
                 block, words, strings, lookup = blocks[start], {}, [], None
             if kinds[start] == 0:
-                c, first = part.column(2).to_numpy(), part.column(3).to_numpy() == 1
-                counts, at = np.unique(c, return_inverse=True)
+                counts, at = np.unique(part.column(2).to_numpy(), return_inverse=True)
                 logs = np.log10(counts + 0.5).tolist()  # one object a count
                 words.update(zip(part.column(4).to_pylist(), map(logs.__getitem__, at.tolist()), strict=True))
-                vocabulary += int((first & (c > 0)).sum())
-                tokens += int(c[first].sum())
                 continue
             if kinds[start] == 1:
                 strings.append((part.column(2).to_numpy(), part.column(3).to_numpy()))
@@ -264,10 +260,9 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 logs = np.fromiter((words[w] for s in split for w in (*s, b"")), np.float64, int(lengths.sum()))
                 at = np.cumsum(lengths) - lengths
                 yield pa.record_batch(
-                    [pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some]), pa.array(lengths), pa.array(np.add.reduceat((logs > NEVER).astype(np.int64), at)), pa.array(np.add.reduceat(logs, at)), pa.array(score), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())],
+                    [pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some]), pa.array(lengths), pa.array(np.add.reduceat((logs > NEVER).astype(np.int64), at)), pa.array(np.add.reduceat(logs, at)), pa.array(score)],
                     names,
                 )
-    yield pa.record_batch([pa.nulls(1, t) for t in types[:-2]] + [pa.array([vocabulary]), pa.array([tokens])], names)
 
 
 def score_documents(docs: DataFrame, held: Column | None = None, block_bytes: int = 32_000_000, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,8 +284,10 @@ def score_documents(docs: DataFrame, held: Column | None = None, block_bytes: in
     tables = packed.select("block", "held", "packed").repartitionById(n, F.col("block")).sortWithinPartitions("block").mapInArrow(lambda b: tidy(_tables(b)), "block int, word binary, string long, n long")
     tables = scratch.keep(tables, "tables")
 
-    by_word = Window.partitionBy("word")
-    words = tables.filter("word IS NOT NULL").select("block", F.lit(0).alias("kind"), F.sum("n").over(by_word).alias("id"), (F.min("block").over(by_word) == F.col("block")).cast("double").alias("num"), F.col("word").alias("bytes"))
+    in_blocks = tables.filter("word IS NOT NULL")
+    counted = scratch.keep(in_blocks.groupBy("word").agg(F.sum("n").alias("n")), "words")  # a table, so that the join below may split a common word's blocks
+    words = in_blocks.select("block", "word").join(counted, "word").select("block", F.lit(0).alias("kind"), F.col("n").alias("id"), F.lit(None).cast("double").alias("num"), F.col("word").alias("bytes"))
+    v, total = counted.agg(F.count_if(F.col("n") > 0), F.sum("n")).first()
 
     strings = tables.filter("word IS NULL")
     context = lambda d: F.shiftright("string", 8 * (tree.DEPTH - d + 1))
@@ -309,8 +306,7 @@ def score_documents(docs: DataFrame, held: Column | None = None, block_bytes: in
     texts = packed.select("block", F.lit(2).alias("kind"), "id", F.col("held").cast("double").alias("num"), F.col("packed").alias("bytes"))
     scored = cut(words.unionByName(logs).unionByName(texts).repartitionById(n, F.col("block")).sortWithinPartitions("block", "kind").mapInArrow(lambda b: tidy(_score(b)), SCORES))
     scratch.clear()
-    v, total = scored.agg(F.sum("words"), F.sum("tokens")).first()
     per_token = F.lit(float(np.log10((total or 0) + 0.5 * ((v or 0) + 1))))
-    return scored.filter("n_tokens IS NOT NULL").select(
+    return scored.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total or 0).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * per_token).alias("base_score"), "score"
     )
