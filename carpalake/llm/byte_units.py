@@ -16,7 +16,7 @@ import re
 import numpy as np
 from xxhash import xxh64_intdigest
 
-from .packing import HashIndex
+from .hash_index import HashIndex
 
 CACHE_UNITS = 2_000_000
 #: The characters with the Unicode property White_Space.

@@ -19,123 +19,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from .common import cut, tidy
-
-CACHE_WORDS = 2_000_000
-_tokenizers: dict = {}
-
-
-class HashIndex:
-    """Places of 64-bit hashes in the order of their insertion, by open addressing on arrays."""
-
-    def __init__(self) -> None:
-        self.n, self.keys, self.places = 0, np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The place of each hash (none of them 0), -1 if it isn't there."""
-        mask = len(self.keys) - 1
-        at, out, todo = (h & np.uint64(mask)).astype(np.int64), np.full(len(h), -1, np.int32), np.arange(len(h))
-        while len(todo):
-            key = self.keys[at[todo]]
-            hit = key == h[todo]
-            out[todo[hit]] = self.places[at[todo[hit]]]
-            todo = todo[~hit & (key != 0)]
-            at[todo] = (at[todo] + 1) & mask
-        return out
-
-    def _put(self, h: np.ndarray, places: np.ndarray) -> None:
-        mask = len(self.keys) - 1
-        at = (h & np.uint64(mask)).astype(np.int64)
-        while len(h):
-            free = self.keys[at] == 0
-            self.keys[at[free]] = h[free]
-            mine = self.keys[at] == h
-            self.places[at[mine]] = places[mine]
-            h, places, at = h[~mine], places[~mine], (at[~mine] + 1) & mask
-
-    def add(self, h: np.ndarray) -> None:
-        """h: distinct, not there yet, none of them 0."""
-        while 2 * (self.n + len(h)) > len(self.keys):
-            old, places = self.keys, self.places
-            self.keys, self.places = np.zeros(2 * len(old), np.uint64), np.zeros(2 * len(old), np.int32)
-            self._put(old[old != 0], places[old != 0])
-        self._put(h, np.arange(self.n, self.n + len(h), dtype=np.int32))
-        self.n += len(h)
-
-
-class WordCache:
-    """Token ids of the stretches of text between spaces and newlines, which no token crosses.
-
-    A stretch is known by its 64-bit hash. The cache is emptied once it holds CACHE_WORDS. A tokenizer that
-    doesn't lower-case, or whose tokens cross spaces or newlines (PROBES show it), encodes whole texts instead.
-    """
-
-    PROBES = ("The cat  Sat on", "a\nB\n\nc d", " lead and trail ", "Don't, 3.14 x_Y (z)\n- Q", "Éa 中文 ÜBER\n1 000")
-    MARK = "\x01"  # a token of its own, put between new words to encode many in one call
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        mark = self._encode(self.MARK)
-        pieces = lambda t: [x for w in t.encode().lower().decode().replace("\n", " ").split(" ") for x in self._encode(w)]
-        self.whole = len(mark) != 1 or any(self._encode(t) != pieces(t) for t in self.PROBES)
-        self.mark = mark[0] if mark else -1
-        self.clear()
-
-    def clear(self) -> None:
-        self.index, self.used, self.flat, self.ends = HashIndex(), 0, np.empty(1 << 16, "<u4"), np.zeros(1 << 16, np.int64)
-
-    def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        """Adds words, whose hashes are distinct and new."""
-        for i in range(0, len(words), 2000):
-            some = [w.decode() for w in words[i : i + 2000]]
-            if any(self.MARK in w for w in some):
-                parts = [self._encode(w) for w in some]
-                ids, sizes = np.array([x for p in parts for x in p], "<u4"), np.array([len(p) for p in parts])
-            else:
-                ids = np.array(self._encode(f" {self.MARK} ".join(some)), "<u4")
-                ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-                ids, sizes = ids[ids != self.mark], np.diff(ends, prepend=-1) - 1
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while self.index.n + len(some) >= len(self.ends):
-                self.ends = np.concatenate([self.ends, np.empty_like(self.ends)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.ends[self.index.n + 1 : self.index.n + 1 + len(some)] = self.used + np.cumsum(sizes)
-            self.used += len(ids)
-            self.index.add(hashes[i : i + 2000])
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. Where the tokenizer lower-cases, A-Z is lower-cased before (where no special token may be written out)."""
-        if self.whole:
-            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if self.index.n > CACHE_WORDS:
-            self.clear()
-        split = [(t.encode() if "<|" in t else t.encode().lower()).replace(b"\n", b" ").split(b" ") for t in texts]
-        words = [w for s in split for w in s]
-        h = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)) | np.uint64(1)
-        at = self.index.find(h)
-        if len(missed := np.flatnonzero(at < 0)):
-            new, first = np.unique(h[missed], return_index=True)
-            self._learn(new, [words[i] for i in missed[first].tolist()])
-            at[missed] = self.index.find(h[missed])
-        starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
-        done = np.cumsum(sizes)
-        ids = self.flat[np.repeat(starts - done + sizes, sizes) + np.arange(done[-1] if len(done) else 0)]
-        return np.split(ids, np.concatenate([[0], done])[np.cumsum([len(s) for s in split])][:-1]) if texts else []
-
-
-def word_cache(path: str) -> WordCache:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordCache(path)
-    return _tokenizers[path]
-
+from .word_units import word_cache
 
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 FULL_IDS, LEFT_IDS = 1 << 40, 1 << 62
@@ -173,7 +59,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, windows: int,
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            for doc, ids in zip(part.column(0).to_pylist(), cache.ids([t or "" for t in part.column(1).to_pylist()]), strict=True):
+            for doc, ids in zip(part.column(0).to_pylist(), cache.of([t or "" for t in part.column(1).to_pylist()]), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 whole = len(ids) // size * size
                 for at in range(0, whole, size):
