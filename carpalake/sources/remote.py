@@ -159,8 +159,8 @@ def stage_remote(spark: SparkSession, url: str, target: str, token: str | None =
     """The file at url as the file target, and what was fetched: part, start, length, total, retries of each range.
 
     The ranges are fetched in parallel into the shared folder, so a range that is there isn't fetched again; then they are strung
-    together in order, of which the driver holds one at a time. target appears whole by a rename, and replaces what was there; on any error, also if
-    the file has fewer than least bytes, nothing new is left and an old target stays. progress is called with the bytes that are in place and their total.
+    together in order, of which the driver holds one at a time. target appears whole by a rename, just before which an old one is deleted (so for a moment
+    there is none); on any error before that, also if the file has fewer than least bytes, nothing new is left and an old target stays. progress is called with the bytes that are in place and their total.
     """
     fs, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
     rounds, final, half = Rounds(spark), fs.Path(target), fs.Path(f"{target}.part")
