@@ -11,8 +11,9 @@ import json
 
 import numpy as np
 
-from .byte_units import CACHE_UNITS, UnitCache
+from .byte_units import UnitCache
 
+CACHE_WORDS = 500_000  # some 40 MB; more would save encoding rare words again, but two workers share an executor's memory
 #: Patterns of tokens that match no whitespace and look at nothing around a match.
 TOKENS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 MARK = "\x01"  # a token of its own, put between words that are encoded in one call
@@ -47,7 +48,7 @@ def by_words(description: dict) -> bool:
 class WordCache(UnitCache):
     """Token ids of texts. Holds at most `most` words and those of one call; then it starts anew."""
 
-    def __init__(self, path: str, most: int = CACHE_UNITS):
+    def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
