@@ -41,6 +41,8 @@ def test_words_give_the_ids_of_whole_texts():
     r = random.Random(1)
     alphabet = "aAbB ßéÉ̱́̌HJTW  \n\t'sdl.,!?<|>09中İΣ"
     same(cache, ["".join(r.choice(alphabet) for _ in range(r.randrange(60))) for _ in range(3000)])
+    edges = ["a", "Z", "7", "'s", "'", ".", "é", "É", "́", "\x00", "中", "Σ", "İ", "İ1", "½", "_", "\ufeff", "<|", "|>"]
+    same(WordCache(word_tokenizer()), [f"{a}{m}{b} {c}" for a in edges for b in edges for m in ("", "x", "Σ") for c in (a, b)])  # new words side by side, with all kinds of edges
     cache = WordCache(word_tokenizer(), most=50)  # starts anew with nearly every call
     for i in range(0, 200, 20):
         same(cache, [f"w{j} Word {j * 7919}" for j in range(i, i + 40)])
