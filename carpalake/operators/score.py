@@ -26,7 +26,7 @@ class Scorer(Protocol):
     meta_width: int
 
     def __call__(self, image: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        """image: (n, 3, size, size); meta: (n, meta_width). n normalized ages."""
+        """image: (n, 3, size, size), which is filled anew after the call; meta: (n, meta_width). n normalized ages."""
 
 
 class MeanPixelScorer:
@@ -65,9 +65,9 @@ def checked_model(path: str, least: int = 100_000) -> str:
 Box = tuple[int, int, int, int]
 
 
-def _scored(scorer: Scorer, rows: list[tuple], crop: bool, size: int) -> tuple[list[float | None], list[str | None], list[Box | None]]:
-    """z, error and the box used of rows (male, height, width, channels, data). Whatever fails on a row becomes that row's error."""
-    tensors, metas, good, z, errors, boxes = [], [], [], [None] * len(rows), [None] * len(rows), [None] * len(rows)
+def _scored(scorer: Scorer, rows: list[tuple], crop: bool, room: np.ndarray) -> tuple[list[float | None], list[str | None], list[Box | None]]:
+    """z, error and the box used of rows (male, height, width, channels, data). Whatever fails on a row becomes that row's error. room: for so many images."""
+    metas, good, z, errors, boxes = [], [], [None] * len(rows), [None] * len(rows), [None] * len(rows)
     for j, (male, *picture) in enumerate(rows):
         try:
             if picture[-1] is None:
@@ -75,21 +75,21 @@ def _scored(scorer: Scorer, rows: list[tuple], crop: bool, size: int) -> tuple[l
             img = images.to_rgb(images.decode(*picture))
             boxes[j] = images.crop_box(img) if crop else (0, 0, img.shape[1], img.shape[0])
             x0, y0, x1, y1 = boxes[j]
-            tensors.append(images.tensor(img[y0:y1, x0:x1], size))
+            images.tensor(img[y0:y1, x0:x1], room.shape[-1], room[len(good)])
             metas.append(images.meta(male))
             good.append(j)
         except Exception as e:  # noqa: BLE001
             errors[j] = str(e)[:200] or type(e).__name__
     if good:
         try:
-            for j, v in zip(good, scorer(np.stack(tensors), np.stack(metas)), strict=True):
+            for j, v in zip(good, scorer(room[: len(good)], np.stack(metas)), strict=True):
                 z[j] = float(v)
         except Exception as e:  # noqa: BLE001
             if len(rows) == 1:
                 errors[0] = str(e)[:200] or type(e).__name__
             else:  # find the rows that the scorer can't take
                 for j in good:
-                    (z[j],), (errors[j],), _ = _scored(scorer, [rows[j]], crop, size)
+                    (z[j],), (errors[j],), _ = _scored(scorer, [rows[j]], crop, room)
     return z, errors, boxes
 
 
@@ -105,11 +105,11 @@ def score(requests: DataFrame, factory: Callable[[], Scorer], crop: bool, size:
         scorer = factory()
         if scorer.meta_width != META_WIDTH:
             raise ValueError(f"the scorer takes {scorer.meta_width} values beside an image; there is {META_WIDTH}")
-        n = len(carry)
+        n, room = len(carry), np.empty((batch, 3, size, size), np.float32)
         for whole in batches:
             for i in range(0, whole.num_rows, batch):
                 part = whole.slice(i, batch)
-                z, errors, boxes = _scored(scorer, list(zip(*(c.to_pylist() for c in part.columns[n:]), strict=True)), crop, size)
+                z, errors, boxes = _scored(scorer, list(zip(*(c.to_pylist() for c in part.columns[n:]), strict=True)), crop, room)
                 edges = [pa.array([b and b[e] for b in boxes], pa.int32()) for e in range(4)]
                 yield pa.record_batch([*part.columns[:n], pa.array(z, pa.float64()), pa.array(errors, pa.string()), *edges], [*part.schema.names[:n], "z", "error", *BOX])
 

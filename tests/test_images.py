@@ -172,3 +172,38 @@ def test_each_request_keeps_its_row(spark):
     boxes = images.crop_boxes(requests).collect()
     assert [r.x0 is None for r in boxes] == [False, False, False, True, False, False, True]
     assert [r.height is None for r in images.map_images(requests, images.autocrop).collect()] == [False, False, False, True, False, False, True]
+
+
+def test_tensor_fills_its_place_and_gray_agrees_with_colors():
+    rng = np.random.default_rng(6)
+    for h, w, size in ((64, 64, 512), (40, 37, 100), (5, 90, 64)):
+        level = rng.integers(0, 256, (h, w, 1)).astype(np.uint8)
+        room = np.full((2, 3, size, size), np.nan, np.float32)
+        assert np.shares_memory(images.tensor(level, size, room[1]), room[1]) and np.isnan(room[0]).all()
+        x = images.equalize_contrast(images.resize(np.repeat(level, 3, axis=2), size, size))
+        want = (x.transpose(2, 0, 1).astype(np.float32) / 255 - images.PIXEL_MEAN[:, None, None]) / images.PIXEL_STD[:, None, None]
+        assert (room[1] == want).all()
+
+
+
+
+def test_dilate_by_any_element():
+    rng = np.random.default_rng(8)
+    for h, w in ((1, 1), (3, 17), (20, 9), (33, 64)):
+        mask, element = rng.random((h, w)) < 0.2, rng.random((5, 5)) < 0.4
+        plain = np.array([[any(element[dy + 2, dx + 2] and 0 <= y + dy < h and 0 <= x + dx < w and mask[y + dy, x + dx] for dy in range(-2, 3) for dx in range(-2, 3)) for x in range(w)] for y in range(h)])
+        assert (images.dilate(mask, element, 1) == plain).all() and (images.dilate(mask, element, 2) == images.dilate(plain, element, 1)).all()
+
+
+def test_an_image_of_512_by_512_takes_few_passes():
+    """Its preparation in bytes and single precision holds less than four arrays of doubles of its size at once."""
+    import tracemalloc
+
+    img, room = np.zeros((64, 64, 1), np.uint8), np.empty((3, 512, 512), np.float32)
+    img[20:40, 10:50] = 120
+    images.tensor(img, 512, room)
+    tracemalloc.start()
+    images.tensor(img, 512, room)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 * 512 * 512 * 8
