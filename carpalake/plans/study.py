@@ -58,9 +58,20 @@ PIXELS_SQL = """
 
 
 def synthetic_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same pixels as binary images, one channel, made row by row without a shuffle."""
+    """The same pixels as binary images, one channel, made row by row without a shuffle: lines of pixels are repeated, not made one by one."""
     id_ = F.col("id")
-    cell = lambda i: F.when(_marked(id_, i % 64, (i / 64).cast("int")), "78").when(id_ % 2 == 0, "00").otherwise("FF")
-    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(64 * 64 - 1)), cell), ""))
+    edge = F.when(id_ % 2 == 0, "00").otherwise("FF")
+
+    def extent(start: Column, length: Column) -> tuple[Column, Column]:
+        """Where the mark begins on an axis, and for how many places; none for a null id."""
+        first = F.when(id_ % 10 == 9, 2).otherwise(F.greatest(F.lit(0), start))
+        last = F.when(id_ % 10 == 9, 61).otherwise(F.least(F.lit(63), start + length))
+        return first.cast("int"), F.when(id_.isNull(), 0).otherwise(F.greatest(F.lit(0), last - first + 1)).cast("int")
+
+    def row(mark: Column, other: Column, first: Column, n: Column) -> Column:
+        return F.concat(F.repeat(other, first), F.repeat(mark, n), F.repeat(other, 64 - first - n))
+
+    x, y = extent(4 + id_ % 23, 6 + id_ % 31), extent(3 + id_ % 19, 8 + id_ % 37)
+    data = F.unhex(row(row(F.lit("78"), edge, *x), F.repeat(edge, F.lit(64)), *y))
     ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few rows, much work each
     return ids.select("id", F.lit(64).alias("height"), F.lit(64).alias("width"), F.lit(1).alias("channels"), data.alias("data"))

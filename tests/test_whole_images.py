@@ -61,3 +61,19 @@ def test_flows_run_at_the_full_size(spark, folder, name, flow):
     want = flow(queries.requests(spark, folder), queries.fixed_stats(spark), score.MeanPixelScorer, size=512).collect()
     other = flow(queries.requests(spark, folder), queries.fixed_stats(spark), score.MeanPixelScorer, size=64).collect()
     assert got == sorted(want) != sorted(other)
+
+
+def test_synthetic_images_are_made_by_lines(spark, tmp_path):
+    """No step for each pixel; ids below zero and null ids as the pixels have them."""
+    from carpalake.plans.study import synthetic_images, synthetic_pixels
+
+    ids = [*range(-60, 0, 7), *range(0, 300, 37), 9, -9, 2**63 - 1, None]
+    spark.createDataFrame([(i,) for i in ids], "vec_id long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    made = synthetic_images(spark, str(tmp_path))
+    assert "transform(" not in made._jdf.queryExecution().toString()
+    got = {r.id: np.frombuffer(r.data, np.uint8).reshape(64, 64) for r in made.collect()}
+    assert len(got) == len(set(ids)) and {x.shape for x in got.values()} == {(64, 64)}
+    want = {i: np.zeros((64, 64), np.uint8) for i in got}
+    for r in synthetic_pixels(spark, str(tmp_path)).collect():
+        want[r.id][r.y, r.x] = r.v
+    assert all((got[i] == want[i]).all() for i in got)
