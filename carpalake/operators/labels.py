@@ -1,15 +1,22 @@
 """Connected components of masks, labelled by runs of pixels.
 
-A mask's pixels become runs of neighbours in a row (gaps and islands), far fewer than its pixels. Runs of one row touch those of
-the next where their places overlap or meet at a corner: an equi-join by image and row with a condition on the places. Each run
-then gets the least run that it can reach. In each round every label moves to the least one that it touches, and on to where that one
-moves; labels that have become one are one node from then on, and what touches is told by labels. At least every second label goes in a round, so
-rounds grow with the logarithm of a component's runs and their tables shrink. All steps are built-in functions; rounds are
+A mask's pixels become words of 64 bits before they are shuffled, and those become runs of neighbours in a row, far fewer than
+the pixels. Strips of 64 rows are dealt out to tasks. Within a strip, runs of one row touch those of the next where their places overlap or
+meet at a corner; every run gets the least one that it can reach in its strip, in arrays over many strips at once.
+
+What is left are touches between the last row of a strip and the first of the next, told by those least runs: few rows, and none for images of one
+strip. They are contracted over the whole cluster: in each round every label moves to the least one that it touches, and on to where that one
+moves; labels that have become one are one node from then on. At least every second label goes in a round, so
+rounds grow with the logarithm of a component's strips and their tables shrink. These steps are built-in functions; rounds are
 cut by written tables, and images are independent rows of the same tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +24,77 @@ from ..plans.shared import Rounds, kept
 
 JUMPS = 3  # before a look whether all have come to their end; each doubles the way
 SHIFT = 31  # a run's name is y * 2 ** 31 + its first x, so names are in raster order
+STRIP = 6  # a strip has 2 ** 6 rows; a task holds the runs of one at least
 
 
 def runs(mask: DataFrame) -> DataFrame:
-    """id, run, y, x0, x1: the longest runs of each row. mask: id, x, y; a row for each pixel of the mask, repeats allowed."""
-    pixels = mask.select("id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct()
-    place = F.row_number().over(Window.partitionBy("id", "y").orderBy("x"))
-    found = pixels.withColumn("island", F.col("x") - place).groupBy("id", "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    return found.select("id", (F.shiftleft("y", SHIFT) + F.col("x0")).alias("run"), "y", "x0", "x1")
+    """id, strip, run, y, x0, x1: the longest runs of each row. mask: id, x, y; a row for each pixel of the mask, repeats allowed; nulls are no pixels."""
+    pixels = mask.select("id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).filter("id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL")
+    words = pixels.groupBy("id", "y", F.shiftright("x", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 63 AS INT)))").alias("bits"))
+    dealt = words.withColumn("strip", F.shiftright("y", STRIP)).repartition("id", "strip")
+    starts = dealt.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(63)))).filter("getbit(bits & ~shiftleft(bits, 1), at) = 1")
+    after = starts.withColumn("gap", F.expr("~shiftrightunsigned(bits, at)"))  # its lowest bit is the first pixel after the run
+    pieces = after.select("id", "strip", "y", (F.col("word") * 64 + F.col("at")).alias("x0"), F.expr("CASE WHEN gap = shiftleft(1L, 63) THEN 63 ELSE bit_count((gap & -gap) - 1) END").alias("n"))
+    row = Window.partitionBy("id", "strip", "y").orderBy("x0")
+    pieces = pieces.withColumn("island", F.col("x0") + F.col("n") - F.sum("n").over(row))  # as in gaps and islands: alike for pieces that meet at a word's end
+    found = pieces.groupBy("id", "strip", "y", "island").agg(F.min("x0").alias("x0"), F.max(F.col("x0") + F.col("n") - 1).alias("x1"))
+    return found.select("id", "strip", (F.shiftleft("y", SHIFT) + F.col("x0")).alias("run"), "y", "x0", "x1")
+
+
+def least_of_links(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of 0 to n - 1 that each one reaches over links of a and b."""
+    top = np.arange(n)
+    while len(a):
+        np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+        while (on := top[top]).tobytes() != top.tobytes():
+            top = on
+        a, b = top[a], top[b]
+        a, b = a[a != b], b[a != b]
+    return top
+
+
+def _least_in_strips(strips: np.ndarray, corners: bool) -> np.ndarray:
+    """The place of the least run that each one reaches in its strip. strips: lines id, strip, y, x0, x1, in that order of columns."""
+    (id_, strip, y, x0, x1), reach = strips, int(corners)
+    fresh = (strips[:3, 1:] != strips[:3, :-1]).any(axis=0)
+    row = np.concatenate([[0], np.cumsum(fresh)])
+    first = np.concatenate([[0], np.flatnonzero(fresh) + 1])  # of each row
+    below = np.zeros(len(first), bool)  # rows that follow the one above
+    below[1:] = (strips[:2, first[1:]] == strips[:2, first[:-1]]).all(axis=0) & (y[first[1:]] == y[first[:-1]] + 1)
+    low = x0.min() - 1
+    wide = x1.max() - low + 2
+    above = (row - 1) * wide
+    start = np.searchsorted(row * wide + x1 - low, above + x0 - low - reach, "left")
+    end = np.searchsorted(row * wide + x0 - low, above + x1 - low + reach, "right")
+    n = np.where(below[row], end - start, 0)
+    lower = np.repeat(np.arange(len(row)), n)
+    upper = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return least_of_links(len(row), upper, lower)
+
+
+def _labelled(batches: Iterator[pa.RecordBatch], corners: bool) -> Iterator[pa.RecordBatch]:
+    """batches: id, strip, y, x0, x1, sorted. Rows id, y, x0, x1, least: the name of the least run that each one reaches in its strip."""
+
+    def done(parts: list[np.ndarray]) -> pa.RecordBatch:
+        whole = np.concatenate(parts, axis=1)
+        top = _least_in_strips(whole, corners)
+        id_, _, y, x0, x1 = whole
+        return pa.record_batch([pa.array(c) for c in (id_, y, x0, x1, (y[top] << SHIFT) + x0[top])], ["id", "y", "x0", "x1", "least"])
+
+    held: list[np.ndarray] = []  # of a strip that may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = np.array([c.to_numpy() for c in batch.columns], np.int64)
+        last = int(np.argmax((now[:2] == now[:2, -1:]).all(axis=0)))  # where the last strip begins
+        if held and (last or (held[-1][:2, -1] != now[:2, 0]).any()):
+            yield done([*held, now[:, :last]])
+            held = []
+        elif last:
+            yield done([now[:, :last]])
+        held.append(now[:, last:])
+    if held:
+        yield done(held)
 
 
 def touching(runs_: DataFrame, corners: bool = True) -> DataFrame:
@@ -64,11 +134,16 @@ def least_reached(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def labelled_runs(mask: DataFrame, corners: bool = True) -> DataFrame:
-    """id, y, x0, x1, label: the runs of each mask and the component each is in, numbered from 1 by image in the order of their first pixels."""
-    found = kept(runs(mask))
-    least = least_reached(found.select("id", "run"), touching(found, corners))
+    """id, y, x0, x1, label: the runs of each mask and the component each is in, numbered from 1 by image in the order of their first pixels. id: an integer."""
+    kind = dict(mask.dtypes)["id"]
+    dealt = runs(mask.withColumn("id", F.col("id").cast("long"))).select("id", "strip", "y", "x0", "x1").sortWithinPartitions("id", "strip", "y", "x0")
+    found = kept(dealt.mapInArrow(lambda batches: _labelled(batches, corners), "id long, y long, x0 long, x1 long, least long"))
+    rows = (1 << STRIP) - 1
+    border = found.filter(F.col("y").bitwiseAND(rows).isin(0, rows)).select("id", F.col("least").alias("run"), "y", "x0", "x1")
+    least = least_reached(found.select("id", F.col("least").alias("run")).distinct(), touching(border, corners))
     roots = least.filter("run = least").select("id", "least", F.row_number().over(Window.partitionBy("id").orderBy("least")).alias("label"))
-    return found.join(least, ["id", "run"]).join(roots, ["id", "least"]).select("id", "y", "x0", "x1", "label")
+    names = least.join(roots, ["id", "least"]).select("id", F.col("run").alias("least"), "label")
+    return found.join(names, ["id", "least"]).select(F.col("id").cast(kind).alias("id"), "y", "x0", "x1", "label")
 
 
 def label_pixels(pixels: DataFrame, inside: str) -> DataFrame:

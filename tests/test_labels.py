@@ -90,3 +90,41 @@ def test_repeated_pixels_and_an_empty_mask(spark):
     assert labels.labelled_runs(df.unionByName(df)).count() == labels.labelled_runs(df).count()
     assert labels.labelled_runs(df.filter("id < 0")).count() == 0
     assert labels.label_pixels(pixels(spark).filter("id = 0"), "v").agg(F.sum("label")).first()[0] == 0
+
+
+@pytest.mark.parametrize("corners", [True, False])
+def test_images_of_several_strips_and_words(spark, corners):
+    rng = np.random.default_rng(9)
+    made = [spiral(131), np.ones((130, 70), bool), *(rng.random((150, 140)) < p for p in (0.45, 0.6)), np.eye(200, dtype=bool)]
+    rows = [(i, int(x) - 75, int(y) - 66) for i, m in enumerate(made) for y, x in np.argwhere(m)]
+    df = spark.createDataFrame([*rows, *rows[:999], (None, 1, 1), (1, None, 1), (1, 1, None)], "id int, x int, y int").repartition(7)
+    spans = labels.labelled_runs(df, corners)
+    assert dict(spans.dtypes)["id"] == "int"
+    got = [np.zeros(m.shape, int) for m in made]
+    for r in spans.collect():
+        got[r.id][r.y + 66, r.x0 + 75 : r.x1 + 76] = r.label
+    assert all((g == flood(m, corners)).all() for g, m in zip(got, made))
+
+
+def test_words_are_shuffled_and_not_pixels(spark):
+    """A task makes words of its pixels first; only what leads from strip to strip is contracted over the cluster."""
+    plan = labels.runs(pixels(spark).filter("v"))._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Exchange hashpartitioning") == 2 and "partial_bit_or" in plan.split("Exchange")[-2] + plan.split("Exchange")[-1]
+
+
+def test_strips_that_go_on_over_batches():
+    import pyarrow as pa
+
+    m = np.random.default_rng(10).random((64, 50)) < 0.5
+    rows = []
+    for i in range(3):
+        for y in range(64):
+            at = np.flatnonzero(np.diff(np.concatenate([[0], m[y].astype(int), [0]]))).tolist()
+            rows += [(i, 0, y, a, b - 1) for a, b in zip(at[::2], at[1::2])]
+    columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
+    whole = pa.record_batch(columns, ["id", "strip", "y", "x0", "x1"])
+    one = pa.Table.from_batches(labels._labelled(iter([whole]), True)).to_pylist()
+    for n in (1, 7, 500):
+        parts = [whole.slice(i, n) for i in range(0, whole.num_rows, n)]
+        assert pa.Table.from_batches(labels._labelled(iter(parts), True)).to_pylist() == one
+    assert {len({r["least"] for r in one if r["id"] == i}) for i in range(3)} == {flood(m).max()}
