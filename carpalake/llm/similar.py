@@ -19,6 +19,9 @@ the last, sets of one shingle that aren't connected yet are compared with each o
   set has in its index prefix joins nothing, however many sets have it; boilerplate after a few words of one's own is such a one.
 - Sets meet in bands of sizes, of which the larger one of a pair is in the same or in the next one.
 - The sets of a hot shingle meet in blocks, each block of index prefixes with each block of prefixes under a key of its own.
+- A pair need only be told at its first common shingle. Shingles that the same sets have are one key, and each key of a set carries up to EARLIER
+  keys that the set has before it. Two sets that carry one and the same key have met there or still before, so they are left out here. Whatever is
+  carried, nothing is lost: at the first key that both have there is none to carry. (Should two groups of sets have one hash, their keys only become one.)
 
 A candidate becomes a link after a look at the whole sets.
 """
@@ -27,12 +30,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -42,6 +46,7 @@ from .simhash import SEED, majority, near_links, shingle_hashes
 
 SAMPLE, FREQUENT, SENT = 20_000, 200_000, 200_000  # documents counted, shingles ranked, nodes broadcast
 MARKS, STARS = 8, 2  # longs of a bitmap; rounds with one center
+EARLIER = 16  # earlier keys of a set that go with each of its keys, at most
 BLOCK = 2000  # sets of a hot shingle that are compared with as many others under one key
 
 
@@ -147,16 +152,33 @@ def _side(nodes: DataFrame, s: str, *more: str | Column) -> DataFrame:
     return nodes.select(*more, F.col("node").alias(s), F.col("n").alias(f"{s}n"), *[F.col("marks")[i].alias(f"{s}m{i}") for i in range(MARKS)])
 
 
-def _meeting(sets: DataFrame, similarity: float, block: int) -> DataFrame:
-    """a, b: pairs of sets that share a key and aren't connected, as far as sizes, places and bitmaps allow the similarity. sets: key, node, place, least, n, marks."""
+def _merged(placed: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """key, node, least, n, left, before: keys that may join sets, those that the same sets have as one. placed: key, node, place, least; sizes: node, n.
+
+    left: shingles from the key on. before: of a set's keys that come earlier, the least of each of EARLIER classes of keys, or null.
+    """
+    sets = placed.join(sizes, "node").withColumn("left", F.col("n") - F.col("place"))
+    same = F.xxhash64(F.count(F.lit(1)), *[F.bit_xor(F.xxhash64("node", F.lit(i))) for i in range(2)])
+    open_ = sets.groupBy("key").agg(F.min("least").alias("lo"), F.max("least").alias("hi"), F.max(_in_index(similarity)).alias("any"), same.alias("same")).filter("lo <> hi AND any").select("key", "same")
+    merged = sets.join(open_, "key").groupBy(F.col("same").alias("key"), "node", "least", "n").agg(F.max("left").alias("left"))
+    earlier = Window.partitionBy("node").orderBy(F.desc("left")).rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.min(F.when(F.pmod("key", F.lit(EARLIER)) == i, F.col("key"))).over(earlier) for i in range(EARLIER)]
+    return merged.withColumn("before", F.array(*before))
+
+
+def _in_index(similarity: float) -> Column:
+    """Whether a key with `left` of n shingles from it on is in a set's index prefix."""
+    return F.col("left") >= 2 * similarity / (1 + similarity) * F.col("n") - 1e-9
+
+
+def _meeting(placed: DataFrame, marked: DataFrame, similarity: float, block: int) -> DataFrame:
+    """a, b: pairs of sets that share a key and aren't connected, as far as sizes, places and bitmaps allow the similarity. placed: key, node, place, least; marked: node, n, marks."""
     share, e = similarity / (1 + similarity), 1e-9
-    left = F.col("n") - F.col("place")  # shingles from the key on
     band = F.floor(F.log(F.col("n").cast("double")) / -np.log(similarity) + e) if similarity < 1 else F.col("n").cast("long")
-    sets = sets.withColumns({"left": left, "band": band, "index": left >= 2 * share * F.col("n") - e})
-    open_ = sets.groupBy("key").agg(F.min("least").alias("lo"), F.max("least").alias("hi"), F.max("index").alias("any")).filter("lo <> hi AND any").select("key")
-    sets = cut(sets.join(open_, "key", "left_semi"))
+    merged = _merged(placed, marked.select("node", "n"), similarity)
+    sets = cut(merged.join(marked.select("node", "marks"), "node").withColumn("band", band))
     bands = F.array("band", F.col("band") + 1) if similarity < 1 else F.array("band")
-    small = sets.filter("index").withColumn("band", F.explode(bands))
+    small = sets.filter(_in_index(similarity)).withColumn("band", F.explode(bands))
     blocks = lambda df, name: df.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
     both = cut(blocks(small, "of_a").join(blocks(sets, "of_b"), ["key", "band"]))  # how many blocks of each kind meet
     deal = lambda name: F.pmod(F.xxhash64("node", F.lit(name)), F.col(name)).cast("int")
@@ -164,10 +186,12 @@ def _meeting(sets: DataFrame, similarity: float, block: int) -> DataFrame:
     a = small.join(both, ["key", "band"]).withColumn("i", deal("of_a")).withColumn("j", other("of_b"))
     b = sets.join(both, ["key", "band"]).withColumn("j", deal("of_b")).withColumn("i", other("of_a"))
     on = ["key", "band", "i", "j"]
-    pairs = _side(a, "a", *on, F.col("least").alias("al"), F.col("left").alias("aleft")).join(_side(b, "b", *on, F.col("least").alias("bl"), F.col("left").alias("bleft")), on)
+    more = lambda s: [F.col("least").alias(f"{s}l"), F.col("left").alias(f"{s}left"), *[F.col("before")[i].alias(f"{s}e{i}") for i in range(EARLIER)]]
+    pairs = _side(a, "a", *on, *more("a")).join(_side(b, "b", *on, *more("b")), on)
     smaller = (F.col("an") < F.col("bn")) | (F.col("an") == F.col("bn")) & (F.col("a") != F.col("b"))
     enough = F.least("aleft", "bleft") >= share * (F.col("an") + F.col("bn")) - e
-    return pairs.filter((F.col("al") != F.col("bl")) & smaller & enough & _may_reach(similarity)).select("a", "b")
+    met = reduce(Column.__or__, [F.coalesce(F.col(f"ae{i}") == F.col(f"be{i}"), F.lit(False)) for i in range(EARLIER)])
+    return pairs.filter((F.col("al") != F.col("bl")) & smaller & enough & _may_reach(similarity) & ~met).select("a", "b")
 
 
 def wide_bitmap(h: np.ndarray) -> np.ndarray:
@@ -286,7 +310,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, buc
         may = stars.join(_side(marked, "a"), "a").join(_side(marked, "b"), "b").filter(_may_reach(similarity)).select("a", "b")
         links = cut(links.unionByName(verified(may)))
 
-    cross = _meeting(placed().join(marked, "node"), similarity, block)
+    cross = _meeting(placed(), marked, similarity, block)
     links = links.unionByName(verified(cross))
 
     roots = nodes.select("node", "root")

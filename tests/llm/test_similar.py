@@ -117,3 +117,30 @@ def test_the_stage_drops_what_three_bits_do_not_link(spark):
     docs = spark.createDataFrame(data, SCHEMA)
     assert drop_near(docs).count() > 40
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == list(range(40))
+
+
+def test_pairs_are_told_where_they_first_meet(spark, monkeypatch):
+    """Long texts that share many shingles, too long for the small bitmaps to tell them apart, aren't paired anew at each of them."""
+    from carpalake.llm import similar
+
+    rng = random.Random(5)
+    blocks = [[f"b{i}w{rng.randrange(900)}" for _ in range(100)] for i in range(40)]
+    data = [(i, " ".join(w for b in rng.sample(blocks, 30) for w in b), 1) for i in range(14)]
+    for i in range(3):  # links among them
+        words = data[i][1].split()
+        for _ in range(40):
+            words[rng.randrange(len(words))] = f"changed{rng.random()}"
+        data.append((100 + i, " ".join(words), 1))
+    told, meeting = [], similar._meeting
+
+    def counted(*args):
+        told.append(meeting(*args))
+        return told[-1]
+
+    monkeypatch.setattr(similar, "_meeting", counted)
+    monkeypatch.setattr(similar, "STARS", 0)
+    want = plain_components(data)
+    assert sum(want[i] != i for i in want) == 3
+    assert {r.doc_id: r.component_id for r in similar_groups(spark.createDataFrame(data, SCHEMA)).collect()} == want
+    (pairs,) = [[tuple(r) for r in p.collect()] for p in told]
+    assert len(set(pairs)) > 50 and len(pairs) <= 2 * len(set(pairs))
