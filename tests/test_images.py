@@ -146,6 +146,31 @@ def test_equalization_against_its_definition(shape):
     assert np.abs(images.equalize(img) - plain_equalize(img)).max() <= 0.5 + 1e-6
 
 
+@pytest.mark.parametrize(("shape", "to"), [((64, 64), (512, 512)), ((64, 48), (37, 96)), ((5, 7), (41, 70)), ((256, 2), (64, 64))])
+def test_resize_is_that_of_double_precision(shape, to):
+    """Bit by bit, also where single precision is enough and the last lines don't fill a block."""
+    img = np.random.default_rng(2).integers(0, 256, (*shape, 3)).astype(np.uint8)
+    axis = lambda n, m: np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+    y, x = axis(shape[0], to[0])[:, None, None], axis(shape[1], to[1])[:, None]
+    low, left = np.floor(y).astype(int), np.floor(x).astype(int)
+    line = lambda i: img[i[:, 0, 0]].astype(np.float64)
+    rows = line(low) * (1 - (y - low)) + line(np.minimum(low + 1, shape[0] - 1)) * (y - low)
+    want = rows[:, left[:, 0]] * (1 - (x - left)) + rows[:, np.minimum(left + 1, shape[1] - 1)[:, 0]] * (x - left)
+    assert (images.resize(img, *to) == np.rint(want)).all()
+
+
+def test_resize_works_in_single_precision_where_nothing_is_lost():
+    import tracemalloc
+
+    img = np.random.default_rng(1).integers(0, 256, (64, 64, 1)).astype(np.uint8)
+    images.resize(img)
+    tracemalloc.start()
+    images.resize(img)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_100_000  # 1.3 MB in double precision
+
+
 REQUESTS = "id long, male int, ic_months double, height int, width int, channels int, data binary"
 
 
