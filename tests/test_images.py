@@ -232,3 +232,37 @@ def test_an_image_of_512_by_512_takes_few_passes():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 4 * 512 * 512 * 8
+
+
+def test_a_gray_pixel_is_looked_up_three_times(monkeypatch):
+    """The tables above and below at once, on the left and on the right, and then the value; lightness is looked up in the tables, not in the pixels."""
+    img, take, fetched = np.random.default_rng(3).integers(0, 256, (64, 64, 1)).astype(np.uint8), np.take, []
+    want = images.tensor(img)
+
+    def counted(a, indices, axis=None, **more):
+        if axis is None:
+            fetched.append(np.size(indices))
+        return take(a, indices, axis=axis, **more)
+
+    monkeypatch.setattr(np, "take", counted)
+    assert (images.tensor(img) == want).all() and sum(fetched) == 3 * 512 * 512
+
+
+@pytest.mark.parametrize("shape", [(512, 512), (64, 128), (7, 5), (50, 37)])
+def test_equalization_through_a_table(shape):
+    rng = np.random.default_rng(4)
+    channel, of = rng.integers(0, 256, shape).astype(np.uint8), rng.integers(0, 256, 256).astype(np.uint8)
+    assert (images.equalize(channel, of=of) == images.equalize(of[channel])).all()
+
+
+def test_whole_64ths_say_what_doubles_say(monkeypatch):
+    channel = np.random.default_rng(5).integers(0, 256, (256, 512)).astype(np.uint8)
+    whole = images.equalize(channel)
+    monkeypatch.setattr(images, "_between_tables_in_64ths", images._between_tables)
+    assert (images.equalize(channel) == whole).all()
+
+
+def test_all_grays_of_a_lightness_become_one():
+    lab = np.repeat(images.rgb_to_lab(np.repeat(np.arange(256, dtype=np.uint8)[:, None, None], 3, axis=2)), 256, axis=1)
+    lab[..., 0] = np.arange(256) / 2.55
+    assert (images.lab_to_rgb(lab) == images._gray_results()).all()
